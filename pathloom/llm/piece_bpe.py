@@ -7,13 +7,15 @@ next shorter prefix is tried, and where none is left the previous piece is short
 bitfield of positions from which a try has failed keeps the work linear.
 
 No piece holds the space mark after another character, so a text is cut before each run of
-space marks and equal cuts are encoded once a worker.
+space marks, and between characters that no piece holds side by side; equal cuts are encoded
+once a worker.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import struct
 from collections.abc import Iterator
 from functools import cache, lru_cache
 
@@ -23,9 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 MARK = "▁"
-CUT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Distinct cuts kept by a worker before its memory is cleared, and the longest that is kept.
-KEPT_CUTS, KEPT_CHARS = 300_000, 64
+KEPT_CUTS, KEPT_CHARS = 600_000, 64
 
 
 class PieceBPE:
@@ -42,6 +43,7 @@ class PieceBPE:
         self.byte_ids = {int(self.pieces[i][1:-1], 16): i for i in range(size) if lib.is_byte(i)}
         self.bytes = {i: b for b, i in self.byte_ids.items()}
         self.hidden = {i for i in range(size) if lib.is_control(i)}
+        self.cut = self._cutter()
         if any(MARK in p.lstrip(MARK) for p in self.ids) or len(self.byte_ids) != 256:
             raise ValueError("pieces with inner spaces, or without byte fallback, aren't supported")
         if any(lib.normalize(t) != w for t, w in (("  á Ａ ", MARK * 3 + "á" + MARK + "Ａ" + MARK),)):
@@ -52,12 +54,30 @@ class PieceBPE:
         for p in self.whole:
             self.automaton.add_word(p, len(p))
         self.automaton.make_automaton()
-        self.compatible = lru_cache(1 << 18)(self._compatible)
+        self.compatible = lru_cache(1 << 19)(self._compatible)
         self.shorter = lru_cache(1 << 16)(self._shorter)
         self.cuts: dict[str, bytes] = {}
         self.shown = [p.replace(MARK, " ") for p in self.pieces]
         for i in self.hidden:
             self.shown[i] = ""
+        parts = [bytes([self.bytes[i]]) if i in self.bytes else s.encode() for i, s in enumerate(self.shown)]
+        self.widths = np.array([len(x) for x in parts], dtype=np.int64)
+        self.starts = np.cumsum(self.widths) - self.widths
+        self.flat = np.frombuffer(b"".join(parts), dtype=np.uint8)
+        self.special = np.array([i in self.hidden or i == self.unk for i in range(size)])
+
+    def _cutter(self) -> re.Pattern:
+        """Cuts before space marks, and between words and other characters.
+
+        Two characters that stand side by side in no piece always part two pieces.  "Word"
+        characters are the letters and whatever some piece puts next to one of them.
+        """
+        beside = {(a, b) for p in self.ids for a, b in zip(p, p[1:]) if a != MARK}
+        word = {c for p in self.ids for c in p if c.isalpha()}
+        while more := {c for a, b in beside if (a in word) != (b in word) for c in (a, b)} - word:
+            word |= more
+        inside = "".join(map(re.escape, sorted(word)))
+        return re.compile(f"{MARK}*(?:[{inside}]+|[^{inside}{MARK}]+)|{MARK}+")
 
     def merged(self, text: str) -> list[str]:
         """Merging by definition: the best-scored, leftmost neighbours join first."""
@@ -87,16 +107,17 @@ class PieceBPE:
         n = len(text)
         longest = [1] * n
         for end, size in self.automaton.iter(text):
-            if size > longest[end - size + 1]:
-                longest[end - size + 1] = size
-        failed = bytearray(n // 8 + 1)
+            start = end - size + 1
+            if size > longest[start]:
+                longest[start] = size
+        failed, compatible = bytearray(n // 8 + 1), self.compatible
         out: list[str] = []
         at, piece = 0, text[: longest[0]] if n else None
         while at < n:
             left = out[-1] if out else None
             while piece is not None:
                 end = at + len(piece)
-                if not failed[end >> 3] >> (end & 7) & 1 and (left is None or self.compatible(left, piece)):
+                if not failed[end >> 3] >> (end & 7) & 1 and (left is None or compatible(left, piece)):
                     break
                 piece = self.shorter(piece)
             if piece is not None:
@@ -115,7 +136,7 @@ class PieceBPE:
         for piece in self.split(cut):
             i = self.ids.get(piece)
             ids.extend([i] if i is not None else map(self.byte_ids.__getitem__, piece.encode()))
-        out = np.array(ids, dtype="<u4").tobytes()
+        out = struct.pack(f"<{len(ids)}I", *ids)
         if len(cut) <= KEPT_CHARS:
             if len(self.cuts) >= KEPT_CUTS:
                 self.cuts.clear()
@@ -128,7 +149,7 @@ class PieceBPE:
         if not text:
             return b"".join(edge)
         known, make = self.cuts.get, self._cut_ids
-        cuts = CUT.findall((MARK + text).replace(" ", MARK))
+        cuts = self.cut.findall((MARK + text).replace(" ", MARK))
         return edge[0] + b"".join([known(c) or make(c) for c in cuts]) + edge[1]
 
     def decode(self, ids: bytes) -> str:
@@ -156,16 +177,21 @@ class PieceBPE:
             out.append(_utf8(bytes(run)))
         return "".join(out)
 
-    def decode_fast(self, ids: bytes) -> str:
-        """``decode`` for encoder output: valid bytes, begin and end once."""
-        values = np.frombuffer(ids, dtype="<u4")[1:-1]
+    def decoded_bytes(self, ids: bytes) -> bytes:
+        """UTF-8 of ``decode(ids)``: the pieces' bytes are gathered at once where they are valid and end marks are at the ends."""
+        values = np.frombuffer(ids, dtype="<u4")[1:-1].astype(np.int64)
         if not len(values):
-            return ""
-        low, high = min(self.bytes), max(self.bytes)
-        if ((values >= low) & (values <= high)).any() or values[0] in self.hidden:
-            return self.decode(ids)
-        text = "".join(map(self.shown.__getitem__, values.tolist()))
-        return text[1:] if text[0] == " " else text
+            return b""
+        sizes = self.widths[values]
+        ends = np.cumsum(sizes)
+        out = self.flat[np.repeat(self.starts[values] - ends + sizes, sizes) + np.arange(ends[-1])].tobytes()
+        if self.special[values].any() or (values[0] in self.bytes and out[:1] == b" "):
+            return self.decode(ids).encode()
+        try:
+            out.decode()
+        except UnicodeDecodeError:
+            return self.decode(ids).encode()
+        return out[1:] if out[:1] == b" " else out
 
 
 def _utf8(run: bytes) -> str:
@@ -213,10 +239,10 @@ def encoded(docs: DataFrame, model_file: str, *, id_col: str = "doc_id", text_co
             for start in range(0, batch.num_rows, 256):  # a slice's results are in memory, not a batch's
                 part = texts.slice(start, 256).to_pylist()
                 ids = [bpe.encode(t or "") for t in part]
-                decoded = [bpe.decode_fast(i) for i in ids]
+                decoded = [bpe.decoded_bytes(i) for i in ids]
                 columns = [c.slice(start, 256) for c in batch.columns[:-1]]
-                columns += [pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([hashlib.sha256(i).hexdigest() for i in ids]), pa.array([hashlib.sha256(d.encode()).hexdigest() for d in decoded])]
-                columns += [pa.array(ids, pa.binary())] * with_ids + [pa.array(decoded, pa.string())] * with_text
+                columns += [pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([hashlib.sha256(i).hexdigest() for i in ids]), pa.array([hashlib.sha256(d).hexdigest() for d in decoded])]
+                columns += [pa.array(ids, pa.binary())] * with_ids + [pa.array([d.decode() for d in decoded] if with_text else [], pa.string())] * with_text
                 names = [*batch.schema.names[:-1], "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids, *["decoded"] * with_text]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
