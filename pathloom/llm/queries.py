@@ -14,12 +14,31 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .main_text import extracted
+
+    return extracted(read_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import scored, trained
+
+    docs = read_table(spark, sf_dir, "documents")
+    return scored(docs, trained(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op3_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .piece_bpe import encoded
 
     return encoded(read_table(spark, sf_dir, "documents"), piece_model(), with_ids=False, with_text=False)
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import scanned
+
+    return scanned(read_table(spark, sf_dir, "documents"), with_spans=False)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mixed
 
@@ -38,7 +57,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_piece_bpe, op7_mixing, op8_warc, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_main_text, op2_quality, op3_piece_bpe, op6_secrets, op7_mixing, op8_warc, op9_exact_dedup)}
 ORACLES = {
     "op8_warc": """
         SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, payload_digest,
