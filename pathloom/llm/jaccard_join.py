@@ -264,11 +264,12 @@ def linked_components(members: DataFrame, sets: DataFrame, percent: int) -> Data
         pairs = pairs.where("cells or comp <> pivot_comp").select("sid", "pivot").distinct()
         found = written(compared(pairs, sets), "compared")
         near = found.where(100 * F.col("shared") >= percent * (F.col("n") + F.col("m") - F.col("shared"))).select(F.col("sid").alias("a"), F.col("pivot").alias("b"))
-        grown = near if links is None else links.select("a", "b").unionByName(near)
-        grown = written(grown, "links")
-        if links is not None:
-            dropped(links, comps)
-        links, comps = grown, components(grown)
+        near = written(near, "links")
+        if near.take(1):
+            grown = near if links is None else written(links.select("a", "b").unionByName(near), "links")
+            if links is not None:
+                dropped(links, comps, near)
+            links, comps = grown, components(grown)
         rest = live.where(~F.array_contains("pivots", F.col("sid")))
         few = rest.where(F.col("size") <= CELLS_FROM).select("grp", "sid")
         many = rest.where(F.col("size") > CELLS_FROM).select("grp", "sid", F.explode("pivots").alias("pivot"))

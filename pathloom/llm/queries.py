@@ -39,6 +39,12 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined(read_table(spark, sf_dir, "documents"))
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vantage import nearest
+
+    return nearest(read_table(spark, sf_dir, "embeddings"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import scanned
 
@@ -63,7 +69,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_main_text, op2_quality, op3_piece_bpe, op4_jaccard_join, op6_secrets, op7_mixing, op8_warc, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_main_text, op2_quality, op3_piece_bpe, op4_jaccard_join, op5_nearest, op6_secrets, op7_mixing, op8_warc, op9_exact_dedup)}
 ORACLES = {
     "op8_warc": """
         SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, payload_digest,
