@@ -193,6 +193,7 @@ def nearest(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "em
                 out.append(pd.DataFrame({"query_id": own[row], "vec_id": ids[found], "score": cosines(q[row], data[found], unit[row], tree.unit[at])}))
         return pd.concat(out)
 
+    trees, visits = (df.toDF(*df.columns) for df in (trees, visits))  # columns of one origin would be ambiguous
     found = trees.groupBy(*key).cogroup(visits.groupBy(*key)).applyInPandas(run, "query_id long, vec_id long, score double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= count).select("query_id", "rank", "vec_id", "score")
