@@ -69,7 +69,13 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_main_text, op2_quality, op3_piece_bpe, op4_jaccard_join, op5_nearest, op6_secrets, op7_mixing, op8_warc, op9_exact_dedup)}
+def op10_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeated_spans import without_repeats
+
+    return without_repeats(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_main_text, op2_quality, op3_piece_bpe, op4_jaccard_join, op5_nearest, op6_secrets, op7_mixing, op8_warc, op9_exact_dedup, op10_repeated_spans)}
 ORACLES = {
     "op8_warc": """
         SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, payload_digest,
