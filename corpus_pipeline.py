@@ -11,7 +11,7 @@ from pathloom.llm.mixing import mixed
 from pathloom.llm.piece_bpe import encoded
 from pathloom.llm.quality import scored, trained
 from pathloom.llm.queries import piece_model
-from pathloom.llm.shared import read_table, scratch_path
+from pathloom.llm.shared import read_table, scratch_path, small
 
 #: SQL can't express the classifier, so the rows are tested against brute force.
 ORACLE_SQL = None
@@ -23,25 +23,31 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return scored(docs, model, keep=docs.columns).where("predicted = 1").select(*docs.columns)
 
 
+def _without(docs: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """``docs`` less the rows listed; the list is broadcast if counted small, so texts stay where they are."""
+    on = [docs[k].eqNullSafe(gone[f"gone_{k}"]) for k in keys]
+    return docs.join(F.broadcast(gone) if small(gone) else gone, on, "left_anti")
+
+
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts; a document listed again under its id stays once."""
-    kept = deduplicated(docs).where("kept").select("doc_id", "text_sha256").distinct()
-    marked = docs.withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
-    alone = marked.join(kept, [marked["doc_id"].eqNullSafe(kept["doc_id"]), marked["text_sha256"] == kept["text_sha256"]], "left_semi")
-    return alone.drop("text_sha256")
+    """One document of each group of equal texts; one listed twice under its id stays once."""
+    found = deduplicated(docs)
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("gone_doc_id"), F.col("text_sha256").alias("gone_sha")).distinct()
+    marked = docs.withColumn("sha", F.sha2(F.coalesce("text", F.lit("")), 256))
+    kept = _without(marked, gone, ["doc_id", "sha"]).drop("sha")
+    again = found.where("kept and group_size > 1").groupBy("doc_id", "text_sha256").count().where("count > 1")
+    return kept.dropDuplicates(["doc_id", "text"]) if again.take(1) else kept
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each component of near-equal ones; documents without shingles stay."""
-    parts = joined(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(parts, "doc_id", "left_anti").select(*docs.columns)
+    gone = joined(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_doc_id")).distinct()
+    return _without(docs, gone, ["doc_id"]).select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it, none to three; those without words aren't taken."""
-    copies = mixed(docs).where("taken > 0").select("doc_id", F.expr("cast(taken div size as int)").alias("copies")).groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    taken = docs.join(copies, "doc_id")
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+    return mixed(docs, keep=docs.columns).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*docs.columns)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import attached, dropped, read_table, small, written
+from .shared import attached, dropped, small, written
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -29,7 +29,6 @@ def word_count(text: Column) -> Column:
 
 def ranked_sources(sizes: DataFrame) -> DataFrame:
     """Sources in code point order, null last, with ``place`` from 0.  Range partitions, so no task holds all of them."""
-    spark = sizes.sparkSession
     sums = sizes.groupBy("skey", "source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("group_size"))
     placed = written(sums.orderBy(F.col("source").asc_nulls_last()).withColumn("at", F.monotonically_increasing_id()), "sources")
     part = F.shiftright("at", 33)
@@ -45,7 +44,6 @@ def with_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
     Sharing the excess by weight keeps all uncapped targets at one level times their weight,
     so only that level is sought: two sums a round, until no further source is capped.
     """
-    spark = sources.sparkSession
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod("place", F.lit(len(weights))) + 1).cast("int"))
     sources = sources.withColumn("weight", weight.cast("double")).withColumn("most", F.col("source_size") * cap)
     whole = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
@@ -106,22 +104,30 @@ def _filled(rows: DataFrame, plan: DataFrame, fills: list[tuple[str, str]], few:
     return written(plan.join(got, "skey", "left").withColumn("rest", F.coalesce("left", "rest")).drop("left").na.fill(0, [f"below{k}", f"most{k}"]), "plan")
 
 
-def mixed(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per row of ``docs``: doc_id, size, source_size, target, taken.
-
-    ``taken`` is size times the number of copies the mix holds.  The choice depends on doc_id
-    alone, so reruns agree and a larger budget only adds documents of the first fill.  Null
-    texts have size 0 and take nothing; a null source is a source of its own, last in order;
-    rows with one doc_id (or none) share a hash and are in or out together; an empty table
-    gives an empty result.  Other columns are not read.
-    """
+def _keyed(docs: DataFrame, keep: list[str], id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """The ``keep`` columns of ``docs`` with the names this module works on."""
     source = F.col(source_col)
-    rows = written(docs.select(
+    return docs.select(
+        *[F.col(c).alias(f"keep_{k}") for k, c in enumerate(keep)],
         F.col(id_col).alias("doc_id"), source.alias("source"),
         F.when(source.isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), source)).alias("skey"),
         word_count(F.col(text_col)).alias("size"),
         F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit("mix")), 64 - BITS * LEVELS).alias("h"),
-    ), "sizes")
+    )
+
+
+def mixed(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: list[str] | None = None) -> DataFrame:
+    """One row per row of ``docs``: the ``keep`` columns (default: doc_id), size, source_size, target, taken, copies.
+
+    ``taken`` is size times ``copies``, the number of times the mix holds the document.  The
+    choice depends on doc_id alone, so reruns agree and a larger budget only adds documents
+    of the first fill.  Null texts have size 0 and take nothing; a null source is a source of
+    its own, last in order; rows with one doc_id (or none) share a hash and are in or out
+    together; an empty table gives an empty result.  Other columns are not read.
+
+    The kept columns never move: the sources' thresholds are broadcast to them.
+    """
+    rows = written(_keyed(docs, [], id_col, text_col, source_col), "sizes")
     total = rows.count()
     sources = with_targets(ranked_sources(rows), weights, cap)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -135,5 +141,7 @@ def mixed(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
         dropped(plan)
         plan, fills = grown, [*fills, (f"below{k}", f"most{k}")]
     per_source = plan.select("skey", "group_size", "source_size", "target", "whole", *[c for pair in fills for c in pair])
-    copies = F.col("whole") + _taken(fills).cast("long")
-    return _joined(slim, per_source, few, total).select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"))
+    names = ["doc_id"] if keep is None else keep
+    out = _joined(slim.withColumn("keep_0", F.col("doc_id")) if keep is None else _keyed(docs, keep, id_col, text_col, source_col), per_source, few, total)
+    copies = F.when(F.col("size") > 0, F.col("whole") + _taken(fills).cast("long")).otherwise(F.lit(0).cast("long"))
+    return out.select(*[F.col(f"keep_{k}").alias(c) for k, c in enumerate(names)], "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))

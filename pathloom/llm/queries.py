@@ -54,7 +54,7 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mixed
 
-    return mixed(read_table(spark, sf_dir, "documents"))
+    return mixed(read_table(spark, sf_dir, "documents")).drop("copies")
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
