@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -44,8 +45,12 @@ class SnapshotStore:
         """The manifest in force; a damaged or foreign one counts as none."""
         try:
             found = json.loads(self._text("CURRENT") or "null")
-        except (ValueError, UnicodeDecodeError):
+        except ValueError:
             return None
+        except Py4JJavaError as e:
+            if "ChecksumException" in str(e.java_exception):
+                return None
+            raise
         return found if isinstance(found, dict) and found.get("format") == FORMAT_VERSION else None
 
     def publish(self, rows: DataFrame, *, expected: int | None = None, ordered: bool = True, **facts) -> int | None:
