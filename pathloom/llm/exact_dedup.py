@@ -10,8 +10,6 @@ Only digests of 48 bytes a row are shuffled; texts move only for the positives.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,8 +33,8 @@ def grouped(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*KEY).agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
 
 
-def _key64(sha=F.col("sha")):
-    return F.xxhash64(sha)
+def _key64():
+    return F.xxhash64("sha")
 
 
 def _bucket(buckets: int):
