@@ -6,12 +6,18 @@
    differs in at most K shingles, so among the first K + 1 classes that are not empty at
    least one holds the same subset in both sets.  Documents with an equal class subset form
    a region; every link lies within some region.
-3. Regions join recursively.  Pivots are compared exactly with the members of their region.
-   A member within the radius is linked, which settles it against all others so linked.  A
-   region whose members are all in one component is done.  Else its pivots leave it, and a
-   large one is parted into Voronoi cells of its pivots; a member also goes to each cell
-   whose pivot is at most twice the radius farther than its nearest (triangle inequality),
-   members far from all pivots share an outer cell.
+3. Regions join recursively.  Pivots are compared exactly with the members of their region;
+   a member within the radius is linked, which settles it against all others so linked, and
+   a region whose members are all in one component is done.  Regions that two rounds of
+   pivots leave open are cut into windows by the triangle inequality over distances to the
+   empty set (sizes), and within a window by distances to it in every class of hashes
+   (counts, which can't differ in total by more than the sets do).  The pairs that no
+   inequality rules out are compared exactly; if they are many, those of a few pivots are,
+   and the rest goes into the next round.
+
+Voronoi cells of the pivots were built first and given up: documents that share a passage are
+about as far from one pivot as from another, so nearly all fell within twice the radius of
+every cell border and were copied into every cell.
 """
 
 from __future__ import annotations
@@ -25,17 +31,21 @@ from pyspark.sql import functions as F
 
 from . import word_hash
 from .components import components
-from .shared import attached, dropped, small, written
+from .shared import attached, dropped, freed, small, written
 
 SHINGLE, PERCENT = 4, 85
 #: Sets below this size have one class a shingle; larger ones have 1.5 to 3 shingles a class.
 CLASS_FROM = 64
 #: Signatures sorted together by a task, and about as many to a reducing partition.
-CHUNK, BUCKET = 1_500_000, 1_000_000
-#: Pivots of a region in rounds after the first, and members above which cells are formed.
-PIVOTS, CELLS_FROM = 6, 48
+CHUNK, BUCKET = 700_000, 600_000
+#: Pivots of a region in the second round and in later ones, pairs a member up to which a window is finished at once.
+PIVOTS, PAIRS_EACH = 6, 12
+#: Members of a window that one task compares; a larger one is cut into parts, whose pairs go to tasks of their own.
+PART = 8000
 STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
-SLICE = 4 << 20
+SLICE = 256 << 10
+#: Rows of a batch that are Python objects at once.
+ROWS = 256
 
 
 def most_different(n: int, percent: int = PERCENT) -> int:
@@ -125,18 +135,20 @@ def signed(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for batch in batches:
-            texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
-            ids = batch.column(0)
-            for a, b in _slices(texts):
-                rows = []
-                for k, found in enumerate(shingle_sets(texts[a:b], width, seed)):
-                    key = _set_key(found)
-                    fresh = len(found) and key not in seen and ids[a + k].is_valid
-                    if fresh:
-                        seen.add(key)
-                    rows.append((len(found), *key, signatures(found, percent).tobytes() if fresh else None))
-                columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), *columns], names=["doc_id", "n", "sid", "more", "sigs"])
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                texts = [(t or "").encode() for t in part.column(1).to_pylist()]
+                ids = part.column(0)
+                for a, b in _slices(texts):
+                    rows = []
+                    for k, found in enumerate(shingle_sets(texts[a:b], width, seed)):
+                        key = _set_key(found)
+                        fresh = len(found) and key not in seen and ids[a + k].is_valid
+                        if fresh:
+                            seen.add(key)
+                        rows.append((len(found), *key, signatures(found, percent).tobytes() if fresh else None))
+                    columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
+                    yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), *columns], names=["doc_id", "n", "sid", "more", "sigs"])
 
     return table.mapInArrow(run, f"doc_id {kind}, n long, sid long, more long, sigs binary")
 
@@ -212,26 +224,143 @@ def shared_signatures(table: DataFrame, buckets: int) -> DataFrame:
     return parts.repartition(buckets, "bucket").mapInArrow(meet, "grp long, sid long").distinct()
 
 
+def counts(found: np.ndarray) -> bytes:
+    """How many shingles of a sorted set lie in each class of hashes, 1.5 to 3 on average, as one byte each."""
+    bits = max(0, int(np.floor(np.log2(max(1, len(found)) / 1.5))))
+    if not bits:
+        return bytes([min(255, len(found))])
+    return np.minimum(255, np.bincount((found >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)).astype(np.uint8).tobytes()
+
+
+def least_different(a: np.ndarray, b: np.ndarray) -> int:
+    """A lower bound of the shingles in which two sets differ, from their counts; the finer ones are added up to the coarser classes."""
+    if len(a) > len(b):
+        a, b = b, a
+    a, b = a.astype(np.int64), b.astype(np.int64)
+    if len(a) < len(b):
+        if a.max() >= 255 or b.max() >= 255:
+            return 0  # sums of full counts say nothing
+        b = b.reshape(len(a), -1).sum(axis=1)
+    return int(np.abs(a - b).sum())
+
+
+def may_link(a: np.ndarray, n: int, b: np.ndarray, m: int, percent: int) -> bool:
+    """False only if sizes or counts rule a link out: of n + m = u + i and u - i >= bound follows the largest i / u."""
+    if 100 * min(n, m) < percent * max(n, m):
+        return False
+    bound = least_different(a, b)
+    return 100 * (n + m - bound) >= percent * (n + m + bound)
+
+
 def fetched_sets(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, width: int, seed: int) -> DataFrame:
-    """(sid, body) of the sets whose representative documents are given: sorted hashes as bytes."""
+    """(sid, n, counts, body) of the sets whose representative documents are given; body: sorted hashes as bytes."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text")).join(F.broadcast(reps) if small(reps) else reps, "doc_id").select("__text", "sid", "more")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bodies = [(t or "").encode() for t in batch.column(0).to_pylist()]
-            keys = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
-            for a, b in _slices(bodies):
-                found = [(key[0], s.tobytes()) for key, s in zip(keys[a:b], shingle_sets(bodies[a:b], width, seed), strict=True) if _set_key(s) == key]
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.binary())], names=["sid", "body"])
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                bodies = [(t or "").encode() for t in part.column(0).to_pylist()]
+                keys = list(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True))
+                for a, b in _slices(bodies):
+                    found = [(key[0], len(s), counts(s), s.tobytes()) for key, s in zip(keys[a:b], shingle_sets(bodies[a:b], width, seed), strict=True) if _set_key(s) == key]
+                    if found:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["sid", "n", "counts", "body"])
+
+    return texts.mapInArrow(run, "sid long, n long, counts binary, body binary")
+
+
+def plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (sid, pivot) that sizes and counts allow to link."""
+    slim = sets.select("sid", "n", "counts")
+    both = pairs.join(slim, "sid").join(slim.toDF("pivot", "m", "pivot_counts"), "pivot").select("sid", "pivot", "n", "m", "counts", "pivot_counts")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [may_link(np.frombuffer(a, dtype=np.uint8), n, np.frombuffer(b, dtype=np.uint8), m, percent) for n, m, a, b in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(run, "sid long, pivot long")
+
+
+def window_pairs(sids: np.ndarray, comps: np.ndarray, sides: np.ndarray, sizes: np.ndarray, vectors: list[np.ndarray], percent: int) -> tuple[list[tuple[int, int]], list[int]]:
+    """(pairs to compare, members that stay) of one window.
+
+    Pairs of one component are settled, and pairs of one side are another window's where the
+    window joins two sides.  Sizes bound the run of partners, then counts folded to the
+    coarsest member's classes, then counts as they are.
+    """
+    order = np.argsort(sizes, kind="stable")
+    sids, comps, sides, sizes = sids[order], comps[order], sides[order], sizes[order]
+    vectors = [vectors[k] for k in order.tolist()]
+    width = min(map(len, vectors))
+    folded = np.stack([v.astype(np.int16).reshape(width, -1).sum(axis=1) for v in vectors]).astype(np.int32)
+    full = np.array([v.max() == 255 for v in vectors])
+    ends = np.searchsorted(sizes, 100 * sizes // percent, side="right")
+    two = sides.min() != sides.max()
+    partners: list[np.ndarray] = []
+    for i in range(len(sids)):
+        js = np.arange(i + 1, ends[i])
+        js = js[(comps[js] != comps[i]) & (~two | (sides[js] != sides[i]))] if len(js) else js
+        if len(js):
+            bound = np.abs(folded[js] - folded[i]).sum(axis=1)
+            bound[full[js] | full[i]] = 0
+            total = sizes[js] + sizes[i]
+            js = js[100 * (total - bound) >= percent * (total + bound)]
+            js = js[[may_link(vectors[i], int(sizes[i]), vectors[j], int(sizes[j]), percent) for j in js.tolist()]] if len(js) else js
+        partners.append(js)
+    found = [(i, j) for i, js in enumerate(partners) for j in js.tolist()]
+    if len(found) <= PAIRS_EACH * len(sids):
+        return [(int(sids[i]), int(sids[j])) for i, j in found], []
+    degree = np.bincount(np.array(found).ravel(), minlength=len(sids))
+    pivots = set(np.argsort(-degree, kind="stable")[:PIVOTS].tolist())
+    stay = set(range(len(sids))) - pivots
+    touched = {k for i, j in found if i in stay and j in stay for k in (i, j)}
+    return [(int(sids[i]), int(sids[j])) for i, j in found if i in pivots or j in pivots], sids[sorted(touched)].tolist()
+
+
+def windows_joined(live: DataFrame, sets: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Windows of open regions: rows (sid, pivot, null) to compare and rows (sid, null, grp) that stay open."""
+    ring = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9)
+    spread = live.join(sets.select("sid", "n", "counts"), "sid").withColumn("ring", F.explode(F.array(ring, ring + 1)))  # own window, and that of the next sizes
+    parts = spread.groupBy("grp", "ring").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"), F.count_distinct("comp").alias("comps")).where("comps > 1")
+    own = F.pmod(F.xxhash64("sid", F.lit(turn)), F.col("parts")).cast("int")
+    keyed = spread.join(parts, ["grp", "ring"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    keyed = keyed.select(F.xxhash64("grp", "ring", F.least("own", "other"), F.greatest("own", "other"), F.lit(turn)).alias("window"), "sid", "comp", "own", "n", "counts")
+    tasks = max(8, -(-live.count() // 50_000))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, tested = ["sid", "pivot", "grp"], set()
+
+        def joined_window(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+            if len(rows) < 2:
+                return
+            sids, comps, sides, sizes = (np.array([r[k] for r in rows]) for k in (1, 2, 3, 4))
+            pairs, stay = window_pairs(sids, comps, sides, sizes, [np.frombuffer(r[5], dtype=np.uint8) for r in rows], percent)
+            fresh = [p for p in {(min(p), max(p)) for p in pairs} if p not in tested]
+            if len(tested) < 100_000:  # repeats beyond this are merged by the caller
+                tested.update(fresh)
+            if fresh:
+                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in fresh], pa.int64()), pa.array([p[1] for p in fresh], pa.int64()), pa.nulls(len(fresh), pa.int64())], names=names)
+            if stay:
+                yield pa.RecordBatch.from_arrays([pa.array(stay, pa.int64()), pa.nulls(len(stay), pa.int64()), pa.array([rows[0][0]] * len(stay), pa.int64())], names=names)
+
+        held: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and held[0][0] != row[0]:
+                    yield from joined_window(held)
+                    held = []
+                held.append(row)
+        yield from joined_window(held)
 
-    return texts.mapInArrow(run, "sid long, body binary")
+    return keyed.repartition(tasks, "window").sortWithinPartitions("window", "sid").mapInArrow(run, "sid long, pivot long, grp long")
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(sid, pivot, shared, n, m): exact intersection sizes of pairs (sid, pivot)."""
-    first = pairs.join(sets, "sid").withColumnRenamed("body", "own")
-    both = first.join(sets.select(F.col("sid").alias("pivot"), "body"), "pivot").select("sid", "pivot", "own", "body")
+    bodies = sets.select("sid", "body")
+    both = pairs.join(bodies.withColumnRenamed("body", "own"), "sid").join(bodies.toDF("pivot", "body"), "pivot").select("sid", "pivot", "own", "body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,47 +370,44 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 few, many = (a, b) if len(a) <= len(b) else (b, a)
                 at = np.searchsorted(many, few)
                 out.append((int((many[np.minimum(at, len(many) - 1)] == few).sum()), len(a), len(b)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, pa.int64()) for c in zip(*out)]], names=["sid", "pivot", "shared", "n", "m"])
+            columns = [pa.array(c, pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 3
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["sid", "pivot", "shared", "n", "m"])
 
     return both.mapInArrow(run, "sid long, pivot long, shared long, n long, m long")
 
 
 def linked_components(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(node, comp) of the sets that have links, by recursive joins of the regions ``members`` (grp, sid)."""
-    radius = F.lit(1 - percent / 100)
     links, comps, turn = None, None, 0
     while True:
         known = members.withColumn("comp", F.col("sid")) if comps is None else members.join(comps.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
         picks = [F.min("sid")] if turn == 0 else [F.min_by("sid", F.xxhash64("sid", F.lit(k))) for k in range(PIVOTS)]
-        regions = known.groupBy("grp").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size"), F.array_distinct(F.array(*picks)).alias("pivots")).where("low < high").select("grp", "size", "pivots")
+        regions = known.groupBy("grp").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.array_distinct(F.array(*picks)).alias("pivots")).where("low < high").select("grp", "pivots")
         live = written(known.join(regions, "grp"), "regions")
         if not live.take(1):
             dropped(live)
             break
-        own = comps.select(F.col("node").alias("pivot"), F.col("comp").alias("pivot_comp")) if comps is not None else None
-        pairs = live.select("sid", "comp", F.explode("pivots").alias("pivot"), (F.col("size") > CELLS_FROM).alias("cells")).where("sid <> pivot")
-        pairs = pairs.withColumn("pivot_comp", F.col("pivot")) if own is None else pairs.join(own, "pivot", "left").withColumn("pivot_comp", F.coalesce("pivot_comp", "pivot"))
-        pairs = pairs.where("cells or comp <> pivot_comp").select("sid", "pivot").distinct()
-        found = written(compared(pairs, sets), "compared")
-        near = found.where(100 * F.col("shared") >= percent * (F.col("n") + F.col("m") - F.col("shared"))).select(F.col("sid").alias("a"), F.col("pivot").alias("b"))
-        near = written(near, "links")
+        if turn < 2:
+            pairs = live.select("sid", "comp", F.explode("pivots").alias("pivot")).where("sid <> pivot")
+            own = comps.select(F.col("node").alias("pivot"), F.col("comp").alias("pivot_comp")) if comps is not None else None
+            pairs = pairs.withColumn("pivot_comp", F.col("pivot")) if own is None else pairs.join(own, "pivot", "left").withColumn("pivot_comp", F.coalesce("pivot_comp", "pivot"))
+            pairs = pairs.where("comp <> pivot_comp").select(F.least("sid", "pivot").alias("sid"), F.greatest("sid", "pivot").alias("pivot")).distinct()
+            open_pairs = written(plausible(pairs, sets, percent), "pairs")
+            following = written(live.where(~F.array_contains("pivots", F.col("sid"))).select("grp", "sid"), "members")
+            candidates = open_pairs
+        else:
+            open_pairs = written(windows_joined(live.select("grp", "sid", "comp"), sets, percent, turn), "pairs")
+            candidates = open_pairs.where("pivot is not null").select("sid", "pivot").distinct()
+            following = written(open_pairs.where("pivot is null").select("grp", "sid"), "members")
+        near = compared(candidates, sets).where(100 * F.col("shared") >= percent * (F.col("n") + F.col("m") - F.col("shared")))
+        near = written(near.select(F.col("sid").alias("a"), F.col("pivot").alias("b")), "links")
         if near.take(1):
             grown = near if links is None else written(links.select("a", "b").unionByName(near), "links")
             if links is not None:
                 dropped(links, comps, near)
             links, comps = grown, components(grown)
-        rest = live.where(~F.array_contains("pivots", F.col("sid")))
-        few = rest.where(F.col("size") <= CELLS_FROM).select("grp", "sid")
-        many = rest.where(F.col("size") > CELLS_FROM).select("grp", "sid", F.explode("pivots").alias("pivot"))
-        distance = found.select("sid", "pivot", (1 - F.col("shared") / (F.col("n") + F.col("m") - F.col("shared"))).alias("d"))
-        near_by = many.join(distance, ["sid", "pivot"]).groupBy("grp", "sid").agg(F.min("d").alias("r"), F.collect_list(F.struct("d", "pivot")).alias("all"))  # PIVOTS entries at most
-        slack = F.lit(1e-9)
-        inside = F.filter("all", lambda x: (x.d <= F.col("r") + 2 * radius + slack) & (x.d < F.when(F.col("r") < 1 - 2 * radius, F.lit(1.0)).otherwise(1 - radius + slack)))
-        names = F.transform(inside, lambda x: x.pivot)
-        outer = F.when(F.col("r") < 1 - 2 * radius, F.array().cast("array<long>")).otherwise(F.array(F.lit(0).cast("long")))
-        cells = near_by.select("grp", "sid", F.explode(F.concat(names, outer)).alias("cell")).select(F.xxhash64("grp", "cell", F.lit(turn)).alias("grp"), "sid")
-        following = written(few.unionByName(cells.select("grp", "sid")), "members")
-        dropped(members, live, found)
+        dropped(members, live, open_pairs)
+        freed(sets.sparkSession)
         members, turn = following, turn + 1
     dropped(members)
     if links is None:
