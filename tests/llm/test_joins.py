@@ -118,6 +118,7 @@ def test_shingles_equal_definition():
 
 def brute_nearest(rows):
     fit = [(i, np.array(v, dtype=float)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    fit = [(i, v / np.abs(v).max()) for i, v in fit]  # else squares of tiny vectors vanish
     out = {}
     for i, v in fit:
         if i % 50 == 0:
