@@ -83,22 +83,22 @@ def bonuses(texts: list[str]) -> np.ndarray:
 
 def _fuzzy(codes: np.ndarray, bonus: np.ndarray, pattern: str) -> np.ndarray:
     n, width = codes.shape
-    place = np.arange(width)
+    place = np.arange(width, dtype=np.int32)
     best = None
     for k, c in enumerate(pattern):
         hit = codes == ord(c)
         if best is None:
             now = np.where(hit, MATCH + 2 * bonus, NONE)
         else:
-            direct = np.full((n, width), NONE, dtype=np.int64)
+            direct = np.full((n, width), NONE, dtype=np.int32)
             direct[:, 1:] = best[:, :-1] + MATCH + np.maximum(bonus, CONSECUTIVE)[:, 1:]
-            gapped = np.full((n, width), NONE, dtype=np.int64)
+            gapped = np.full((n, width), NONE, dtype=np.int32)
             if width > 2:  # a gap of g characters costs OPEN + (g - 1) EXTEND
                 reach = np.maximum.accumulate(best + EXTEND * place, axis=1)
                 gapped[:, 2:] = reach[:, :-2] - EXTEND * place[2:] - OPEN + 2 * EXTEND + MATCH + bonus[:, 2:]
             now = np.where(hit, np.maximum(direct, gapped), NONE)
-        best = now.astype(np.int64)
-    return best.max(axis=1)
+        best = np.maximum(now, NONE).astype(np.int32)  # sums of NONE stay in range
+    return best.max(axis=1).astype(np.int64)
 
 
 def _literal(text: str, bonus: np.ndarray, atom: Atom) -> int:

@@ -83,14 +83,14 @@ def strong_part(rows: DataFrame, *, demote: bool = True, limit: int = FILENAME_L
     are its rows with at least half its best score, eight at least.  One row of aggregates
     is joined back, so no window spans all rows.
     """
-    best = F.max("score")
-    facts = rows.agg(F.count_if(~F.col("is_quiet")).alias("loud"), F.count(F.lit(1)).alias("all"), best.alias("best"), F.max(F.when(~F.col("is_quiet"), F.col("score"))).alias("loud_best"))
-    mixed = F.lit(demote) & (F.col("loud") > 0) & (F.col("loud") < F.col("all"))
-    facts = facts.select(F.expr("all").alias("all_rows"), mixed.alias("mixed"), F.when(mixed, F.col("loud")).otherwise(F.col("all")).alias("block"), F.expr("div(if(%s, loud_best, best), 2)" % ("loud > 0 and loud < all" if demote else "false")).alias("floor"))
-    both = rows.join(F.broadcast(facts))  # one row
-    in_block = ~F.col("mixed") | ~F.col("is_quiet")
-    counted = both.groupBy().agg(F.count_if(in_block & (F.col("score") >= F.col("floor"))).alias("over"), F.first("block").alias("block"))
-    strong = counted.select(F.greatest("over", F.least(F.lit(MIN_KEEP), F.col("block"))).alias("strong"))
+    bars = rows.groupBy("is_quiet", "score").agg(F.count(F.lit(1)).alias("n"))  # as many as there are scores: rows are scored once for all facts
+    over_all = Window.partitionBy(F.lit(0))
+    loud = F.sum(F.when(~F.col("is_quiet"), F.col("n")).otherwise(0)).over(over_all)
+    facts = bars.select("*", loud.alias("loud"), F.sum("n").over(over_all).alias("rows"), F.max("score").over(over_all).alias("best"), F.max(F.when(~F.col("is_quiet"), F.col("score"))).over(over_all).alias("loud_best"))
+    mixed = F.lit(demote) & (F.col("loud") > 0) & (F.col("loud") < F.col("rows"))
+    facts = facts.select("is_quiet", "score", "n", mixed.alias("mixed"), F.when(mixed, F.col("loud")).otherwise(F.col("rows")).alias("block"), F.when(mixed, F.expr("loud_best div 2")).otherwise(F.expr("best div 2")).alias("floor"))
+    counts = (~F.col("mixed") | ~F.col("is_quiet")) & (F.col("score") >= F.col("floor"))
+    strong = facts.agg(F.greatest(F.sum(F.when(counts, F.col("n")).otherwise(0)), F.least(F.lit(MIN_KEEP), F.max("block"))).alias("strong"))
     order = ([F.col("is_quiet")] if demote else []) + [F.desc("score"), *index_order(rows)]
     return top(rows, order, limit).join(F.broadcast(strong)).withColumn("is_strong", F.col("rank") <= F.col("strong")).drop("strong")
 
