@@ -97,8 +97,6 @@ def parse_filters(query: str, now: int) -> tuple[Filters, str]:
             values["max_size"] = size
         elif name == "dir" and not value:
             dirs = True
-        elif name == "dir":
-            dirs, terms = True, [*terms, ascii_lower(value)]
         else:
             rest.append(token)
     filters = Filters(tuple(exts), tuple(terms), dirs, **values)

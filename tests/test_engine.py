@@ -26,7 +26,7 @@ def ids(rows):
 
 @pytest.mark.parametrize(
     ("text", "exts", "rest"),
-    [("ext:PDF ext:.md notes", ("pdf", "md"), "notes"), ("changed:soon larger:big kind:widget x", (), "changed:soon larger:big kind:widget x"), ("a  b", (), "a  b"), ("ext: a  b", (), "ext: a  b"), ("ext:md a  b", ("md",), "a b")],
+    [("dir:x y", (), "dir:x y"), ("ext:PDF ext:.md notes", ("pdf", "md"), "notes"), ("changed:soon larger:big kind:widget x", (), "changed:soon larger:big kind:widget x"), ("a  b", (), "a  b"), ("ext: a  b", (), "ext: a  b"), ("ext:md a  b", ("md",), "a b")],
 )
 def test_filter_tokens(text, exts, rest):
     filters, left = parse_filters(text, NOW)
