@@ -8,7 +8,6 @@ One prefix maximum a pattern character makes this a few array operations a batch
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -46,12 +45,6 @@ def atoms(pattern: str) -> list[Atom]:
     return out
 
 
-def prefilter(pattern: str) -> str | None:
-    """A Java pattern that every match satisfies: each fuzzy atom's characters in order."""
-    parts = [f"(?=.*?{'.*?'.join(map(re.escape, a.text))})" if not a.folded else f"(?=(?iu:.*?{'.*?'.join(map(re.escape, a.text))}))" for a in atoms(pattern) if not a.negative and a.kind == "fuzzy"]
-    return "(?s)^" + "".join(parts) if parts else None
-
-
 def _matrix(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)

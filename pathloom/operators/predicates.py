@@ -46,11 +46,19 @@ def quiet(patterns: tuple[str, ...] = QUIET, path: str = "path") -> Column:
     return reduce(lambda a, b: a | b, (F.contains(F.col(path), F.lit(p)) for p in patterns), F.lit(False))
 
 
+def subsequence(text: str) -> str:
+    """A Java pattern for the characters of ``text`` in order; each skip stops at the next one, so nothing is tried twice."""
+    def inside(c: str) -> str:
+        return f"\\{c}" if c in "\\]^-[&" else c
+
+    return "(?s)" + re.escape(text[0]) + "".join(f"[^{inside(c)}]*+{re.escape(c)}" for c in text[1:])
+
+
 def atom_predicate(atom: Atom, path: str = "path") -> Column:
     """Membership of one atom, without its score."""
     c, text = (F.lower(F.col(path)), atom.text.lower()) if atom.folded else (F.col(path), atom.text)
     if atom.kind == "fuzzy" and not atom.negative:
-        return c.rlike("(?s)" + ".*?".join(map(re.escape, text)))
+        return c.rlike(subsequence(text))
     hit = {"prefix": F.startswith, "suffix": F.endswith, "whole": lambda a, b: a == b}.get(atom.kind, F.contains)(c, F.lit(text))
     return ~hit if atom.negative else hit
 
