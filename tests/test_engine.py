@@ -217,3 +217,11 @@ def test_plans(spark, tmp_path):
     scored = text(rank.scored(files.where("size > 3"), "fmd"))
     assert scored.count("ArrowEvalPython") == 1 and "GreaterThan(size,3)" in scored  # native filters run below the scorer
     assert "ReadSchema: struct<size:bigint>" in text(files.agg(F.sum("size")))
+
+
+def test_registered_functions(spark):
+    from pathloom.functions.register import register
+
+    register(spark)
+    row = spark.sql("SELECT calc_eval('2^3^2') AS a, fuzzy_score('/docs/rest-api.md', 'rest') > 0 AS b, match_positions('/docs/rest-api.md', 'rest') AS c, size(chunk_text('x')) AS d, extract_text('a.txt', cast('hi' AS binary)) AS e, extract_text('a.pdf', cast('hi' AS binary)) AS f").first()
+    assert tuple(row) == ("512", True, [6, 7, 8, 9], 1, "hi", None)
