@@ -42,6 +42,8 @@ CHUNK, BUCKET = 700_000, 600_000
 PIVOTS, PAIRS_EACH = 6, 12
 #: Members of a window that one task compares; a larger one is cut into parts, whose pairs go to tasks of their own.
 PART = 8000
+#: A window of more members than this and of fewer bytes of sets is joined whole in its task.
+WHOLE_FROM, WHOLE_BYTES = 48, 24 << 20
 STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
 SLICE = 256 << 10
 #: Rows of a batch that are Python objects at once.
@@ -319,14 +321,41 @@ def window_pairs(sids: np.ndarray, comps: np.ndarray, sides: np.ndarray, sizes:
     return [(int(sids[i]), int(sids[j])) for i, j in found if i in pivots or j in pivots], sids[sorted(touched)].tolist()
 
 
+def window_links(sids: np.ndarray, comps: np.ndarray, bodies: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that join all components of a window whose sets are at hand; pairs already in one component are skipped."""
+    sizes = np.array([len(b) for b in bodies], dtype=np.int64)
+    order = np.argsort(sizes, kind="stable")
+    sids, sizes, bodies = sids[order], sizes[order], [bodies[k] for k in order.tolist()]
+    _, root = np.unique(comps[order], return_inverse=True)
+    flat, at = np.concatenate(bodies), np.concatenate(([0], np.cumsum(sizes)))
+    low = np.searchsorted(100 * sizes, percent * sizes, side="left")
+    high = np.searchsorted(sizes, 100 * sizes // percent, side="right")
+    found = []
+    for i in np.flatnonzero(root != np.bincount(root).argmax()).tolist():  # pairs within the largest component are settled
+        for a in range(int(low[i]), int(high[i]), 256):
+            b = min(int(high[i]), a + 256)
+            if (root[a:b] == root[i]).all():
+                continue
+            part = flat[at[a] : at[b]]
+            place = np.minimum(np.searchsorted(bodies[i], part), sizes[i] - 1)
+            shared = np.add.reduceat((bodies[i][place] == part).astype(np.int64), at[a:b] - at[a])
+            for j in (a + np.flatnonzero(100 * shared >= percent * (sizes[i] + sizes[a:b] - shared))).tolist():
+                if root[j] != root[i]:
+                    found.append((int(sids[i]), int(sids[j])))
+                    root[root == root[i]] = root[j]
+    return found
+
+
 def windows_joined(live: DataFrame, sets: DataFrame, percent: int, turn: int) -> DataFrame:
     """Windows of open regions: rows (sid, pivot, null) to compare and rows (sid, null, grp) that stay open."""
     ring = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9)
     spread = live.join(sets.select("sid", "n", "counts"), "sid").withColumn("ring", F.explode(F.array(ring, ring + 1)))  # own window, and that of the next sizes
-    parts = spread.groupBy("grp", "ring").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"), F.count_distinct("comp").alias("comps")).where("comps > 1")
+    parts = spread.groupBy("grp", "ring").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"), F.count_distinct("comp").alias("comps"), ((F.count(F.lit(1)) > WHOLE_FROM) & (F.count(F.lit(1)) <= PART) & (F.sum("n") * 8 <= WHOLE_BYTES)).alias("whole")).where("comps > 1")
     own = F.pmod(F.xxhash64("sid", F.lit(turn)), F.col("parts")).cast("int")
     keyed = spread.join(parts, ["grp", "ring"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    keyed = keyed.select(F.xxhash64("grp", "ring", F.least("own", "other"), F.greatest("own", "other"), F.lit(turn)).alias("window"), "sid", "comp", "own", "n", "counts")
+    keyed = keyed.select(F.xxhash64("grp", "ring", F.least("own", "other"), F.greatest("own", "other"), F.lit(turn)).alias("window"), "sid", "comp", "own", "n", "counts", "whole")
+    bodies = keyed.where("whole").join(sets.select("sid", "body"), "sid").select("window", "sid", "comp", "own", "n", "counts", "body")
+    keyed = bodies.unionByName(keyed.where("not whole").drop("whole").withColumn("body", F.lit(None).cast("binary")))
     tasks = max(8, -(-live.count() // 50_000))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,7 +365,10 @@ def windows_joined(live: DataFrame, sets: DataFrame, percent: int, turn: int) ->
             if len(rows) < 2:
                 return
             sids, comps, sides, sizes = (np.array([r[k] for r in rows]) for k in (1, 2, 3, 4))
-            pairs, stay = window_pairs(sids, comps, sides, sizes, [np.frombuffer(r[5], dtype=np.uint8) for r in rows], percent)
+            if rows[0][6] is not None:
+                pairs, stay = window_links(sids, comps, [np.frombuffer(r[6], dtype="<u8") for r in rows], percent), []
+            else:
+                pairs, stay = window_pairs(sids, comps, sides, sizes, [np.frombuffer(r[5], dtype=np.uint8) for r in rows], percent)
             fresh = [p for p in {(min(p), max(p)) for p in pairs} if p not in tested]
             if len(tested) < 100_000:  # repeats beyond this are merged by the caller
                 tested.update(fresh)

@@ -73,11 +73,12 @@ def corpus(seed=1):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("pairs_each", [jaccard_join.PAIRS_EACH, 0])
-def test_join_equals_brute_force(spark, monkeypatch, pairs_each):
-    """With 0, windows are never finished at once, so pivots leave them round by round; small parts force blocks."""
+@pytest.mark.parametrize(("pairs_each", "part", "whole"), [(jaccard_join.PAIRS_EACH, 20, 10**9), (0, 20, 10**9), (0, 8000, 1)])
+def test_join_equals_brute_force(spark, monkeypatch, pairs_each, part, whole):
+    """With 0 pairs each, pivots leave windows round by round; small parts force blocks; in the last case windows are joined whole."""
     monkeypatch.setattr(jaccard_join, "PAIRS_EACH", pairs_each)
-    monkeypatch.setattr(jaccard_join, "PART", 20)
+    monkeypatch.setattr(jaccard_join, "PART", part)
+    monkeypatch.setattr(jaccard_join, "WHOLE_FROM", whole)
     monkeypatch.setattr(jaccard_join, "CHUNK", 300)
     rows = [*corpus(), (None, "a b c d"), (3, "one two")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "5 as sid", "'x' as n")
