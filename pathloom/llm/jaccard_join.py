@@ -1,23 +1,19 @@
 """Exact Jaccard self-join of word-shingle sets in their metric space.
 
-1. Equal sets are merged; what follows sees one representative of each.
-2. Seeding.  At a distance of 0.15, unrelated documents are all at distance 1 from every
-   pivot, so pivots alone can't part a corpus.  Hash space is cut into classes; a linked pair
-   differs in at most K shingles, so among the first K + 1 classes that are not empty at
-   least one holds the same subset in both sets.  Documents with an equal class subset form
-   a region; every link lies within some region.
-3. Regions join recursively.  Pivots are compared exactly with the members of their region;
-   a member within the radius is linked, which settles it against all others so linked, and
-   a region whose members are all in one component is done.  Regions that two rounds of
-   pivots leave open are cut into windows by the triangle inequality over distances to the
-   empty set (sizes), and within a window by distances to it in every class of hashes
-   (counts, which can't differ in total by more than the sets do).  The pairs that no
-   inequality rules out are compared exactly; if they are many, those of a few pivots are,
-   and the rest goes into the next round.
-
-Voronoi cells of the pivots were built first and given up: documents that share a passage are
-about as far from one pivot as from another, so nearly all fell within twice the radius of
-every cell border and were copied into every cell.
+1. Points.  Equal sets are merged; what follows sees one representative of each.
+2. Cells of elementary pivots.  Unrelated documents are at distance 1 from each other, so
+   the first pivots are the smallest sets that lie nearer than that: single shingles, all of
+   the corpus.  A set is as near to each of its own, {s}, as to any other, so ties go by rarity:
+   home is the rarest.  A link leaves a set all but |x| - ceil(p |x|) of its shingles, so the
+   window copies it into the cells of that many shingles, and one more, from the rarest on:
+   linked sets meet in a cell.  Passages that many documents share are the farthest in that
+   order and seldom reached.  Cells with the same members are merged.
+3. Cells join recursively.  Twice a member is made pivot of its cell and compared with all
+   others; those within the radius form one component with it, which settles them against
+   each other, and a cell whose members are all in one component is done.  What stays open
+   is split into Voronoi cells of sampled members with windows of the triangle inequality,
+   down to exact comparisons (``metric_cells``).  An open cell too large for a task is dealt
+   in blocks: the members outside its largest component meet each other and that component.
 """
 
 from __future__ import annotations
@@ -29,33 +25,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import word_hash
+from . import metric_cells, word_hash
 from .components import components
-from .shared import attached, dropped, freed, small, written
+from .shared import attached, dropped, freed, mapped, small, written
 
 SHINGLE, PERCENT = 4, 85
-#: Sets below this size have one class a shingle; larger ones have 1.5 to 3 shingles a class.
-CLASS_FROM = 64
-#: Signatures sorted together by a task, and about as many to a reducing partition.
-CHUNK, BUCKET = 700_000, 600_000
-#: Pivots of a region in the second round and in later ones, pairs a member up to which a window is finished at once.
-PIVOTS, PAIRS_EACH = 6, 12
-#: Members of a window that one task compares; a larger one is cut into parts, whose pairs go to tasks of their own.
-PART = 8000
+#: Rarity is told by counts of all shingles in so many slots of their hashes (a table of 4 MB at
+#: any size of corpus), merged in so many parts.  The order decides how many sets meet, never the result.
+SLOT_BITS, SLOT_PARTS = 20, 64
+#: Cell rows sorted together by a task, and about as many to a reducing partition.
+CHUNK, BUCKET = 500_000, 400_000
+#: Rounds in which a member is made pivot of its cell.
+STARS = 2
+#: Members and bytes of sets on one side of a block.
+PART, PART_BYTES = 1500, 24 << 20
+#: Bytes of sets of the cells that a task gets, about.
+TASK_BYTES = 24 << 20
 STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
 SLICE = 256 << 10
 #: Rows of a batch that are Python objects at once.
 ROWS = 256
 
 
-def most_different(n: int, percent: int = PERCENT) -> int:
-    """The most shingles in which a set of ``n`` may differ from one it links with: u - i with 100 i >= percent u, i <= n."""
-    return (100 - percent) * (100 * n // percent) // 100
-
-
-def level(n: int) -> int:
-    """Bits of the hash that name a class."""
-    return 64 if n < CLASS_FROM else int(np.floor(np.log2(n / 1.5)))
+def window(n: int, percent: int = PERCENT) -> int:
+    """Cells a set of ``n`` shingles is copied to: it shares at least ceil(percent n / 100) with any set it links with."""
+    return n + 1 - -(-percent * n // 100)
 
 
 def shingle_sets(texts: list[bytes], width: int = SHINGLE, seed: int = 0) -> list[np.ndarray]:
@@ -81,32 +75,13 @@ def shingle_sets(texts: list[bytes], width: int = SHINGLE, seed: int = 0) -> lis
     return out
 
 
-def signatures(found: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Hashes of the first class subsets of a sorted set: any linked set has one of them too.
+def slot_of(found: np.ndarray) -> np.ndarray:
+    return (found >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
-    A set also signs at the level of the largest set it may link with.  That a set of 64 or
-    more shingles has too few filled classes has a chance below 1e-11.
-    """
-    n = len(found)
-    want = most_different(n, percent) + 1
-    out = []
-    with np.errstate(over="ignore"):
-        for bits in {level(n), level(100 * n // percent)}:
-            tag = np.uint64(bits) * STEPS[3]
-            if bits == 64:
-                out.append(word_hash.mix(found[:want] + tag))
-                continue
-            reach = found[: int(want * n / 2**bits * 1.5) + 64]
-            names = reach >> np.uint64(64 - bits)
-            at = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1])))
-            if len(at) <= want and len(reach) < n:
-                reach, names = found, found >> np.uint64(64 - bits)
-                at = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1])))
-            sums = np.add.reduceat(word_hash.mix(reach ^ STEPS[1]), at)
-            if len(at) > want:  # the last class read may be cut off; it is left out
-                at, sums = at[:want], sums[:want]
-            out.append(word_hash.mix(sums * STEPS[2] + word_hash.mix(names[at] + tag)))
-    return np.unique(np.concatenate(out))
+
+def pivots(found: np.ndarray, counts: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """The shingles whose cells a set goes to: the rarest by the corpus' counts, ties by hash."""
+    return found[np.lexsort((found, counts[slot_of(found)]))[: window(len(found), percent)]]
 
 
 def _slices(texts: list[bytes]) -> Iterator[tuple[int, int]]:
@@ -127,13 +102,53 @@ def _set_key(found: np.ndarray) -> tuple[int, int]:
         return int(word_hash.mix(np.array([low + np.uint64(len(found))])).view(np.int64)[0]), int(np.array([high]).view(np.int64)[0])
 
 
+def slot_counts(docs: DataFrame, text_col: str, width: int, seed: int) -> np.ndarray:
+    """How many sets of the corpus hold shingles of each slot: one table of fixed size a task, summed by parts."""
+    size = 1 << SLOT_BITS
+    part = size // SLOT_PARTS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, held, count = np.zeros(size, dtype=np.uint32), [], 0
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS):
+                texts = [(t or "").encode() for t in batch.column(0).slice(start, ROWS).to_pylist()]
+                for a, b in _slices(texts):
+                    held += shingle_sets(texts[a:b], width, seed)
+                    count += sum(map(len, held[a - b :]))
+                    if count > size:
+                        total += np.bincount(slot_of(np.concatenate(held)), minlength=size).astype(np.uint32)
+                        held, count = [], 0
+        if held:
+            total += np.bincount(slot_of(np.concatenate(held)), minlength=size).astype(np.uint32)
+        for k in range(SLOT_PARTS):
+            piece = total[k * part : (k + 1) * part]
+            if piece.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([piece.tobytes()], pa.binary())], names=["part", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                sums[k] = sums.get(k, 0) + np.frombuffer(counts, dtype=np.uint32).astype(np.uint64)
+        for k, counts in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([counts.tobytes()], pa.binary())], names=["part", "counts"])
+
+    kind = "part int, counts binary"
+    out = np.zeros(size, dtype=np.uint64)
+    for row in mapped(mapped(docs.select(text_col), run, kind).repartition(SLOT_PARTS, "part"), add, kind).collect():  # SLOT_PARTS rows
+        out[row.part * part : (row.part + 1) * part] = np.frombuffer(row.counts, dtype=np.uint64)
+    return np.minimum(out, 0xFFFFFFFF).astype(np.uint32)
+
+
 def signed(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, seed: int) -> DataFrame:
-    """(doc_id, n, sid, more, sigs) of every row; equal sets have equal (sid, more).  A task signs each set once."""
+    """(doc_id, n, sid, more, near) of every row; equal sets have equal (sid, more).  A task lists each set's cells once."""
     table = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"))
     kind = table.schema["doc_id"].dataType.simpleString()
+    shipped = docs.sparkSession.sparkContext.broadcast(slot_counts(docs, text_col, width, seed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
+        counts = shipped.value
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS):
                 part = batch.slice(start, ROWS)
@@ -146,22 +161,22 @@ def signed(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int
                         fresh = len(found) and key not in seen and ids[a + k].is_valid
                         if fresh:
                             seen.add(key)
-                        rows.append((len(found), *key, signatures(found, percent).tobytes() if fresh else None))
+                        rows.append((len(found), *key, pivots(found, counts, percent).tobytes() if fresh else None))
                     columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
-                    yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), *columns], names=["doc_id", "n", "sid", "more", "sigs"])
+                    yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), *columns], names=["doc_id", "n", "sid", "more", "near"])
 
-    return table.mapInArrow(run, f"doc_id {kind}, n long, sid long, more long, sigs binary")
+    return mapped(table, run, f"doc_id {kind}, n long, sid long, more long, near binary")
 
 
-PAIR = np.dtype([("sig", "<u8"), ("sid", "<i8")])
+PLACE = np.dtype([("cell", "<u8"), ("sid", "<i8"), ("n", "<i4")])
 
 
-def shared_signatures(table: DataFrame, buckets: int) -> DataFrame:
-    """(grp, sid) of every signature that more than one set has.
+def shared_cells(table: DataFrame, buckets: int) -> DataFrame:
+    """(cell, sid, n) of every cell that more than one set lies in.
 
-    A task sorts its signatures.  Those it finds repeated are emitted at once, and stand for
-    themselves with one row each in the exchange, so a signature that a third of all
-    documents share sends no more rows than there are chunks.
+    A task sorts its rows.  Those of cells it finds repeated are emitted at once, and stand for
+    themselves with one row each in the exchange, so a cell that a third of all documents
+    lie in sends no more rows than there are chunks.
     """
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,12 +185,12 @@ def shared_signatures(table: DataFrame, buckets: int) -> DataFrame:
         def emit() -> pa.RecordBatch:
             nonlocal turn
             rows = np.concatenate(held)
-            rows = rows[np.lexsort((rows["sid"], rows["sig"]))]
-            head = np.concatenate(([True], rows["sig"][1:] != rows["sig"][:-1]))
+            rows = rows[np.lexsort((rows["sid"], rows["cell"]))]
+            head = np.concatenate(([True], rows["cell"][1:] != rows["cell"][:-1]))
             run = np.cumsum(head) - 1
             many = np.bincount(run) > 1
             firsts = rows[head]
-            bucket = (firsts["sig"] % np.uint64(buckets)).astype(np.int64)
+            bucket = (firsts["cell"] % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             turn += 1
@@ -185,9 +200,10 @@ def shared_signatures(table: DataFrame, buckets: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.bool_(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "done", "rows", "many"])
 
         for batch in batches:
-            for sid, sigs in zip(batch.column(0).to_numpy(), batch.column(1).to_pylist(), strict=True):
-                rows = np.empty(len(sigs) // 8, dtype=PAIR)
-                rows["sig"], rows["sid"] = np.frombuffer(sigs, dtype="<u8"), sid
+            for sid, n, near in zip(batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2), strict=True):
+                cells = np.frombuffer(near.as_buffer(), dtype="<u8")
+                rows = np.empty(len(cells), dtype=PLACE)
+                rows["cell"], rows["sid"], rows["n"] = cells, sid, n
                 held.append(rows)
                 count += len(rows)
                 if count >= CHUNK:
@@ -198,62 +214,43 @@ def shared_signatures(table: DataFrame, buckets: int) -> DataFrame:
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def frame(rows: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(rows["sig"].copy().view(np.int64)), pa.array(rows["sid"].copy())], names=["grp", "sid"])
+            return pa.RecordBatch.from_arrays([pa.array(rows["cell"].copy().view(np.int64)), pa.array(rows["sid"].copy()), pa.array(rows["n"].copy())], names=["cell", "sid", "n"])
 
         held, flags = [], []
         for batch in batches:
-            for done, rows, many in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-                rows = np.frombuffer(rows, dtype=PAIR)
-                if done:
+            for done, rows, many in zip(*(batch.column(k) for k in (1, 2, 3)), strict=True):
+                rows = np.frombuffer(rows.as_buffer(), dtype=PLACE)
+                if done.as_py():
                     yield frame(rows)
                 else:
-                    held.append(rows)
-                    flags.append(np.unpackbits(np.frombuffer(many, dtype=np.uint8), count=len(rows)).astype(bool))
+                    held.append(rows.copy())
+                    flags.append(np.unpackbits(np.frombuffer(many.as_buffer(), dtype=np.uint8), count=len(rows)).astype(bool))
         if held:
             rows, many = np.concatenate(held), np.concatenate(flags)
             del held, flags
-            order = np.lexsort((rows["sid"], rows["sig"]))
+            order = np.argsort(rows["cell"], kind="stable")
             rows, many = rows[order], many[order]
-            run = np.cumsum(np.concatenate(([True], rows["sig"][1:] != rows["sig"][:-1]))) - 1
+            run = np.cumsum(np.concatenate(([True], rows["cell"][1:] != rows["cell"][:-1]))) - 1
             low, high = np.full(run[-1] + 1, np.iinfo(np.int64).max), np.full(run[-1] + 1, np.iinfo(np.int64).min)
             np.minimum.at(low, run, rows["sid"])
             np.maximum.at(high, run, rows["sid"])
             yield frame(rows[(low < high)[run] & ~many])
 
-    parts = table.where("sigs is not null").select("sid", "sigs").mapInArrow(part, "bucket int, done boolean, rows binary, many binary")
-    return parts.repartition(buckets, "bucket").mapInArrow(meet, "grp long, sid long").distinct()
-
-
-def counts(found: np.ndarray) -> bytes:
-    """How many shingles of a sorted set lie in each class of hashes, 1.5 to 3 on average, as one byte each."""
-    bits = max(0, int(np.floor(np.log2(max(1, len(found)) / 1.5))))
-    if not bits:
-        return bytes([min(255, len(found))])
-    return np.minimum(255, np.bincount((found >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)).astype(np.uint8).tobytes()
-
-
-def least_different(a: np.ndarray, b: np.ndarray) -> int:
-    """A lower bound of the shingles in which two sets differ, from their counts; the finer ones are added up to the coarser classes."""
-    if len(a) > len(b):
-        a, b = b, a
-    a, b = a.astype(np.int64), b.astype(np.int64)
-    if len(a) < len(b):
-        if a.max() >= 255 or b.max() >= 255:
-            return 0  # sums of full counts say nothing
-        b = b.reshape(len(a), -1).sum(axis=1)
-    return int(np.abs(a - b).sum())
+    parts = mapped(table.where("near is not null").select("sid", "n", "near"), part, "bucket int, done boolean, rows binary, many binary")
+    return mapped(parts.repartition(buckets, "bucket"), meet, "cell long, sid long, n int").distinct()
 
 
-def may_link(a: np.ndarray, n: int, b: np.ndarray, m: int, percent: int) -> bool:
-    """False only if sizes or counts rule a link out: of n + m = u + i and u - i >= bound follows the largest i / u."""
-    if 100 * min(n, m) < percent * max(n, m):
-        return False
-    bound = least_different(a, b)
-    return 100 * (n + m - bound) >= percent * (n + m + bound)
+def merged_cells(rows: DataFrame) -> DataFrame:
+    """``rows`` without cells that have just the members of another cell."""
+    names = rows.groupBy("cell").agg(F.bit_xor(F.xxhash64("sid")).alias("x"), F.bit_xor(F.xxhash64(F.lit("other"), "sid")).alias("y"), F.count(F.lit(1)).alias("group_size"))
+    kept = written(names.groupBy("x", "y", "group_size").agg(F.min("cell").alias("cell")).select("cell", "group_size"), "cells")
+    out = written(attached(rows, kept, ["cell"], rows.count(), how="inner").drop("group_size"), "members")
+    dropped(kept)
+    return out
 
 
 def fetched_sets(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, width: int, seed: int) -> DataFrame:
-    """(sid, n, counts, body) of the sets whose representative documents are given; body: sorted hashes as bytes."""
+    """(sid, n, body) of the sets whose representative documents are given; body: sorted hashes as bytes."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text")).join(F.broadcast(reps) if small(reps) else reps, "doc_id").select("__text", "sid", "more")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,156 +260,124 @@ def fetched_sets(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, w
                 bodies = [(t or "").encode() for t in part.column(0).to_pylist()]
                 keys = list(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True))
                 for a, b in _slices(bodies):
-                    found = [(key[0], len(s), counts(s), s.tobytes()) for key, s in zip(keys[a:b], shingle_sets(bodies[a:b], width, seed), strict=True) if _set_key(s) == key]
+                    found = [(key[0], len(s), s.tobytes()) for key, s in zip(keys[a:b], shingle_sets(bodies[a:b], width, seed), strict=True) if _set_key(s) == key]
                     if found:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["sid", "n", "counts", "body"])
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["sid", "n", "body"])
 
-    return texts.mapInArrow(run, "sid long, n long, counts binary, body binary")
+    return mapped(texts, run, "sid long, n long, body binary")
 
 
-def plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (sid, pivot) that sizes and counts allow to link."""
-    slim = sets.select("sid", "n", "counts")
-    both = pairs.join(slim, "sid").join(slim.toDF("pivot", "m", "pivot_counts"), "pivot").select("sid", "pivot", "n", "m", "counts", "pivot_counts")
+def star_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the linked ones of the pairs (sid, pivot), compared exactly."""
+    bodies = sets.select("sid", "body")
+    both = pairs.join(bodies.withColumnRenamed("body", "own"), "sid").join(bodies.toDF("pivot", "body"), "pivot").select("sid", "pivot", "own", "body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [may_link(np.frombuffer(a, dtype=np.uint8), n, np.frombuffer(b, dtype=np.uint8), m, percent) for n, m, a, b in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True)]
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            near = []
+            for own, body in zip(batch.column(2), batch.column(3), strict=True):
+                a, b = (np.frombuffer(x.as_buffer(), dtype="<u8") for x in (own, body))
+                few, many = (a, b) if len(a) <= len(b) else (b, a)
+                shared = int((many[np.minimum(np.searchsorted(many, few), len(many) - 1)] == few).sum())
+                near.append(100 * shared >= percent * (len(a) + len(b) - shared))
+            yield batch.select([0, 1]).filter(pa.array(near, pa.bool_())).rename_columns(["a", "b"])
 
-    return both.mapInArrow(run, "sid long, pivot long")
+    return mapped(both, run, "a long, b long")
 
 
-def window_pairs(sids: np.ndarray, comps: np.ndarray, sides: np.ndarray, sizes: np.ndarray, vectors: list[np.ndarray], percent: int) -> tuple[list[tuple[int, int]], list[int]]:
-    """(pairs to compare, members that stay) of one window.
+def _blocks(members: DataFrame) -> DataFrame:
+    """(block, sid, comp, n) of open cells (cell, sid, comp, n): a cell that fits a task is one block.
 
-    Pairs of one component are settled, and pairs of one side are another window's where the
-    window joins two sides.  Sizes bound the run of partners, then counts folded to the
-    coarsest member's classes, then counts as they are.
+    Of a larger one, the members outside its largest component are dealt into parts that
+    meet each other and the parts of that component; its own parts don't meet.
     """
-    order = np.argsort(sizes, kind="stable")
-    sids, comps, sides, sizes = sids[order], comps[order], sides[order], sizes[order]
-    vectors = [vectors[k] for k in order.tolist()]
-    width = min(map(len, vectors))
-    folded = np.stack([v.astype(np.int16).reshape(width, -1).sum(axis=1) for v in vectors]).astype(np.int32)
-    full = np.array([v.max() == 255 for v in vectors])
-    ends = np.searchsorted(sizes, 100 * sizes // percent, side="right")
-    two = sides.min() != sides.max()
-    partners: list[np.ndarray] = []
-    for i in range(len(sids)):
-        js = np.arange(i + 1, ends[i])
-        js = js[(comps[js] != comps[i]) & (~two | (sides[js] != sides[i]))] if len(js) else js
-        if len(js):
-            bound = np.abs(folded[js] - folded[i]).sum(axis=1)
-            bound[full[js] | full[i]] = 0
-            total = sizes[js] + sizes[i]
-            js = js[100 * (total - bound) >= percent * (total + bound)]
-            js = js[[may_link(vectors[i], int(sizes[i]), vectors[j], int(sizes[j]), percent) for j in js.tolist()]] if len(js) else js
-        partners.append(js)
-    found = [(i, j) for i, js in enumerate(partners) for j in js.tolist()]
-    if len(found) <= PAIRS_EACH * len(sids):
-        return [(int(sids[i]), int(sids[j])) for i, j in found], []
-    degree = np.bincount(np.array(found).ravel(), minlength=len(sids))
-    pivots = set(np.argsort(-degree, kind="stable")[:PIVOTS].tolist())
-    stay = set(range(len(sids))) - pivots
-    touched = {k for i, j in found if i in stay and j in stay for k in (i, j)}
-    return [(int(sids[i]), int(sids[j])) for i, j in found if i in pivots or j in pivots], sids[sorted(touched)].tolist()
-
-
-def windows_joined(live: DataFrame, sets: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Windows of open regions: rows (sid, pivot, null) to compare and rows (sid, null, grp) that stay open."""
-    ring = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9)
-    spread = live.join(sets.select("sid", "n", "counts"), "sid").withColumn("ring", F.explode(F.array(ring, ring + 1)))  # own window, and that of the next sizes
-    parts = spread.groupBy("grp", "ring").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"), F.count_distinct("comp").alias("comps")).where("comps > 1")
-    own = F.pmod(F.xxhash64("sid", F.lit(turn)), F.col("parts")).cast("int")
-    keyed = spread.join(parts, ["grp", "ring"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    keyed = keyed.select(F.xxhash64("grp", "ring", F.least("own", "other"), F.greatest("own", "other"), F.lit(turn)).alias("window"), "sid", "comp", "own", "n", "counts")
-    tasks = max(8, -(-live.count() // 50_000))
+    by_comp = members.groupBy("cell", "comp").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"))
+    parts = lambda members, shingles: F.greatest(F.lit(1), F.ceil(members / PART), F.ceil(shingles * 8 / PART_BYTES)).cast("int")
+    sizes = by_comp.groupBy("cell").agg(F.max_by(F.struct("comp", "members", "shingles"), F.struct("members", "comp")).alias("top"), F.sum("members").alias("group_size"), F.sum("shingles").alias("shingles"))
+    rest = parts(F.col("group_size") - F.col("top.members"), F.col("shingles") - F.col("top.shingles"))
+    sizes = sizes.select("cell", "group_size", F.col("top.comp").alias("top"), parts(F.col("top.members"), F.col("top.shingles")).alias("tops"), rest.alias("rests"), (parts(F.col("group_size"), F.col("shingles")) == 1).alias("whole"))
+    sizes = written(sizes, "cell-sizes")
+    rows = attached(members, sizes, ["cell"], members.count(), how="inner").drop("group_size")
+    one = rows.where("whole").select(F.xxhash64("cell").alias("block"), "sid", "comp", "n")
+    many = rows.where("not whole").withColumn("is_top", F.col("comp") == F.col("top"))
+    many = many.withColumn("own", F.pmod(F.xxhash64("sid"), F.when(F.col("is_top"), F.col("tops")).otherwise(F.col("rests"))).cast("int"))
+    with_rests = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda j: F.when(F.col("is_top"), F.struct(F.lit(0).alias("kind"), F.col("own").alias("i"), j.alias("j"))).otherwise(F.struct(F.lit(1).alias("kind"), F.least("own", j).alias("i"), F.greatest("own", j).alias("j"))))
+    with_tops = F.when(~F.col("is_top"), F.transform(F.sequence(F.lit(0), F.col("tops") - 1), lambda i: F.struct(F.lit(0).alias("kind"), i.alias("i"), F.col("own").alias("j"))))
+    many = many.withColumn("at", F.explode(F.concat(with_rests, F.coalesce(with_tops, F.array().cast("array<struct<kind:int,i:int,j:int>>")))))
+    return one.unionByName(many.select(F.xxhash64("cell", "at.kind", "at.i", "at.j").alias("block"), "sid", "comp", "n"))
+
+
+def cell_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that connect the components of every open cell, each block joined by Voronoi cells in its task."""
+    blocks = written(_blocks(members), "blocks")
+    total = blocks.agg(F.coalesce(F.sum(F.col("n") * 8 + 100), F.lit(0))).first()[0]
+    rows = blocks.select("block", "sid", "comp").join(sets.select("sid", "body"), "sid").select("block", "sid", "comp", "body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, tested = ["sid", "pivot", "grp"], set()
-
-        def joined_window(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-            if len(rows) < 2:
-                return
-            sids, comps, sides, sizes = (np.array([r[k] for r in rows]) for k in (1, 2, 3, 4))
-            pairs, stay = window_pairs(sids, comps, sides, sizes, [np.frombuffer(r[5], dtype=np.uint8) for r in rows], percent)
-            fresh = [p for p in {(min(p), max(p)) for p in pairs} if p not in tested]
-            if len(tested) < 100_000:  # repeats beyond this are merged by the caller
-                tested.update(fresh)
-            if fresh:
-                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in fresh], pa.int64()), pa.array([p[1] for p in fresh], pa.int64()), pa.nulls(len(fresh), pa.int64())], names=names)
-            if stay:
-                yield pa.RecordBatch.from_arrays([pa.array(stay, pa.int64()), pa.nulls(len(stay), pa.int64()), pa.array([rows[0][0]] * len(stay), pa.int64())], names=names)
-
-        held: list[tuple] = []
+        block, held = None, []
+
+        def found() -> Iterator[pa.RecordBatch]:
+            if len({h[1] for h in held}) > 1:
+                sids = [h[0] for h in held]
+                near = metric_cells.links([h[2] for h in held], np.array([h[1] for h in held]), percent)
+                if near:
+                    yield pa.RecordBatch.from_arrays([pa.array([sids[k[side]] for k in near], pa.int64()) for side in (0, 1)], names=["a", "b"])
+
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and held[0][0] != row[0]:
-                    yield from joined_window(held)
-                    held = []
-                held.append(row)
-        yield from joined_window(held)
+            for key, sid, comp, body in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), strict=True):
+                if key != block:
+                    yield from found()
+                    block, held = key, []
+                held.append((sid, comp, np.frombuffer(body.as_py(), dtype="<u8")))
+        yield from found()
+
+    out = written(mapped(rows.repartition(max(8, -(-total // TASK_BYTES)), "block").sortWithinPartitions("block"), run, "a long, b long"), "links")
+    dropped(blocks)
+    return out
 
-    return keyed.repartition(tasks, "window").sortWithinPartitions("window", "sid").mapInArrow(run, "sid long, pivot long, grp long")
 
+def _open(members: DataFrame, comps: DataFrame | None, turn: int) -> DataFrame:
+    """(cell, sid, n, comp, pivot) of the cells whose members belong to more than one component."""
+    known = members.withColumn("comp", F.col("sid")) if comps is None else members.join(comps.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    known = written(known, "known")
+    pivot = F.min("sid") if turn == 0 else F.min_by("sid", F.xxhash64("sid", F.lit(turn)))
+    cells = known.groupBy("cell").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), pivot.alias("pivot"), F.count(F.lit(1)).alias("group_size"))
+    cells = written(cells.where("low < high").select("cell", "pivot", "group_size"), "open-cells")
+    out = written(attached(known, cells, ["cell"], known.count(), how="inner").drop("group_size"), "open")
+    dropped(known, cells)
+    return out
 
-def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(sid, pivot, shared, n, m): exact intersection sizes of pairs (sid, pivot)."""
-    bodies = sets.select("sid", "body")
-    both = pairs.join(bodies.withColumnRenamed("body", "own"), "sid").join(bodies.toDF("pivot", "body"), "pivot").select("sid", "pivot", "own", "body")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for own, body in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = (np.frombuffer(x.as_buffer(), dtype="<u8") for x in (own, body))
-                few, many = (a, b) if len(a) <= len(b) else (b, a)
-                at = np.searchsorted(many, few)
-                out.append((int((many[np.minimum(at, len(many) - 1)] == few).sum()), len(a), len(b)))
-            columns = [pa.array(c, pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 3
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["sid", "pivot", "shared", "n", "m"])
-
-    return both.mapInArrow(run, "sid long, pivot long, shared long, n long, m long")
-
-
-def linked_components(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(node, comp) of the sets that have links, by recursive joins of the regions ``members`` (grp, sid)."""
-    links, comps, turn = None, None, 0
-    while True:
-        known = members.withColumn("comp", F.col("sid")) if comps is None else members.join(comps.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-        picks = [F.min("sid")] if turn == 0 else [F.min_by("sid", F.xxhash64("sid", F.lit(k))) for k in range(PIVOTS)]
-        regions = known.groupBy("grp").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.array_distinct(F.array(*picks)).alias("pivots")).where("low < high").select("grp", "pivots")
-        live = written(known.join(regions, "grp"), "regions")
+def linked_components(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """(node, comp) of the sets that have links, by recursive joins of the cells ``members`` (cell, sid, n)."""
+    links, comps = None, None
+    for turn in range(STARS + 1):
+        live = _open(members, comps, turn)
+        dropped(members)
         if not live.take(1):
             dropped(live)
             break
-        if turn < 2:
-            pairs = live.select("sid", "comp", F.explode("pivots").alias("pivot")).where("sid <> pivot")
-            own = comps.select(F.col("node").alias("pivot"), F.col("comp").alias("pivot_comp")) if comps is not None else None
-            pairs = pairs.withColumn("pivot_comp", F.col("pivot")) if own is None else pairs.join(own, "pivot", "left").withColumn("pivot_comp", F.coalesce("pivot_comp", "pivot"))
-            pairs = pairs.where("comp <> pivot_comp").select(F.least("sid", "pivot").alias("sid"), F.greatest("sid", "pivot").alias("pivot")).distinct()
-            open_pairs = written(plausible(pairs, sets, percent), "pairs")
-            following = written(live.where(~F.array_contains("pivots", F.col("sid"))).select("grp", "sid"), "members")
-            candidates = open_pairs
+        if turn < STARS:
+            own = live.where("sid = pivot").select("pivot", F.col("n").alias("m"), F.col("comp").alias("pivot_comp")).distinct()
+            pairs = live.where("sid <> pivot").select("sid", "n", "comp", "pivot").distinct().join(own, "pivot")
+            pairs = pairs.where((F.col("comp") != F.col("pivot_comp")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
+            pairs = written(pairs.select(F.least("sid", "pivot").alias("sid"), F.greatest("sid", "pivot").alias("pivot")).distinct(), "pairs")
+            near = written(star_links(pairs, sets, percent), "links")
+            members = written(live.where("sid <> pivot").select("cell", "sid", "n"), "members")
+            dropped(pairs)
         else:
-            open_pairs = written(windows_joined(live.select("grp", "sid", "comp"), sets, percent, turn), "pairs")
-            candidates = open_pairs.where("pivot is not null").select("sid", "pivot").distinct()
-            following = written(open_pairs.where("pivot is null").select("grp", "sid"), "members")
-        near = compared(candidates, sets).where(100 * F.col("shared") >= percent * (F.col("n") + F.col("m") - F.col("shared")))
-        near = written(near.select(F.col("sid").alias("a"), F.col("pivot").alias("b")), "links")
+            near = cell_links(live.select("cell", "sid", "comp", "n"), sets, percent)
+        dropped(live)
         if near.take(1):
-            grown = near if links is None else written(links.select("a", "b").unionByName(near), "links")
+            grown = near if links is None else written(links.unionByName(near), "links")
             if links is not None:
                 dropped(links, comps, near)
             links, comps = grown, components(grown)
-        dropped(members, live, open_pairs)
+        else:
+            dropped(near)
         freed(sets.sparkSession)
-        members, turn = following, turn + 1
-    dropped(members)
-    if links is None:
-        return written(sets.select(F.col("sid").alias("node"), F.col("sid").alias("comp")).limit(0), "labels")
-    dropped(links)
+    if links is not None:
+        dropped(links)
     return comps
 
 
@@ -435,16 +400,21 @@ def joined(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
         if not sets_of.where("more <> most").take(1):
             break
         dropped(table, sets_of)  # two different sets with one 64-bit name: other hashes
-    counted = table.agg(F.coalesce(F.sum(F.octet_length("sigs")), F.lit(0))).first()[0] // 8
-    members = written(shared_signatures(table, max(8, -(-counted // BUCKET))), "members")
+    counted = table.agg(F.coalesce(F.sum(F.octet_length("near")), F.lit(0))).first()[0] // 8
+    places = written(shared_cells(table, max(8, -(-counted // BUCKET))), "places")
+    members = merged_cells(places)
+    dropped(places)
     wanted = written(members.select("sid").distinct().join(sets_of, "sid").select("sid", "more", F.col("rep").alias("doc_id")), "wanted")
     sets = written(fetched_sets(docs, wanted, id_col, text_col, width, seed).dropDuplicates(["sid"]), "sets")
     comps = linked_components(members, sets, percent)
     dropped(sets, wanted)
-    low = comps.withColumnRenamed("node", "sid").join(sets_of.select("sid", "rep"), "sid")
-    low = written(low.join(low.groupBy("comp").agg(F.min("rep").alias("low")), "comp").select("sid", "low"), "components")
-    named = written(sets_of.join(low, "sid", "left").where("group_size > 1 or low is not null").select("sid", F.coalesce("low", "rep").alias("component_id"), "group_size"), "named")
-    dropped(low, sets_of)
+    named = sets_of.withColumn("low", F.lit(None).cast(sets_of.schema["rep"].dataType))
+    if comps is not None:
+        low = comps.withColumnRenamed("node", "sid").join(sets_of.select("sid", "rep"), "sid")
+        low = written(low.join(low.groupBy("comp").agg(F.min("rep").alias("low")), "comp").select("sid", "low"), "components")
+        named = sets_of.join(low, "sid", "left")
+    named = written(named.where("group_size > 1 or low is not null").select("sid", F.coalesce("low", "rep").alias("component_id"), "group_size"), "named")
+    dropped(sets_of, *([low, comps] if comps is not None else []))
     total = table.count()
     rows = table.select("doc_id", "n", "sid")
     linkable = (F.col("n") > 0) & F.col("doc_id").isNotNull()

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +23,9 @@ def scratch_root(spark: SparkSession) -> str:
     """The shared folder the cluster names; a local one only where none is set (tests)."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="scratch-")
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="scratch-")  # one machine: driver and executor are one process
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
@@ -53,6 +59,24 @@ def freed(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``df.mapInArrow`` whose workers give their memory back: they live on, idle, beside later stages' workers."""
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        returned()
+
+    return df.mapInArrow(lean, schema)
+
+
+def returned() -> None:
+    """Gives memory that Arrow and the C library hold for later back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -62,8 +86,8 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def attached(rows: DataFrame, groups: DataFrame, keys: list[str], total: int, *, size: str = "group_size") -> DataFrame:
-    """``rows`` left-joined with one-row-per-key ``groups`` without a hot key in one task.
+def attached(rows: DataFrame, groups: DataFrame, keys: list[str], total: int, *, size: str = "group_size", how: str = "left") -> DataFrame:
+    """``rows`` joined (``how``: left or inner) with one-row-per-key ``groups`` without a hot key in one task.
 
     Groups above total / HOT_SHARE rows number fewer than HOT_SHARE by counting, so they are
     broadcast; the others are joined by a shuffle in which no key is large.  Both tables
@@ -72,7 +96,7 @@ def attached(rows: DataFrame, groups: DataFrame, keys: list[str], total: int, *,
     hot = groups.where(F.col(size) * HOT_SHARE > F.lit(total))
     cold = groups.where(F.col(size) * HOT_SHARE <= F.lit(total))
     near = rows.join(F.broadcast(hot), keys, "inner")
-    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, "left")
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, how)
     return near.unionByName(rest)
 
 

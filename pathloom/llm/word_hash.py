@@ -1,7 +1,10 @@
 """64-bit hashes of all words of many texts at once, in numpy.
 
-A word is a maximal run of bytes other than space and \\t \\n \\v \\f \\r.  Its hash is a random
-value per byte, weighted by powers of an odd base and mixed; arithmetic wraps at 2^64.
+A word is a maximal run of bytes other than space and \\t \\n \\v \\f \\r.  Its hash sums a keyed
+random value of every (place, byte) and is mixed, so no structure of a word makes collisions.
+Hashes of ranges weight a random value per byte by powers of an odd base.  These can
+collide on periodic patterns by structure, so what rests on them is checked by bytes.
+Arithmetic wraps at 2^64.
 """
 
 from __future__ import annotations
@@ -56,9 +59,33 @@ def range_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
         return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+#: Places whose values are looked up; those of later ones are computed.
+PLACES = 64
+_KEY = _random.integers(0, 1 << 63, dtype=np.uint64)
+
+
+def _values(place: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix((place.astype(np.uint64) << np.uint64(8) | byte) * BASE + _KEY)
+
+
+TABLE = _values(np.repeat(np.arange(PLACES), 256), np.tile(np.arange(256, dtype=np.uint8), PLACES))
+
+
 def words(data: np.ndarray, *, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, hashes) of the words of a byte array."""
     space = IS_SPACE[data]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).astype(np.int8)))
     starts, ends = edge[0::2], edge[1::2]
-    return starts, ends, range_hashes(prefix_hashes(LOWER[data] if lower else data), starts, ends)
+    if not len(starts):
+        return starts, ends, np.zeros(0, dtype=np.uint64)
+    body = (LOWER[data] if lower else data)[~space]
+    sizes = ends - starts
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(len(body)) - np.repeat(first, sizes)
+    value = TABLE[np.minimum(place, PLACES - 1) << 8 | body]
+    late = np.flatnonzero(place >= PLACES)
+    if len(late):
+        value[late] = _values(place[late], body[late])
+    with np.errstate(over="ignore"):
+        return starts, ends, mix(np.add.reduceat(value, first) + sizes.astype(np.uint64))

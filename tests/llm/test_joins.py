@@ -6,9 +6,9 @@ import re
 
 import numpy as np
 import pytest
-from pathloom.llm import jaccard_join, vantage
+from pathloom.llm import jaccard_join, metric_cells, vantage
 from pathloom.llm.components import components
-from pathloom.llm.jaccard_join import counts, joined, may_link, shingle_sets, signatures
+from pathloom.llm.jaccard_join import SLOT_BITS, joined, pivots, shingle_sets
 from pathloom.llm.repeated_spans import without_repeats
 
 
@@ -73,11 +73,12 @@ def corpus(seed=1):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("pairs_each", [jaccard_join.PAIRS_EACH, 0])
-def test_join_equals_brute_force(spark, monkeypatch, pairs_each):
-    """With 0, windows are never finished at once, so pivots leave them round by round; small parts force blocks."""
-    monkeypatch.setattr(jaccard_join, "PAIRS_EACH", pairs_each)
-    monkeypatch.setattr(jaccard_join, "PART", 20)
+@pytest.mark.parametrize(("stars", "part", "tile"), [(2, 1500, 512), (0, 9, 512), (0, 1500, 8)])
+def test_join_equals_brute_force(spark, monkeypatch, stars, part, tile):
+    """Also with no pivot made from cells before they are split, with small blocks, and with small tiles, so that Voronoi cells recurse."""
+    monkeypatch.setattr(jaccard_join, "STARS", stars)
+    monkeypatch.setattr(jaccard_join, "PART", part)
+    monkeypatch.setattr(metric_cells, "TILE", tile)
     monkeypatch.setattr(jaccard_join, "CHUNK", 300)
     rows = [*corpus(), (None, "a b c d"), (3, "one two")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "5 as sid", "'x' as n")
@@ -85,12 +86,58 @@ def test_join_equals_brute_force(spark, monkeypatch, pairs_each):
     assert got == brute_components(rows)
 
 
+def test_join_of_many_copies_about_the_threshold(spark, monkeypatch):
+    """A third of all rows lie just above or just below the threshold from each other, and one is very long."""
+    monkeypatch.setattr(jaccard_join, "PART", 200)
+    monkeypatch.setattr(metric_cells, "TILE", 64)
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    base = [word() for _ in range(103)]
+    rows = []
+    for k in range(320):
+        copy = list(base)
+        for at in r.sample(range(0, 100, 5), (1, 2, 3, 4)[k % 4]):
+            copy[at] = word()
+        rows.append(" ".join(copy))
+    rows += [" ".join(word() for _ in range(r.randint(1, 90))) for _ in range(300)]
+    rows += [" ".join(word() for _ in range(200_000))] * 2
+    rows = list(enumerate(rows))
+    got = sorted(((g.doc_id, g.n_shingles, g.component_id) for g in joined(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()), key=repr)
+    assert got[-2:] and got == brute_components(rows)
+
+
+def test_voronoi_cells_hold_every_link():
+    r = np.random.default_rng(8)
+    base = [np.unique(r.integers(0, 4000, 60)) for _ in range(6)]
+    sets = []
+    for k in range(400):
+        x = base[k % 6]
+        sets.append(np.unique(np.concatenate((r.choice(x, len(x) - r.integers(0, 8), replace=False), r.integers(0, 4000, r.integers(0, 6))))).astype(np.uint64))
+    cells = metric_cells.Cells(sets, np.arange(len(sets)), 85)
+    members = np.arange(len(sets))
+    found = [set(c.tolist()) for c in cells.split(members, members[::57])]
+    shared = cells.overlaps(members, members)
+    assert all(shared[a, b] == len(np.intersect1d(sets[a], sets[b])) for a in range(0, 400, 37) for b in range(400) if a != b)
+    size = np.array([len(s) for s in sets])
+    linked = np.argwhere(100 * shared >= 85 * (size[:, None] + size[None] - shared))
+    assert len(linked) > 1000 and all(any(a in c and b in c for c in found) for a, b in linked.tolist())
+    assert sum(map(len, found)) < 3 * len(sets)
+
+
+def test_words_of_a_pattern_that_wrapping_polynomials_confuse():
+    a = "".join("ab"[k.bit_count() % 2] for k in range(4096))
+    b = a.translate(str.maketrans("ab", "ba"))
+    x, y = shingle_sets([a.encode(), b.encode()])
+    assert not np.array_equal(x, y)
+
+
 def test_join_of_an_empty_table(spark):
     assert joined(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
-def test_signatures_meet_and_counts_rule_out_no_link():
+def test_linked_sets_share_a_cell():
     r = np.random.default_rng(3)
+    counts = r.integers(0, 3, 1 << SLOT_BITS).astype(np.uint32)
     for n in (6, 7, 20, 54, 55, 63, 64, 75, 80, 96, 130, 380, 400, 1000):
         for _ in range(15):
             x = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
@@ -101,12 +148,7 @@ def test_signatures_meet_and_counts_rule_out_no_link():
                 if 100 * len(np.intersect1d(x, z)) < 85 * len(np.union1d(x, z)):
                     break
                 y = z
-            assert len(np.intersect1d(signatures(x), signatures(y)))
-            a, b = (np.frombuffer(counts(v), dtype=np.uint8) for v in (x, y))
-            assert may_link(a, len(x), b, len(y), 85)
-            other = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64))
-            if n > 60:
-                assert not may_link(a, len(x), np.frombuffer(counts(other), dtype=np.uint8), len(other), 85)
+            assert len(np.intersect1d(pivots(x, counts), pivots(y, counts)))
 
 
 def test_shingles_equal_definition():
