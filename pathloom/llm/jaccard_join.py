@@ -7,7 +7,9 @@
    home is the rarest.  A link leaves a set all but |x| - ceil(p |x|) of its shingles, so the
    window copies it into the cells of that many shingles, and one more, from the rarest on:
    linked sets meet in a cell.  Passages that many documents share are the farthest in that
-   order and seldom reached.  Cells with the same members are merged.
+   order and seldom reached.  Cells with the same members are merged.  Sets with few of
+   these shingles in common have too few others left to be linked, which rules out most
+   pairs before any whole set is fetched (``most_shared``).
 3. Cells join recursively.  Twice a member is made pivot of its cell and compared with all
    others; those within the radius form one component with it, which settles them against
    each other, and a cell whose members are all in one component is done.  What stays open
@@ -22,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -140,11 +143,10 @@ def slot_counts(docs: DataFrame, text_col: str, width: int, seed: int) -> np.nda
     return np.minimum(out, 0xFFFFFFFF).astype(np.uint32)
 
 
-def signed(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, seed: int) -> DataFrame:
+def signed(docs: DataFrame, shipped: Broadcast, id_col: str, text_col: str, width: int, percent: int, seed: int) -> DataFrame:
     """(doc_id, n, sid, more, near) of every row; equal sets have equal (sid, more).  A task lists each set's cells once."""
     table = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"))
     kind = table.schema["doc_id"].dataType.simpleString()
-    shipped = docs.sparkSession.sparkContext.broadcast(slot_counts(docs, text_col, width, seed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -285,6 +287,37 @@ def star_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return mapped(both, run, "a long, b long")
 
 
+def most_shared(near_x: np.ndarray, n: int, near_y: np.ndarray, m: int, counts: np.ndarray) -> int:
+    """An upper bound of the shingles that two sets share, from their rarest ones.
+
+    Up to the last one listed of the set whose list ends first, all that both have is in both
+    lists; beyond it either has what remains.
+    """
+    key = lambda near: (int(counts[slot_of(near[-1:])][0]), int(near[-1]))
+    if key(near_y) < key(near_x):
+        near_x, n, near_y, m = near_y, m, near_x, n
+    last = key(near_x)
+    weight = counts[slot_of(near_y)]
+    reached = int(((weight < last[0]) | (weight == last[0]) & (near_y <= np.uint64(last[1]))).sum())
+    return len(np.intersect1d(near_x, near_y, assume_unique=True)) + min(n - len(near_x), m - reached)
+
+
+def plausible(pairs: DataFrame, lists: DataFrame, shipped: Broadcast, percent: int) -> DataFrame:
+    """The pairs (sid, pivot) whose lists of rarest shingles allow a link."""
+    both = pairs.join(lists, "sid").join(lists.toDF("pivot", "m", "pivot_near"), "pivot").select("sid", "pivot", "n", "m", "near", "pivot_near")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shipped.value
+        for batch in batches:
+            keep = []
+            for n, m, x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5), strict=True):
+                shared = most_shared(np.frombuffer(x.as_buffer(), dtype="<u8"), n, np.frombuffer(y.as_buffer(), dtype="<u8"), m, counts)
+                keep.append(100 * shared >= percent * (n + m - shared))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return mapped(both, run, "sid long, pivot long")
+
+
 def _blocks(members: DataFrame) -> DataFrame:
     """(block, sid, comp, n) of open cells (cell, sid, comp, n): a cell that fits a task is one block.
 
@@ -307,33 +340,77 @@ def _blocks(members: DataFrame) -> DataFrame:
     return one.unionByName(many.select(F.xxhash64("cell", "at.kind", "at.i", "at.j").alias("block"), "sid", "comp", "n"))
 
 
-def cell_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links that connect the components of every open cell, each block joined by Voronoi cells in its task."""
-    blocks = written(_blocks(members), "blocks")
+def _by_block(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[tuple]]:
+    """The rows (block, ..., bytes) of each block, which stand together; the last column as an array of hashes."""
+    block, held = None, []
+    for batch in batches:
+        for *row, body in zip(*(batch.column(k).to_pylist() for k in range(width - 1)), batch.column(width - 1), strict=True):
+            if row[0] != block and held:
+                yield held
+                held = []
+            block = row[0]
+            held.append((*row, np.frombuffer(body.as_py(), dtype="<u8")))
+    if held:
+        yield held
+
+
+def _together(rows: DataFrame, total: int) -> DataFrame:
+    return rows.repartition(max(8, -(-total // TASK_BYTES)), "block").sortWithinPartitions("block")
+
+
+def partnered(blocks: DataFrame, lists: DataFrame, shipped: Broadcast, percent: int) -> DataFrame:
+    """The rows (block, sid, comp, n) of ``blocks`` that the lists of rarest shingles allow a link with another component's."""
+    total = blocks.agg(F.coalesce(F.sum(F.col("n") * (100 - percent) * 8 / 100 + 100), F.lit(0)).cast("long")).first()[0]
+    rows = blocks.join(lists.select("sid", "near"), "sid").select("block", "sid", "comp", "n", "near")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shipped.value
+        for held in _by_block(batches, 5):
+            comps = np.array([h[2] for h in held])
+            if comps.min() == comps.max():
+                continue
+            near = [h[4] for h in held]
+            keep = metric_cells.partnered(near, np.array([h[3] for h in held]), [(int(counts[slot_of(x[-1:])][0]), int(x[-1])) for x in near], comps, percent)
+            if keep.any():
+                kept = [h for h, k in zip(held, keep, strict=True) if k]
+                yield pa.RecordBatch.from_arrays([pa.array([h[c] for h in kept], pa.int64()) for c in range(4)], names=["block", "sid", "comp", "n"])
+
+    return mapped(_together(rows, total), run, "block long, sid long, comp long, n long")
+
+
+def cell_links(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that connect the components of every block, joined by Voronoi cells in its task."""
     total = blocks.agg(F.coalesce(F.sum(F.col("n") * 8 + 100), F.lit(0))).first()[0]
     rows = blocks.select("block", "sid", "comp").join(sets.select("sid", "body"), "sid").select("block", "sid", "comp", "body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held = None, []
+        for held in _by_block(batches, 4):
+            near = metric_cells.links([h[3] for h in held], np.array([h[2] for h in held]), percent)
+            if near:
+                yield pa.RecordBatch.from_arrays([pa.array([held[k[side]][1] for k in near], pa.int64()) for side in (0, 1)], names=["a", "b"])
 
-        def found() -> Iterator[pa.RecordBatch]:
-            if len({h[1] for h in held}) > 1:
-                sids = [h[0] for h in held]
-                near = metric_cells.links([h[2] for h in held], np.array([h[1] for h in held]), percent)
-                if near:
-                    yield pa.RecordBatch.from_arrays([pa.array([sids[k[side]] for k in near], pa.int64()) for side in (0, 1)], names=["a", "b"])
+    return mapped(_together(rows, total), run, "a long, b long")
 
-        for batch in batches:
-            for key, sid, comp, body in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), strict=True):
-                if key != block:
-                    yield from found()
-                    block, held = key, []
-                held.append((sid, comp, np.frombuffer(body.as_py(), dtype="<u8")))
-        yield from found()
-
-    out = written(mapped(rows.repartition(max(8, -(-total // TASK_BYTES)), "block").sortWithinPartitions("block"), run, "a long, b long"), "links")
-    dropped(blocks)
-    return out
+
+class Sets:
+    """Whole sets of the corpus, fetched when they are first asked for."""
+
+    def __init__(self, docs: DataFrame, sets_of: DataFrame, id_col: str, text_col: str, width: int, seed: int):
+        self.docs, self.sets_of, self.args = docs, sets_of.select("sid", "more", F.col("rep").alias("doc_id")), (id_col, text_col, width, seed)
+        self.held: list[DataFrame] = []
+
+    def of(self, sids: DataFrame) -> DataFrame:
+        """(sid, n, body) that holds all of ``sids`` (a column sid), each once."""
+        missing = sids.distinct()
+        for table in self.held:
+            missing = missing.join(table.select("sid"), "sid", "left_anti")
+        wanted = written(missing.join(self.sets_of, "sid"), "wanted")
+        self.held.append(written(fetched_sets(self.docs, wanted, *self.args).dropDuplicates(["sid"]), "sets"))
+        dropped(wanted)
+        out = self.held[0]
+        for table in self.held[1:]:
+            out = out.unionByName(table)
+        return out
 
 
 def _open(members: DataFrame, comps: DataFrame | None, turn: int) -> DataFrame:
@@ -348,7 +425,7 @@ def _open(members: DataFrame, comps: DataFrame | None, turn: int) -> DataFrame:
     return out
 
 
-def linked_components(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+def linked_components(members: DataFrame, lists: DataFrame, sets: Sets, shipped: Broadcast, percent: int) -> DataFrame | None:
     """(node, comp) of the sets that have links, by recursive joins of the cells ``members`` (cell, sid, n)."""
     links, comps = None, None
     for turn in range(STARS + 1):
@@ -361,12 +438,16 @@ def linked_components(members: DataFrame, sets: DataFrame, percent: int) -> Data
             own = live.where("sid = pivot").select("pivot", F.col("n").alias("m"), F.col("comp").alias("pivot_comp")).distinct()
             pairs = live.where("sid <> pivot").select("sid", "n", "comp", "pivot").distinct().join(own, "pivot")
             pairs = pairs.where((F.col("comp") != F.col("pivot_comp")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
-            pairs = written(pairs.select(F.least("sid", "pivot").alias("sid"), F.greatest("sid", "pivot").alias("pivot")).distinct(), "pairs")
-            near = written(star_links(pairs, sets, percent), "links")
+            pairs = pairs.select(F.least("sid", "pivot").alias("sid"), F.greatest("sid", "pivot").alias("pivot")).distinct()
+            pairs = written(plausible(pairs, lists, shipped, percent), "pairs")
+            near = written(star_links(pairs, sets.of(pairs.select("sid").unionByName(pairs.select(F.col("pivot").alias("sid")))), percent), "links")
             members = written(live.where("sid <> pivot").select("cell", "sid", "n"), "members")
             dropped(pairs)
         else:
-            near = cell_links(live.select("cell", "sid", "comp", "n"), sets, percent)
+            blocks = written(_blocks(live.select("cell", "sid", "comp", "n")), "blocks")
+            left = written(partnered(blocks, lists, shipped, percent), "partnered")
+            near = written(cell_links(left, sets.of(left.select("sid")), percent), "links")
+            dropped(blocks, left)
         dropped(live)
         if near.take(1):
             grown = near if links is None else written(links.unionByName(near), "links")
@@ -375,7 +456,7 @@ def linked_components(members: DataFrame, sets: DataFrame, percent: int) -> Data
             links, comps = grown, components(grown)
         else:
             dropped(near)
-        freed(sets.sparkSession)
+        freed(lists.sparkSession)
     if links is not None:
         dropped(links)
     return comps
@@ -393,7 +474,8 @@ def joined(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
     other columns aren't read.
     """
     for seed in range(8):
-        table = written(signed(docs, id_col, text_col, width, percent, seed), "signed")
+        shipped = docs.sparkSession.sparkContext.broadcast(slot_counts(docs, text_col, width, seed))
+        table = written(signed(docs, shipped, id_col, text_col, width, percent, seed), "signed")
         whole = table.where("n > 0 and doc_id is not null")
         sets_of = whole.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.min("more").alias("more"), F.max("more").alias("most"), F.count(F.lit(1)).alias("group_size"))
         sets_of = written(sets_of, "sets-of")
@@ -404,10 +486,11 @@ def joined(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
     places = written(shared_cells(table, max(8, -(-counted // BUCKET))), "places")
     members = merged_cells(places)
     dropped(places)
-    wanted = written(members.select("sid").distinct().join(sets_of, "sid").select("sid", "more", F.col("rep").alias("doc_id")), "wanted")
-    sets = written(fetched_sets(docs, wanted, id_col, text_col, width, seed).dropDuplicates(["sid"]), "sets")
-    comps = linked_components(members, sets, percent)
-    dropped(sets, wanted)
+    lists = table.where("near is not null").select("sid", "n", "near").join(members.select("sid").distinct(), "sid", "left_semi")
+    lists = written(lists.dropDuplicates(["sid"]), "lists")
+    sets = Sets(docs, sets_of, id_col, text_col, width, seed)
+    comps = linked_components(members, lists, sets, shipped, percent)
+    dropped(lists, *sets.held)
     named = sets_of.withColumn("low", F.lit(None).cast(sets_of.schema["rep"].dataType))
     if comps is not None:
         low = comps.withColumnRenamed("node", "sid").join(sets_of.select("sid", "rep"), "sid")

@@ -180,3 +180,30 @@ def links(sets: list[np.ndarray], components: np.ndarray, percent: int) -> list[
     cells = Cells(sets, components, percent)
     cells.join(np.arange(len(sets)))
     return cells.links
+
+
+def partnered(lists: list[np.ndarray], sizes: np.ndarray, lasts: list[tuple[int, int]], components: np.ndarray, percent: int) -> np.ndarray:
+    """Which sets, known by their rarest shingles (all up to the last listed, ``lasts`` its place in the order), may have a link with one of another component.
+
+    Of two sets, all that both have up to the end of the list that ends first is in both
+    lists, and beyond it that list's set has no more than what it doesn't list.
+    """
+    cells = Cells(lists, components, percent)
+    order = np.array(sorted(range(len(lasts)), key=lasts.__getitem__))
+    place = np.empty(len(lasts), dtype=np.int64)
+    place[order] = np.arange(len(lasts))
+    rest = sizes - cells.sizes
+    keep = np.zeros(len(lists), dtype=bool)
+    by_size = np.argsort(sizes, kind="stable")
+    parts = [by_size[k : k + TILE] for k in range(0, len(lists), TILE)]
+    for k, a in enumerate(parts):
+        for b in parts[k:]:
+            if 100 * sizes[a[-1]] < percent * sizes[b[0]]:
+                break
+            both = cells.overlaps(a, b)
+            shared = both + np.where(place[a][:, None] <= place[b][None], np.minimum(rest[a][:, None], sizes[b][None] - both), np.minimum(rest[b][None], sizes[a][:, None] - both))
+            may = (100 * shared >= percent * (sizes[a][:, None] + sizes[b][None] - shared)) & (components[a][:, None] != components[b][None])
+            may &= 100 * np.minimum(sizes[a][:, None], sizes[b][None]) >= percent * np.maximum(sizes[a][:, None], sizes[b][None])
+            keep[a[may.any(axis=1)]] = True
+            keep[b[may.any(axis=0)]] = True
+    return keep

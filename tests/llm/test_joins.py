@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import sys
 
 import numpy as np
 import pytest
@@ -12,7 +13,10 @@ from pathloom.llm.jaccard_join import SLOT_BITS, joined, pivots, shingle_sets
 from pathloom.llm.repeated_spans import without_repeats
 
 
-def test_components(spark):
+@pytest.mark.parametrize("bound", [250_000, 20])
+def test_components(spark, monkeypatch, bound):
+    """In one task, and contracted by shuffles first."""
+    monkeypatch.setattr(sys.modules["pathloom.llm.components"], "TASK_LINKS", bound)
     r = random.Random(1)
     links = [(r.randint(0, 60), r.randint(0, 60)) for _ in range(45)] + [(k, k + 1) for k in range(100, 140)] + [(500, k) for k in range(200, 260)]
     near = {}
@@ -148,7 +152,16 @@ def test_linked_sets_share_a_cell():
                 if 100 * len(np.intersect1d(x, z)) < 85 * len(np.union1d(x, z)):
                     break
                 y = z
-            assert len(np.intersect1d(pivots(x, counts), pivots(y, counts)))
+            near = pivots(x, counts), pivots(y, counts)
+            assert len(np.intersect1d(*near))
+            assert jaccard_join.most_shared(near[0], len(x), near[1], len(y), counts) >= len(np.intersect1d(x, y))
+            lasts = [(int(counts[jaccard_join.slot_of(v[-1:])][0]), int(v[-1])) for v in near]
+            assert metric_cells.partnered(list(near), np.array([len(x), len(y)]), lasts, np.array([1, 2]), 85).all()
+            z = np.unique(np.concatenate((r.permutation(x)[: n // 4], r.integers(0, 1 << 63, n - n // 4, dtype=np.uint64) * np.uint64(2))))
+            if n >= 130:  # a quarter in common: ruled out
+                near = pivots(x, counts), pivots(z, counts)
+                bound = jaccard_join.most_shared(near[0], len(x), near[1], len(z), counts)
+                assert 100 * bound < 85 * (len(x) + len(z) - bound)
 
 
 def test_shingles_equal_definition():
