@@ -79,7 +79,8 @@ def shingle_sets(texts: list[bytes], width: int = SHINGLE, seed: int = 0) -> lis
 
 
 def slot_of(found: np.ndarray) -> np.ndarray:
-    return (found >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+    """The slots of hashes, or of their upper halves."""
+    return (found >> found.dtype.type(found.dtype.itemsize * 8 - SLOT_BITS)).astype(np.int64)
 
 
 def pivots(found: np.ndarray, counts: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -287,19 +288,38 @@ def star_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return mapped(both, run, "a long, b long")
 
 
+def rare_lists(table: DataFrame) -> DataFrame:
+    """(sid, n, near): the rarest shingles by the upper halves of their hashes, enough to bound what sets share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            halves = [(np.frombuffer(x.as_buffer(), dtype="<u8") >> np.uint64(32)).astype("<u4").tobytes() for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(halves, pa.binary())], names=["sid", "n", "near"])
+
+    return mapped(table, run, "sid long, n long, near binary")
+
+
+def last_key(near: np.ndarray, counts: np.ndarray) -> tuple[int, int]:
+    """The place of the last listed shingle in the order of rarity; equal for different shingles only if the true order is unknown."""
+    return int(counts[slot_of(near[-1:])][0]), int(near[-1])
+
+
 def most_shared(near_x: np.ndarray, n: int, near_y: np.ndarray, m: int, counts: np.ndarray) -> int:
     """An upper bound of the shingles that two sets share, from their rarest ones.
 
     Up to the last one listed of the set whose list ends first, all that both have is in both
-    lists; beyond it either has what remains.
+    lists; beyond it either has what remains.  Equal halves of different hashes only raise it.
     """
-    key = lambda near: (int(counts[slot_of(near[-1:])][0]), int(near[-1]))
-    if key(near_y) < key(near_x):
-        near_x, n, near_y, m = near_y, m, near_x, n
-    last = key(near_x)
-    weight = counts[slot_of(near_y)]
-    reached = int(((weight < last[0]) | (weight == last[0]) & (near_y <= np.uint64(last[1]))).sum())
-    return len(np.intersect1d(near_x, near_y, assume_unique=True)) + min(n - len(near_x), m - reached)
+    x, y = last_key(near_x, counts), last_key(near_y, counts)
+    both = min(np.isin(near_x, near_y).sum(), np.isin(near_y, near_x).sum())
+
+    def rest(near: np.ndarray, size: int, last: tuple[int, int], other: np.ndarray, other_size: int) -> int:
+        weight = counts[slot_of(other)]
+        reached = int(((weight < last[0]) | (weight == last[0]) & (other < np.uint32(last[1]))).sum())
+        return min(size - len(near), other_size - max(reached, int(both)))
+
+    ends = [rest(near_x, n, x, near_y, m)] * (x <= y) + [rest(near_y, m, y, near_x, n)] * (y <= x)
+    return int(both) + max(ends)
 
 
 def plausible(pairs: DataFrame, lists: DataFrame, shipped: Broadcast, percent: int) -> DataFrame:
@@ -311,7 +331,7 @@ def plausible(pairs: DataFrame, lists: DataFrame, shipped: Broadcast, percent: i
         for batch in batches:
             keep = []
             for n, m, x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5), strict=True):
-                shared = most_shared(np.frombuffer(x.as_buffer(), dtype="<u8"), n, np.frombuffer(y.as_buffer(), dtype="<u8"), m, counts)
+                shared = most_shared(np.frombuffer(x.as_buffer(), dtype="<u4"), n, np.frombuffer(y.as_buffer(), dtype="<u4"), m, counts)
                 keep.append(100 * shared >= percent * (n + m - shared))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
@@ -340,7 +360,7 @@ def _blocks(members: DataFrame) -> DataFrame:
     return one.unionByName(many.select(F.xxhash64("cell", "at.kind", "at.i", "at.j").alias("block"), "sid", "comp", "n"))
 
 
-def _by_block(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[tuple]]:
+def _by_block(batches: Iterator[pa.RecordBatch], width: int, kind: str) -> Iterator[list[tuple]]:
     """The rows (block, ..., bytes) of each block, which stand together; the last column as an array of hashes."""
     block, held = None, []
     for batch in batches:
@@ -349,7 +369,7 @@ def _by_block(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[tu
                 yield held
                 held = []
             block = row[0]
-            held.append((*row, np.frombuffer(body.as_py(), dtype="<u8")))
+            held.append((*row, np.frombuffer(body.as_py(), dtype=kind)))
     if held:
         yield held
 
@@ -360,17 +380,17 @@ def _together(rows: DataFrame, total: int) -> DataFrame:
 
 def partnered(blocks: DataFrame, lists: DataFrame, shipped: Broadcast, percent: int) -> DataFrame:
     """The rows (block, sid, comp, n) of ``blocks`` that the lists of rarest shingles allow a link with another component's."""
-    total = blocks.agg(F.coalesce(F.sum(F.col("n") * (100 - percent) * 8 / 100 + 100), F.lit(0)).cast("long")).first()[0]
+    total = blocks.agg(F.coalesce(F.sum(F.col("n") * (100 - percent) * 4 / 100 + 100), F.lit(0)).cast("long")).first()[0]
     rows = blocks.join(lists.select("sid", "near"), "sid").select("block", "sid", "comp", "n", "near")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shipped.value
-        for held in _by_block(batches, 5):
+        for held in _by_block(batches, 5, "<u4"):
             comps = np.array([h[2] for h in held])
             if comps.min() == comps.max():
                 continue
             near = [h[4] for h in held]
-            keep = metric_cells.partnered(near, np.array([h[3] for h in held]), [(int(counts[slot_of(x[-1:])][0]), int(x[-1])) for x in near], comps, percent)
+            keep = metric_cells.partnered(near, np.array([h[3] for h in held]), [last_key(x, counts) for x in near], comps, percent)
             if keep.any():
                 kept = [h for h, k in zip(held, keep, strict=True) if k]
                 yield pa.RecordBatch.from_arrays([pa.array([h[c] for h in kept], pa.int64()) for c in range(4)], names=["block", "sid", "comp", "n"])
@@ -384,7 +404,7 @@ def cell_links(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     rows = blocks.select("block", "sid", "comp").join(sets.select("sid", "body"), "sid").select("block", "sid", "comp", "body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in _by_block(batches, 4):
+        for held in _by_block(batches, 4, "<u8"):
             near = metric_cells.links([h[3] for h in held], np.array([h[2] for h in held]), percent)
             if near:
                 yield pa.RecordBatch.from_arrays([pa.array([held[k[side]][1] for k in near], pa.int64()) for side in (0, 1)], names=["a", "b"])
@@ -487,7 +507,7 @@ def joined(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
     members = merged_cells(places)
     dropped(places)
     lists = table.where("near is not null").select("sid", "n", "near").join(members.select("sid").distinct(), "sid", "left_semi")
-    lists = written(lists.dropDuplicates(["sid"]), "lists")
+    lists = written(rare_lists(lists).dropDuplicates(["sid"]), "lists")
     sets = Sets(docs, sets_of, id_col, text_col, width, seed)
     comps = linked_components(members, lists, sets, shipped, percent)
     dropped(lists, *sets.held)

@@ -189,9 +189,8 @@ def partnered(lists: list[np.ndarray], sizes: np.ndarray, lasts: list[tuple[int,
     lists, and beyond it that list's set has no more than what it doesn't list.
     """
     cells = Cells(lists, components, percent)
-    order = np.array(sorted(range(len(lasts)), key=lasts.__getitem__))
-    place = np.empty(len(lasts), dtype=np.int64)
-    place[order] = np.arange(len(lasts))
+    ranks = {key: k for k, key in enumerate(sorted(set(lasts)))}
+    place = np.array([ranks[key] for key in lasts])
     rest = sizes - cells.sizes
     keep = np.zeros(len(lists), dtype=bool)
     by_size = np.argsort(sizes, kind="stable")
@@ -201,7 +200,9 @@ def partnered(lists: list[np.ndarray], sizes: np.ndarray, lasts: list[tuple[int,
             if 100 * sizes[a[-1]] < percent * sizes[b[0]]:
                 break
             both = cells.overlaps(a, b)
-            shared = both + np.where(place[a][:, None] <= place[b][None], np.minimum(rest[a][:, None], sizes[b][None] - both), np.minimum(rest[b][None], sizes[a][:, None] - both))
+            by_a, by_b = np.minimum(rest[a][:, None], sizes[b][None] - both), np.minimum(rest[b][None], sizes[a][:, None] - both)
+            turn = place[a][:, None] - place[b][None]
+            shared = both + np.where(turn < 0, by_a, np.where(turn > 0, by_b, np.maximum(by_a, by_b)))
             may = (100 * shared >= percent * (sizes[a][:, None] + sizes[b][None] - shared)) & (components[a][:, None] != components[b][None])
             may &= 100 * np.minimum(sizes[a][:, None], sizes[b][None]) >= percent * np.maximum(sizes[a][:, None], sizes[b][None])
             keep[a[may.any(axis=1)]] = True

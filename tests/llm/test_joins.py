@@ -144,22 +144,23 @@ def test_linked_sets_share_a_cell():
     counts = r.integers(0, 3, 1 << SLOT_BITS).astype(np.uint32)
     for n in (6, 7, 20, 54, 55, 63, 64, 75, 80, 96, 130, 380, 400, 1000):
         for _ in range(15):
-            x = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+            x = np.unique(r.integers(0, 1 << 64, n, dtype=np.uint64))
             y = x
             for _ in range(300):  # as different as a link allows
                 k = r.integers(len(y))
-                z = np.delete(y, k) if r.random() < 0.5 else np.unique(np.append(np.delete(y, k), r.integers(0, 1 << 63, 1, dtype=np.uint64)))
+                z = np.delete(y, k) if r.random() < 0.5 else np.unique(np.append(np.delete(y, k), r.integers(0, 1 << 64, 1, dtype=np.uint64)))
                 if 100 * len(np.intersect1d(x, z)) < 85 * len(np.union1d(x, z)):
                     break
                 y = z
             near = pivots(x, counts), pivots(y, counts)
             assert len(np.intersect1d(*near))
+            near = [(v >> np.uint64(32)).astype(np.uint32) for v in near]
             assert jaccard_join.most_shared(near[0], len(x), near[1], len(y), counts) >= len(np.intersect1d(x, y))
-            lasts = [(int(counts[jaccard_join.slot_of(v[-1:])][0]), int(v[-1])) for v in near]
+            lasts = [jaccard_join.last_key(v, counts) for v in near]
             assert metric_cells.partnered(list(near), np.array([len(x), len(y)]), lasts, np.array([1, 2]), 85).all()
-            z = np.unique(np.concatenate((r.permutation(x)[: n // 4], r.integers(0, 1 << 63, n - n // 4, dtype=np.uint64) * np.uint64(2))))
+            z = np.unique(np.concatenate((r.permutation(x)[: n // 4], r.integers(0, 1 << 64, n - n // 4, dtype=np.uint64))))
             if n >= 130:  # a quarter in common: ruled out
-                near = pivots(x, counts), pivots(z, counts)
+                near = [(v >> np.uint64(32)).astype(np.uint32) for v in (pivots(x, counts), pivots(z, counts))]
                 bound = jaccard_join.most_shared(near[0], len(x), near[1], len(z), counts)
                 assert 100 * bound < 85 * (len(x) + len(z) - bound)
 
