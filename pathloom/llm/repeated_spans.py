@@ -7,8 +7,9 @@ positions of a corpus would move many times its size, so three passes narrow the
    is an anchor, so equal windows hold equal anchors at equal places.  Some 4 % of positions
    are anchors; each travels with hashes of its gram and of all bytes that windows around it
    can reach (its context).
-2. Of occurrences of a gram with equal contexts, all but the first are covered whole.  First
-   occurrences of different contexts of one gram may still share some windows: contenders.
+2. Of occurrences of a gram with equal contexts (by two hashes, 126 bits, one of prime
+   moduli, so that no pattern of bytes collides by structure), all but the first are covered
+   whole.  First occurrences of different contexts of one gram may still share some windows: contenders.
 3. Contenders bring their context bytes together by gram.  Suffixes that begin at the anchor,
    and reversed ones that end before it, are sorted by hash comparisons; neighbours' common
    extensions split them into classes for every reach, and a window is a repeat if its pair
@@ -26,18 +27,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import word_hash
-from .shared import dropped, written
+from .shared import dropped, mapped, small, written
 from .suffix_sort import sorted_strings
 
 SPAN, GRAM = 100, 40
-#: Bytes of text taken at once, anchors sorted together, and rows of a reducing partition.
-PIECE, CHUNK, BUCKET = 2 << 20, 1_000_000, 2_000_000
+#: Bytes of text taken at once, rows of a batch that are Python objects at once, anchors sorted together, and anchors of a bucket, some of which a task reduces one after the other.
+PIECE, ROWS, CHUNK, BUCKET, TASK_BUCKETS = 512 << 10, 256, 400_000, 120_000, 8
 #: Contenders of one gram above which its windows are grouped one by one in an exchange of their own.
 HOT_GRAM = 50_000
-#: Bytes up to which per-document positions are broadcast to the texts instead of shuffling these.
-BROADCAST_BYTES = 48 << 20
+#: Contenders of whole grams that are compared at once.
+SORTED_ROWS = 15_000
+#: Bytes of per-document positions, as packed, up to which these are broadcast to the texts instead of shuffling the texts.
+BROADCAST_BYTES = 32 << 20
 
-ANCHOR = np.dtype([("gram", "<u8"), ("context", "<u8"), ("row", "<i8"), ("pos", "<i4")])
+ANCHOR = np.dtype([("gram", "<u8"), ("context", "<u8"), ("check", "<u8"), ("row", "<i8"), ("pos", "<i4")])
+SPOT = np.dtype([("pos", "<i4"), ("gram", "<i8")])
 RUN = np.dtype([("row", "<i8"), ("start", "<i4"), ("end", "<i4")])
 
 
@@ -50,10 +54,10 @@ def _sliding(values: np.ndarray, width: int, pick: np.ufunc, fill: int) -> np.nd
     return pick(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(positions, gram hashes, context hashes) of the anchors of the texts data[starts:ends]."""
+def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, gram hashes, context hashes, other context hashes) of the anchors of the texts data[starts:ends]."""
     n, reach, width = len(data), span - gram, span - gram + 1
-    none = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
+    none = np.zeros(0, dtype=np.int64), *[np.zeros(0, dtype=np.uint64)] * 3
     if n < span:
         return none
     prefix = word_hash.prefix_hashes(data)
@@ -73,7 +77,7 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, span: int =
     low, high = np.maximum(starts[text], chosen - reach), np.minimum(ends[text], chosen + span)
     with np.errstate(over="ignore"):
         context = word_hash.mix(word_hash.range_hashes(prefix, low, high) + (chosen - low).astype(np.uint64))
-    return chosen, h[chosen], context
+    return chosen, h[chosen], context, word_hash.prime_hashes(data, low, high)
 
 
 def _pieces(texts: list[bytes], span: int) -> Iterator[tuple[list[int], list[int], list[int], list[int], bytes]]:
@@ -136,6 +140,13 @@ def _covered(rows: np.ndarray, span: int, gram: int) -> np.ndarray:
     return _merged_runs(rows["row"], np.maximum(0, pos - (span - gram)), pos + span)
 
 
+def ordered(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors by gram, context and place; whether each is the first of its gram, and of its context."""
+    rows = rows[np.lexsort((rows["pos"], rows["row"], rows["check"], rows["context"], rows["gram"]))]
+    new_gram = np.concatenate(([True], rows["gram"][1:] != rows["gram"][:-1]))
+    return rows, new_gram, new_gram | np.concatenate(([True], (rows["context"][1:] != rows["context"][:-1]) | (rows["check"][1:] != rows["check"][:-1])))
+
+
 def anchor_findings(table: DataFrame, buckets: int, span: int, gram: int) -> DataFrame:
     """Passes 1 and 2: covered runs, and contenders with their gram."""
 
@@ -146,9 +157,7 @@ def anchor_findings(table: DataFrame, buckets: int, span: int, gram: int) -> Dat
         def emit() -> pa.RecordBatch:
             nonlocal turn
             rows = np.concatenate(held)
-            rows = rows[np.lexsort((rows["pos"], rows["row"], rows["context"], rows["gram"]))]
-            first = np.ones(len(rows), dtype=bool)
-            first[1:] = (rows["gram"][1:] != rows["gram"][:-1]) | (rows["context"][1:] != rows["context"][:-1])
+            rows, _, first = ordered(rows)
             runs = _covered(rows[~first], span, gram)
             rows = rows[first]  # one a chunk for each context, however often it occurs
             bucket = (rows["gram"] % np.uint64(buckets)).astype(np.int64)
@@ -160,59 +169,57 @@ def anchor_findings(table: DataFrame, buckets: int, span: int, gram: int) -> Dat
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.bool_(), pa.binary()), strict=True)], names=["bucket", "done", "rows"])
 
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
-            for text, offset, low, high, parts in _pieces(texts, span):
-                sizes = np.array([len(p) for p in parts], dtype=np.int64)
-                ends = np.cumsum(sizes)
-                starts = ends - sizes
-                pos, grams, contexts = anchors(np.frombuffer(b"".join(parts), dtype=np.uint8), starts, ends, span, gram)
-                of = np.searchsorted(starts, pos, side="right") - 1
-                inside = pos - starts[of]
-                keep = (inside >= np.array(low)[of]) & (inside < np.array(high)[of])
-                rows = np.empty(int(keep.sum()), dtype=ANCHOR)
-                rows["gram"], rows["context"] = grams[keep], contexts[keep]
-                rows["row"] = ids[np.array(text)[of[keep]]]
-                rows["pos"] = (inside + np.array(offset)[of])[keep]
-                held.append(rows)
-                count += len(rows)
-                if count >= CHUNK:
-                    yield emit()
-                    held, count = [], 0
+            for at in range(0, batch.num_rows, ROWS):
+                ids = batch.column(0).slice(at, ROWS).to_numpy()
+                texts = [(t or "").encode() for t in batch.column(1).slice(at, ROWS).to_pylist()]
+                for text, offset, low, high, parts in _pieces(texts, span):
+                    sizes = np.array([len(p) for p in parts], dtype=np.int64)
+                    ends = np.cumsum(sizes)
+                    starts = ends - sizes
+                    pos, *hashes = anchors(np.frombuffer(b"".join(parts), dtype=np.uint8), starts, ends, span, gram)
+                    of = np.searchsorted(starts, pos, side="right") - 1
+                    inside = pos - starts[of]
+                    keep = (inside >= np.array(low)[of]) & (inside < np.array(high)[of])
+                    rows = np.empty(int(keep.sum()), dtype=ANCHOR)
+                    for name, values in zip(("gram", "context", "check"), hashes, strict=True):
+                        rows[name] = values[keep]
+                    rows["row"] = ids[np.array(text)[of[keep]]]
+                    rows["pos"] = (inside + np.array(offset)[of])[keep]
+                    held.append(rows)
+                    count += len(rows)
+                    if count >= CHUNK:
+                        yield emit()
+                        held, count = [], 0
         if count:
             yield emit()
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
-        for batch in batches:
-            for done, rows in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if done:
-                    yield _runs_frame(np.frombuffer(rows, dtype=RUN))
-                else:
-                    held.append(np.frombuffer(rows, dtype=ANCHOR))
-        if not held:
-            return
-        rows = np.concatenate(held)
-        held.clear()
-        # grams that occur once say nothing
-        by = np.argsort(rows["gram"], kind="stable")
-        same = rows["gram"][by][1:] == rows["gram"][by][:-1]
-        rows = rows[by[np.concatenate(([False], same)) | np.concatenate((same, [False]))]]
-        if not len(rows):
-            return
-        rows = rows[np.lexsort((rows["pos"], rows["row"], rows["context"], rows["gram"]))]
-        new_gram = np.concatenate(([True], rows["gram"][1:] != rows["gram"][:-1]))
-        first = new_gram | np.concatenate(([True], rows["context"][1:] != rows["context"][:-1]))
+    def joined(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        rows, new_gram, first = ordered(np.concatenate(held))
         yield _runs_frame(_covered(rows[~first], span, gram))
         group = np.cumsum(new_gram) - 1
         contexts = np.bincount(group, weights=first)
-        rows = rows[first & (contexts[group] > 1)]
-        n = len(rows)
-        for a in range(0, n, 200_000):
+        rows = rows[first & (contexts[group] > 1)]  # a gram of one context has no contenders
+        for a in range(0, len(rows), 200_000):
             x = rows[a : a + 200_000]
             yield _frame([np.ones(len(x), dtype=bool), x["row"].copy(), x["pos"].copy(), x["pos"].copy(), x["gram"].copy().view(np.int64)], FOUND)
 
-    return table.mapInArrow(part, "bucket int, done boolean, rows binary").repartition(buckets, "bucket").mapInArrow(meet, FOUND_SQL)
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held = None, []
+        for batch in batches:
+            for key, done, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if key != bucket and held:
+                    yield from joined(held)
+                    held = []
+                bucket = key
+                if done:
+                    yield _runs_frame(np.frombuffer(rows.as_buffer(), dtype=RUN))
+                else:
+                    held.append(np.frombuffer(rows.as_py(), dtype=ANCHOR))
+        if held:
+            yield from joined(held)
+
+    parts = mapped(table, part, "bucket int, done boolean, rows binary").repartition(max(8, -(-buckets // TASK_BUCKETS)), "bucket")
+    return mapped(parts.sortWithinPartitions("bucket"), meet, FOUND_SQL)
 
 
 def _context_type(span: int, gram: int) -> np.dtype:
@@ -288,18 +295,18 @@ def contender_runs(texts: DataFrame, buckets: int, span: int, gram: int) -> Data
 
         for batch in batches:
             for row, text, spots in zip(*(batch.column(k) for k in range(3)), strict=True):
-                found = spots.values
-                rows = _contexts((text.as_py() or "").encode(), found.field(0).to_numpy().astype(np.int64), found.field(1).to_numpy().view(np.uint64), row.as_py(), kind, span, gram)
+                found = np.frombuffer(spots.as_buffer(), dtype=SPOT)
+                rows = _contexts((text.as_py() or "").encode(), found["pos"].astype(np.int64), found["gram"].astype(np.uint64), row.as_py(), kind, span, gram)
                 held.append(rows)
                 count += len(rows)
-                if count >= 150_000:
+                if count >= 100_000:
                     yield emit()
                     held, count = [], 0
         if count:
             yield emit()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.frombuffer(x, dtype=kind) for batch in batches for x in batch.column(1).to_pylist()]
+        held = [np.frombuffer(x.as_py(), dtype=kind) for batch in batches for x in batch.column(1)]
         if held:
             rows = np.concatenate(held)
             held.clear()
@@ -307,11 +314,11 @@ def contender_runs(texts: DataFrame, buckets: int, span: int, gram: int) -> Data
             edges = np.flatnonzero(np.concatenate(([True], rows["gram"][1:] != rows["gram"][:-1], [True])))
             a = 0
             while a < len(edges) - 1:  # whole grams, some ten thousand rows at a time
-                b = max(a + 1, int(np.searchsorted(edges, edges[a] + 40_000, side="right")) - 1)
+                b = max(a + 1, int(np.searchsorted(edges, edges[a] + SORTED_ROWS, side="right")) - 1)
                 yield _runs_frame(repeated_windows(rows[edges[a] : edges[b]], span, gram))
                 a = b
 
-    return texts.mapInArrow(part, "bucket int, rows binary").repartition(buckets, "bucket").mapInArrow(meet, FOUND_SQL)
+    return mapped(mapped(texts, part, "bucket int, rows binary").repartition(buckets, "bucket"), meet, FOUND_SQL)
 
 
 def hot_runs(texts: DataFrame, span: int, gram: int) -> DataFrame:
@@ -323,12 +330,12 @@ def hot_runs(texts: DataFrame, span: int, gram: int) -> DataFrame:
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, text, spots in zip(*(batch.column(k) for k in range(3)), strict=True):
-                body, found = (text.as_py() or "").encode(), spots.values.field(0).to_numpy()
+                body, found = (text.as_py() or "").encode(), np.frombuffer(spots.as_buffer(), dtype=SPOT)["pos"]
                 starts = np.unique(np.concatenate([np.arange(max(0, p - reach), min(p, len(body) - span) + 1) for p in found.tolist()]))
                 windows = [hashlib.blake2b(body[s : s + span], digest_size=16).digest() for s in starts.tolist()]
                 yield _frame([windows, np.full(len(starts), row.as_py()), starts.astype(np.int32)], schema)
 
-    windows = written(texts.mapInArrow(part, "window binary, row long, start int"), "windows")
+    windows = written(mapped(texts, part, "window binary, row long, start int"), "windows")
     least = windows.groupBy("window").agg(F.min("row").alias("first_row"), F.count(F.lit(1)).alias("times")).where("times > 1")
     at = windows.join(least, "window")
     start = at.where("row = first_row").groupBy("window").agg(F.min("start").alias("first_start"))
@@ -349,9 +356,39 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, D
     return held, held
 
 
-def _with_texts(table: DataFrame, per_row: DataFrame, how: str, size: str) -> DataFrame:
-    """Texts joined with per-row lists, which are broadcast if all their bytes are few."""
-    total = per_row.agg(F.coalesce(F.sum(F.size(size)), F.lit(0)) + F.count(F.lit(1))).first()[0] * 16
+def _packed_spots(contenders: DataFrame) -> DataFrame:
+    """(row, packed): places and grams of each row's contenders as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = []
+            for spots in batch.column(1):
+                rows = np.empty(len(spots.values), dtype=SPOT)
+                rows["pos"], rows["gram"] = spots.values.field(0).to_numpy(), spots.values.field(1).to_numpy()
+                packed.append(rows.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["row", "packed"])
+
+    return mapped(contenders.groupBy("row").agg(F.collect_list(F.struct(F.col("start").alias("pos"), "gram"))), run, "row long, packed binary")
+
+
+def _packed_runs(runs: DataFrame) -> DataFrame:
+    """(row, packed): each row's maximal runs as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = []
+            for found in batch.column(1):
+                start, end = (found.values.field(k).to_numpy().astype(np.int64) for k in (0, 1))
+                whole = _merged_runs(np.zeros(len(start), dtype=np.int64), start, end)
+                packed.append(np.stack((whole["start"], whole["end"]), axis=1).astype("<i4").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["row", "packed"])
+
+    return mapped(runs.groupBy("row").agg(F.collect_list(F.struct("start", "end"))), run, "row long, packed binary")
+
+
+def _with_texts(table: DataFrame, per_row: DataFrame, how: str) -> DataFrame:
+    """Texts joined with the packed positions of a written table, which are broadcast if all their bytes are few."""
+    total = per_row.agg(F.coalesce(F.sum(F.octet_length("packed") + 64), F.lit(0))).first()[0]
     return table.join(F.broadcast(per_row) if total <= BROADCAST_BYTES else per_row, "row", how)
 
 
@@ -367,39 +404,37 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     table, numbered = _numbered(docs, id_col, text_col)
     total = table.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets = max(8, -(-total * 2 // ((span - gram + 2) * BUCKET // 2)))
+    buckets = max(8, -(-total * 2 // ((span - gram + 2) * BUCKET)))
     found = written(anchor_findings(table.select("row", "text"), buckets, span, gram), "findings")
-    contenders = found.where("contender")
-    hot = [r.gram for r in contenders.groupBy("gram").count().where(F.col("count") > hot_gram).select("gram").limit(100_000).collect()] if contenders.count() > hot_gram else []
-    runs = found.where("not contender")
-    spots = F.collect_list(F.struct(F.col("start").alias("pos"), "gram")).alias("spots")
-    parts = [runs]
-    if hot:
-        hot_rows = table.sparkSession.createDataFrame([(g,) for g in hot], "gram long")  # fewer than contenders / hot_gram
-        parts.append(written(hot_runs(_with_texts(table, contenders.join(F.broadcast(hot_rows), "gram").groupBy("row").agg(spots), "inner", "spots").select("row", "text", "spots"), span, gram), "hot-runs"))
-        contenders = contenders.join(F.broadcast(hot_rows), "gram", "left_anti")
+    contenders, parts, spots = found.where("contender"), [found.where("not contender")], []
+    often = written(contenders.groupBy("gram").count().where(F.col("count") > hot_gram).select("gram"), "hot-grams")
+    if often.take(1):
+        listed = F.broadcast(often) if small(often) else often
+        spots.append(written(_packed_spots(contenders.join(listed, "gram")), "hot-spots"))
+        parts.append(written(hot_runs(_with_texts(table, spots[-1], "inner").select("row", "text", "packed"), span, gram), "hot-runs"))
+        contenders = contenders.join(listed, "gram", "left_anti")
     count = contenders.count()
-    cold = _with_texts(table, contenders.groupBy("row").agg(spots), "inner", "spots").select("row", "text", "spots")
-    parts.append(written(contender_runs(cold, max(8, -(-count // 60_000)), span, gram), "contender-runs"))
+    spots.append(written(_packed_spots(contenders), "spots"))
+    parts.append(written(contender_runs(_with_texts(table, spots[-1], "inner").select("row", "text", "packed"), max(8, -(-count // 60_000)), span, gram), "contender-runs"))
     every = parts[0]
     for more in parts[1:]:
         every = every.unionByName(more)
-    by_row = written(every.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("runs")), "runs")
+    by_row = written(_packed_runs(every), "runs")
+    dropped(often, *spots)
     dropped(found, *parts[1:])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept", "spans"] * with_text]
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             out = []
             for text, runs in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
                 body = (text or "").encode()
                 if not runs.is_valid:
                     out.append((len(body), 0, 0, hashlib.sha256(body).hexdigest(), body, []))
                     continue
-                start, end = (runs.values.field(k).to_numpy().astype(np.int64) for k in (0, 1))
-                whole = _merged_runs(np.zeros(len(start), dtype=np.int64), start, np.minimum(end, len(body)))
+                whole = np.minimum(np.frombuffer(runs.as_buffer(), dtype="<i4").reshape(-1, 2), len(body)).tolist()
                 kept, at, spans = [], 0, []
-                for a, b in zip(whole["start"].tolist(), whole["end"].tolist()):
+                for a, b in whole:
                     kept.append(body[at:a])
                     spans.append({"start": a, "end": b})
                     at = b
@@ -411,5 +446,5 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns[: 4 + 2 * with_text]], names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    joined = _with_texts(table, by_row, "left", "runs").select("doc_id", "text", "runs")
-    return joined.mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string{', kept binary, spans array<struct<start:long,end:long>>' if with_text else ''}")
+    joined = _with_texts(table, by_row, "left").select("doc_id", "text", "packed")
+    return mapped(joined, cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string{', kept binary, spans array<struct<start:long,end:long>>' if with_text else ''}")

@@ -59,6 +59,34 @@ def range_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
         return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+#: Primes and bases of range hashes that no pattern of bytes collides by structure.
+PRIMES = ((2**31 - 1, 1_181_783_497), (2**31 - 19, 1_276_586_813))
+
+
+@lru_cache(2)
+def _prime_powers(size: int, which: int) -> np.ndarray:
+    prime, base = PRIMES[which]
+    out = np.ones(1, dtype=np.uint64)
+    step = base
+    while len(out) < size:  # doubled: B^(n + k) = B^n B^k
+        out = np.concatenate((out, out * np.uint64(step) % np.uint64(prime)))
+        step = step * step % prime
+    return out
+
+
+def prime_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """62-bit hashes of the ranges by polynomials modulo two primes; range ends are brought to one power."""
+    size = 1 << max(16, len(data).bit_length())
+    out = np.zeros(len(starts), dtype=np.uint64)
+    for which, (prime, _) in enumerate(PRIMES):
+        powers_ = _prime_powers(size, which)
+        sums = np.zeros(len(data) + 1, dtype=np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers_[: len(data)] % np.uint64(prime), out=sums[1:])
+        part = (sums[ends] - sums[starts]) % np.uint64(prime) * powers_[size - 1 - starts] % np.uint64(prime)
+        out = out << np.uint64(31) | part
+    return out
+
+
 #: Places whose values are looked up; those of later ones are computed.
 PLACES = 64
 _KEY = _random.integers(0, 1 << 63, dtype=np.uint64)

@@ -7,7 +7,7 @@ import sys
 
 import numpy as np
 import pytest
-from pathloom.llm import jaccard_join, metric_cells, vantage
+from pathloom.llm import jaccard_join, metric_cells, vantage, word_hash
 from pathloom.llm.components import components
 from pathloom.llm.jaccard_join import SLOT_BITS, joined, pivots, shingle_sets
 from pathloom.llm.repeated_spans import without_repeats
@@ -227,7 +227,7 @@ def span_corpus():
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize(("hot", "piece"), [(50_000, 2 << 20), (5, 2 << 20), (50_000, 256)])
+@pytest.mark.parametrize(("hot", "piece"), [(50_000, 512 << 10), (5, 512 << 10), (50_000, 256)])
 def test_repeated_spans_equal_brute_force(spark, monkeypatch, hot, piece):
     """Also with every shared gram hot, and with texts read in small pieces."""
     from pathloom.llm import repeated_spans
@@ -240,6 +240,14 @@ def test_repeated_spans_equal_brute_force(spark, monkeypatch, hot, piece):
     assert got == brute_spans(rows, 100)
 
 
+def test_range_hashes():
+    data = np.frombuffer(bytes(random.Random(2).choices(b"ab", k=3000)) * 2, dtype=np.uint8)
+    starts = np.arange(0, 2800, 7)
+    for hashes in (word_hash.prime_hashes, lambda d, a, b: word_hash.range_hashes(word_hash.prefix_hashes(d), a, b)):
+        assert (hashes(data, starts, starts + 160) == hashes(data, starts + 3000, starts + 3160)).all()
+        assert len(np.unique(hashes(data, starts, starts + 160))) == len(starts)
+
+
 def test_repeated_spans_of_odd_ids(spark):
     rows = [(2, "b" * 50 + "c" * 120), (2, "a" * 40 + "c" * 120), (None, "c" * 130), (1, "d" * 10), (2, "a" * 40 + "c" * 120)]
     got = sorted((tuple(g) for g in without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
