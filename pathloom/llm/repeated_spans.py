@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import word_hash
-from .shared import dropped, mapped, small, written
+from .shared import dropped, freed, mapped, small, written
 from .suffix_sort import sorted_strings
 
 SPAN, GRAM = 100, 40
@@ -37,7 +37,7 @@ PIECE, ROWS, CHUNK, BUCKET, TASK_BUCKETS = 512 << 10, 256, 400_000, 120_000, 8
 HOT_GRAM = 50_000
 #: Contenders of whole grams that are compared at once.
 SORTED_ROWS = 15_000
-#: Bytes of per-document positions, as packed, up to which these are broadcast to the texts instead of shuffling the texts.
+#: Bytes of all documents' runs, as packed, up to which these are broadcast to the texts instead of shuffling the texts.
 BROADCAST_BYTES = 32 << 20
 
 ANCHOR = np.dtype([("gram", "<u8"), ("context", "<u8"), ("check", "<u8"), ("row", "<i8"), ("pos", "<i4")])
@@ -386,8 +386,8 @@ def _packed_runs(runs: DataFrame) -> DataFrame:
     return mapped(runs.groupBy("row").agg(F.collect_list(F.struct("start", "end"))), run, "row long, packed binary")
 
 
-def _with_texts(table: DataFrame, per_row: DataFrame, how: str) -> DataFrame:
-    """Texts joined with the packed positions of a written table, which are broadcast if all their bytes are few."""
+def _with_runs(table: DataFrame, per_row: DataFrame, how: str) -> DataFrame:
+    """Texts joined with the packed runs of a written table, which are broadcast if all their bytes are few."""
     total = per_row.agg(F.coalesce(F.sum(F.octet_length("packed") + 64), F.lit(0))).first()[0]
     return table.join(F.broadcast(per_row) if total <= BROADCAST_BYTES else per_row, "row", how)
 
@@ -406,20 +406,22 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     total = table.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(8, -(-total * 2 // ((span - gram + 2) * BUCKET)))
     found = written(anchor_findings(table.select("row", "text"), buckets, span, gram), "findings")
+    freed(table.sparkSession)  # the anchors' shuffle files
     contenders, parts, spots = found.where("contender"), [found.where("not contender")], []
     often = written(contenders.groupBy("gram").count().where(F.col("count") > hot_gram).select("gram"), "hot-grams")
     if often.take(1):
         listed = F.broadcast(often) if small(often) else often
         spots.append(written(_packed_spots(contenders.join(listed, "gram")), "hot-spots"))
-        parts.append(written(hot_runs(_with_texts(table, spots[-1], "inner").select("row", "text", "packed"), span, gram), "hot-runs"))
+        parts.append(written(hot_runs(table.join(spots[-1], "row").select("row", "text", "packed"), span, gram), "hot-runs"))
         contenders = contenders.join(listed, "gram", "left_anti")
     count = contenders.count()
     spots.append(written(_packed_spots(contenders), "spots"))
-    parts.append(written(contender_runs(_with_texts(table, spots[-1], "inner").select("row", "text", "packed"), max(8, -(-count // 60_000)), span, gram), "contender-runs"))
+    parts.append(written(contender_runs(table.join(spots[-1], "row").select("row", "text", "packed"), max(8, -(-count // 60_000)), span, gram), "contender-runs"))
     every = parts[0]
     for more in parts[1:]:
         every = every.unionByName(more)
     by_row = written(_packed_runs(every), "runs")
+    freed(table.sparkSession)
     dropped(often, *spots)
     dropped(found, *parts[1:])
 
@@ -446,5 +448,5 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns[: 4 + 2 * with_text]], names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    joined = _with_texts(table, by_row, "left").select("doc_id", "text", "packed")
+    joined = _with_runs(table, by_row, "left").select("doc_id", "text", "packed")
     return mapped(joined, cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string{', kept binary, spans array<struct<start:long,end:long>>' if with_text else ''}")
