@@ -23,10 +23,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import attached, scratch_path, small, text_bytes, written
+from .shared import attached, mapped, scratch_path, small, text_bytes, written
 
 #: Payload bytes after which a task begins its next package.
 PACKAGE_BYTES = 64 << 20
+#: Records after which a package closes, however small they are, and rows of a batch that are Python objects at once.
+PACKAGE_RECORDS, ROWS = 100_000, 256
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 DATE = "2024-01-01T00:00:00Z"
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -206,20 +208,20 @@ def written_packages(pages: DataFrame, to: str, *, min_bytes: int = 0, id_col: s
 
     def write(batches: Iterator) -> Iterator[pd.DataFrame]:
         out = None
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             for page_id, url, body, sha1, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 out = out or PackageWriter(f"{to}/{uuid.uuid4().hex}.wacz")
                 payload = body.encode()
                 digest = base64.b32encode(sha1).decode()
                 entry = {"url": url, "id": page_id}
                 out.add(record_bytes(page_id, url, payload, digest, refers_to, refers_to is not None), entry, len(payload))
-                if out.payload >= package_bytes:
+                if out.payload >= package_bytes or len(out.index) >= PACKAGE_RECORDS:
                     yield _row(out.close())
                     out = None
         if out:
             yield _row(out.close())
 
-    return written(rows.mapInArrow(write, "package string, records long, data_bytes long"), "manifest")
+    return written(mapped(rows, write, "package string, records long, data_bytes long"), "manifest")
 
 
 def _row(found: dict):
@@ -245,7 +247,7 @@ def read_packages(manifest: DataFrame) -> DataFrame:
                     yield from _records(PackageReader(file, file.size()), pa)
 
     count = max(1, min(manifest.count(), 10_000))
-    return manifest.select("package").repartition(count).mapInArrow(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload string")
+    return mapped(manifest.select("package").repartition(count), read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload string")
 
 
 def _records(reader: PackageReader, pa) -> Iterator:

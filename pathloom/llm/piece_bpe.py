@@ -24,9 +24,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .shared import mapped
+
 MARK = "▁"
 #: Distinct cuts kept by a worker before its memory is cleared, and the longest that is kept.
-KEPT_CUTS, KEPT_CHARS = 600_000, 64
+KEPT_CUTS, KEPT_CHARS = 300_000, 64
 
 
 class PieceBPE:
@@ -247,4 +249,4 @@ def encoded(docs: DataFrame, model_file: str, *, id_col: str = "doc_id", text_co
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema.fields[:-1])
-    return table.mapInArrow(run, f"{kept}, n_tokens long, ids_sha256 string, decoded_sha256 string{extra}")
+    return mapped(table, run, f"{kept}, n_tokens long, ids_sha256 string, decoded_sha256 string{extra}")

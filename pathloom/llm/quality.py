@@ -16,13 +16,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import word_hash
+from .shared import mapped
 
-#: Labelled documents the model is fitted on at most, and the lines of a document up to which it is used for that.
-TRAIN_DOCS, TRAIN_LINES = 2000, 400
+#: Labelled documents the model is fitted on at most, and all their bytes.
+TRAIN_DOCS, TRAIN_BYTES = 2000, 32 << 20
+#: Rows and bytes of text whose features are made at once; one longer text is taken whole.
+ROWS, SLICE = 256, 512 << 10
 THRESHOLD = 0.7
 HELD_OUT = 2
 
@@ -88,6 +91,18 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return np.hstack([own, before, after, first[:, None], final[:, None]]), sizes, per_text
 
 
+def slices(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of some size together, or of one long text."""
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end]) <= SLICE):
+            size += len(texts[end]) + 1
+            end += 1
+        yield at, end
+        at = end
+
+
 def _steps(per_text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Texts by falling length, their first lines, and how many texts have a line at each step."""
     order = np.argsort(-per_text, kind="stable")
@@ -172,7 +187,8 @@ def fitted(samples: list[tuple[bytes, int]], *, steps: int = 120, rate: float =
     if len(set(labels.tolist())) < 2:  # nothing to tell apart: the one label's share, or a half
         share = float(labels.mean()) * 0.98 + 0.01 if len(labels) else 0.5
         return LineModel(np.zeros(width), np.ones(width), np.zeros(width), np.zeros((2, 2)), 0.0, float(np.log(share / (1 - share))))
-    features, sizes, per_text = line_features([t for t, _ in samples])
+    texts = [t for t, _ in samples]
+    features, sizes, per_text = map(np.concatenate, zip(*(line_features(texts[a:b]) for a, b in slices(texts))))
     mean, deviation = features.mean(axis=0), features.std(axis=0)
     mean[0], deviation[0] = 0, 1
     deviation[deviation < 1e-9] = 1
@@ -215,13 +231,19 @@ def in_fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(4))
 
 
-def trained(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_docs: int = TRAIN_DOCS) -> LineModel:
-    """A model of at most ``train_docs`` labelled rows outside the held-out fold, chosen by a hash of the id."""
+def trained(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES) -> LineModel:
+    """A model of labelled rows outside the held-out fold, in the order of a hash of the id.
+
+    It is fitted on whole documents, however long, as many as ``train_docs`` and
+    ``train_bytes`` allow; these bound what reaches the driver.
+    """
     chosen = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & (in_fold(F.col("doc_id")) != HELD_OUT))
-    chosen = chosen.groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id", F.lit("train")), "doc_id").limit(train_docs)
-    text = F.col(text_col)
-    found = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).join(F.broadcast(chosen), "doc_id").where((F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))) < TRAIN_LINES)
-    rows = found.groupBy("doc_id", "y").agg(F.min("text").alias("text")).orderBy("doc_id").limit(train_docs).collect()
+    rank = [F.xxhash64("doc_id", F.lit("train")), F.col("doc_id")]
+    chosen = chosen.groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(*rank).limit(train_docs)
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    sizes = texts.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.max("size").alias("size"))
+    fit = sizes.withColumn("sum", F.sum("size").over(Window.orderBy(*rank))).where(F.col("sum") <= train_bytes).select("doc_id", "y")  # train_docs rows
+    rows = texts.join(F.broadcast(fit), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
     return fitted([((r.text or "").encode(), r.y) for r in rows])
 
 
@@ -237,21 +259,15 @@ def scored(docs: DataFrame, model: LineModel, *, id_col: str = "doc_id", text_co
     table = docs.select(*kept, (in_fold(F.col(id_col)) == HELD_OUT).alias("held_out"), F.col(text_col).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             texts = [(t or "").encode() for t in batch.column(batch.num_columns - 1).to_pylist()]
-            at = 0
-            while at < len(texts):  # slices of some MB, or one long text
-                end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end]) <= 4 << 20):
-                    size += len(texts[end]) + 1
-                    end += 1
+            for at, end in slices(texts):
                 score, good, per_text = model.scores(texts[at:end])
                 part = batch.slice(at, end - at)
                 columns = [*part.columns[:-1], pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))]
                 if with_lines:
                     columns.append(pa.array(np.split(good, np.cumsum(per_text)[:-1]), pa.list_(pa.float64())))
                 yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "score", "predicted", *["line_scores"] * with_lines])
-                at = end
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema.fields[:-1])
-    return table.mapInArrow(run, f"{kinds}, score double, predicted int{', line_scores array<double>' if with_lines else ''}")
+    return mapped(table, run, f"{kinds}, score double, predicted int{', line_scores array<double>' if with_lines else ''}")
