@@ -1,9 +1,10 @@
 """Main text of HTML pages by minimum-cut labelling of their text blocks.
 
-A page becomes a sequence of text blocks with their element paths.  A linear classifier gives
-each block a cost for either label; these are its capacities from the source (content) and to
+A page becomes a sequence of text blocks in a tree of elements.  A linear classifier (elements,
+graded cues of names, link density, length, sentence ends) gives each block a cost for either
+label; these are its capacities from the source (content) and to
 the sink (boilerplate).  Neighbours in page order and neighbours in the element tree are tied
-by smoothness edges, stronger the nearer their paths.  The blocks on the source side of a
+by smoothness edges, stronger the nearer they are.  The blocks on the source side of a
 minimum cut, found by maximum flow, are the content.
 """
 
@@ -11,50 +12,59 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .shared import mapped
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"""|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*|[^>]*)(?:>|\Z)|<|[^<]+""",
     re.DOTALL,
 )
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|itemprop|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?|["'][^\s]*""")
 SPACE = re.compile(r"\s+")
-WORDS = re.compile(r"[a-z]+|\d+")
+PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 SENTENCE_ENDS = frozenset(".!?…。！？:;»\"”")
 
 # Element classes of HTML.
 RAW = frozenset("script style noscript template textarea title iframe object svg math canvas select noframes xmp plaintext".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
-# The classifier.  Positive is content.  Each element or name counts once a path.
+# The classifier.  Positive is content.
 BIAS = -0.4
 ELEMENT_WEIGHT = {
-    "article": 5.0, "main": 3.5, "nav": -20.0, "aside": -20.0, "footer": -20.0, "form": -20.0, "menu": -20.0, "dialog": -20.0, "header": -4.0,
-    "button": -20.0, "fieldset": -5.0, "figcaption": 0.5, "blockquote": 0.8, "pre": 0.8, "head": -20.0,
+    "article": 4.0, "main": 3.0, "nav": -12.0, "aside": -12.0, "footer": -12.0, "form": -12.0, "menu": -12.0, "dialog": -12.0, "header": -4.0,
+    "button": -12.0, "fieldset": -5.0, "figcaption": 0.5, "blockquote": 0.8, "pre": 0.8, "head": -20.0,
 }
 LEAF_WEIGHT = {"p": 1.0, "h1": 0.8, "h2": 0.4, "h3": 0.4, "li": -0.3, "td": 0.0, "pre": 0.6, "blockquote": 0.6}
-NAME_WEIGHT = {
-    **dict.fromkeys("nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar sidebars aside rail footer masthead topbar toolbar".split(), -20.0),
-    **dict.fromkeys("ad ads adv advert adverts advertisement advertising adsense adslot banner banners sponsor sponsored sponsors promo promos promotion".split(), -20.0),
-    **dict.fromkeys("comment comments commentlist disqus respond reply replies discussion reviews guestbook".split(), -20.0),
-    **dict.fromkeys("cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup login register".split(), -20.0),
-    **dict.fromkeys("share sharing social related recommended recommendations trending popular pagination pager widget widgets tags tagcloud copyright legal disclaimer skip search".split(), -16.0),
-    "header": -4.0,
-    **dict.fromkeys("article articlebody story storybody post postbody entry content maincontent bodytext main".split(), 1.5),
-}
-ROLE_WEIGHT = {"navigation": -20.0, "banner": -12.0, "contentinfo": -20.0, "complementary": -20.0, "search": -20.0, "form": -20.0, "alert": -20.0, "dialog": -20.0, "menu": -20.0, "main": 3.5, "article": 4.0}
+BOILERPLATE_NAMES = frozenset(
+    "nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar sidebars aside rail footer masthead topbar toolbar "
+    "ad ads adv advert adverts advertisement advertising adsense adslot banner banners sponsor sponsored sponsors promo promos promotion "
+    "comment comments commentlist disqus respond reply replies discussion reviews guestbook "
+    "cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup login register "
+    "share sharing social related recommended recommendations trending popular pagination pager widget widgets tags tagcloud copyright legal disclaimer skip search".split()
+)
+CONTENT_NAMES = frozenset("article articlebody story storybody post postbody entry content maincontent bodytext main".split())
+#: What a name's head says little about: boxes.  ``ad-slot`` is an advert, ``notice-period`` isn't a notice.
+BOX_NAMES = frozenset("list wrap wrapper box container bar area block section sections links link buttons button item items form message messages panel inner outer holder slot unit text title heading icons icon top bottom left right main primary secondary posts stories articles feed row col column group strip header footer".split())
+#: States and taxonomies: such names say what else a page has or is about.
+OTHER_FIRST, OTHER_LAST = frozenset("no has with without is not tag category cat post page status type format single author term js hide show".split()), frozenset("open closed enabled disabled on off active inactive loaded free".split())
+WHOLE_NAME, LAST_PART, FIRST_PART, CONTENT_NAME = -12.0, -10.0, -8.0, 1.5
+#: What of a name's weight a level of elements below keeps.
+NAME_DECAY = 0.9
+ROLE_WEIGHT = {"navigation": -12.0, "banner": -9.0, "contentinfo": -12.0, "complementary": -12.0, "search": -12.0, "form": -12.0, "alert": -12.0, "dialog": -12.0, "menu": -12.0, "main": 3.0, "article": 3.0}
 HIDDEN_WEIGHT = -30.0
 LINK_WEIGHT, LONG_WEIGHT, SENTENCE_WEIGHT = -3.0, 1.2, 0.5
 #: Smoothness of neighbours in page order, of blocks with one parent, and what each level of distance takes.
-ORDER_EDGE, PARENT_EDGE, DISTANCE = 0.7, 0.5, 0.55
+ORDER_EDGE, PARENT_EDGE, DISTANCE = 1.5, 1.0, 0.55
 SCALE = 1000
 
 
@@ -62,49 +72,112 @@ SCALE = 1000
 class Block:
     text: str
     link_chars: int
-    path: tuple[int, ...]  # element numbers from the root
-    weight: float  # of the path's elements, names and roles
+    node: int  # of the innermost block element
+    weight: float  # of the elements, names and roles above
     leaf: str
 
 
-def _element_weight(tag: str, attributes: str) -> float:
-    weight = ELEMENT_WEIGHT.get(tag, 0.0)
+def name_weight(name: str) -> float:
+    """What one whole class or id says: the cue is the whole name, its last part, or its first part before names of boxes."""
+    parts = [x.lower() for x in PARTS.findall(name)]
+    if not parts:
+        return 0.0
+    whole = "".join(parts)
+    if whole in BOILERPLATE_NAMES:
+        return WHOLE_NAME
+    if len(parts) > 1 and (parts[0] in OTHER_FIRST or parts[-1] in OTHER_LAST) and whole not in CONTENT_NAMES:
+        return 0.0
+    if whole in CONTENT_NAMES or parts[-1] in CONTENT_NAMES and parts[0] not in BOILERPLATE_NAMES:
+        return CONTENT_NAME
+    if "header" in (whole, parts[-1]):
+        return -4.0
+    while len(parts) > 1 and parts[-1].isdigit():
+        parts.pop()
+    if parts[-1] in BOILERPLATE_NAMES:
+        return LAST_PART
+    return FIRST_PART if parts[0] in BOILERPLATE_NAMES and all(x in BOX_NAMES or x in BOILERPLATE_NAMES or x.isdigit() for x in parts[1:]) else 0.0
+
+
+def _weights(tag: str, attributes: str) -> tuple[float, float]:
+    """(weight of the element, its role and state; weight of its names).  Names of the whole page's elements are states, ids of headings are anchors."""
+    weight, low, high = ELEMENT_WEIGHT.get(tag, 0.0), 0.0, 0.0
     if attributes and not attributes.isspace():
-        low, high = 0.0, 0.0
         for m in ATTRIBUTE.finditer(attributes):
-            name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-            if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
-                return HIDDEN_WEIGHT
+            name, value = (m[1] or "").lower(), m[2] or m[3] or m[4] or ""
+            if name == "hidden" and value.lower() != "until-found" or name == "aria-hidden" and value.lower() == "true" or name == "style" and "display:none" in value.lower().replace(" ", ""):
+                return HIDDEN_WEIGHT, 0.0
             if name == "role":
-                weights = [ROLE_WEIGHT.get(value, 0.0)]
-            elif name in ("class", "id", "itemprop"):
-                weights = [NAME_WEIGHT.get(w, 0.0) for w in WORDS.findall(value)]
-            else:
-                continue
-            low, high = min([low, *weights]), max([high, *weights])
-        weight += low if low < -2 else low + high
-    return weight
+                weight += ROLE_WEIGHT.get(value.lower(), 0.0)
+            elif name in ("class", "id", "itemprop") and tag not in ("html", "body") and not (name == "id" and tag in HEADINGS):
+                for cue in map(name_weight, value.split()):
+                    low, high = min(low, cue), max(high, cue)
+    return weight, low if low < -2 else low + high
+
+
+class Elements:
+    """Parents and depths of a page's block elements."""
+
+    def __init__(self) -> None:
+        self.parent, self.depth = [0], [0]
+
+    def add(self, parent: int) -> int:
+        self.parent.append(parent)
+        self.depth.append(self.depth[parent] + 1)
+        return len(self.parent) - 1
+
+    def distance(self, a: int, b: int, most: int) -> int:
+        """Steps between two elements over their nearest common one, counted up to ``most``."""
+        steps = 0
+        while a != b and steps < most:
+            if self.depth[a] < self.depth[b]:
+                a, b = b, a
+            a = self.parent[a]
+            steps += 1
+        return steps
+
+
+#: Elements that the start of another one ends; a start that ends none of these ends an open paragraph.
+ENDED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 
 
-def blocks(page: str) -> list[Block]:
-    """The page's text blocks.  Tags of inline elements don't part blocks; raw elements and comments hold no text."""
+@dataclass(slots=True)
+class _Open:
+    tag: str
+    node: int  # its own if a block element, else that of the one it is in
+    firm: float  # weights of elements, roles and states from the root
+    soft: float  # weights of names, decayed
+
+
+def blocks(page: str) -> tuple[list[Block], Elements]:
+    """The page's text blocks.  Tags of inline elements don't part blocks; raw elements and comments hold no text.
+
+    Linear in the page: what an end tag looks for is counted, so a search that must fail is not begun.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, int, float]] = [("", 0, 0.0)]  # tag, number, weight so far
+    elements = Elements()
+    stack = [_Open("", 0, 0.0, 0.0)]
+    levels = [0]  # places of block elements in the stack
+    count = Counter()  # open elements by tag
     parts: list[str] = []
-    links = links_before = number = 0
-    in_link = 0
+    links = 0
     lowered = None
 
     def flush() -> None:
-        nonlocal links, links_before
+        nonlocal links
         text = SPACE.sub(" ", html.unescape("".join(parts))).strip()
         if text:
-            leaf = next((e for e in reversed(stack) if e[0] not in INLINE), stack[0])
-            path = tuple(e[1] for e in stack if e[0] not in INLINE)
-            out.append(Block(text, links, path, stack[-1][2], leaf[0]))
+            top = stack[-1]
+            out.append(Block(text, links, top.node, top.firm + top.soft, stack[levels[-1]].tag))
         parts.clear()
         links = 0
 
+    def close(k: int) -> None:
+        for e in stack[k:]:
+            count[e.tag] -= 1
+        del stack[k:]
+        while levels[-1] >= k:
+            levels.pop()
+
     at, n = 0, len(page)
     while at < n:
         m = TOKEN.match(page, at)
@@ -114,22 +187,20 @@ def blocks(page: str) -> list[Block]:
             piece = m[0]
             if piece[0] != "<" or piece == "<":
                 parts.append(piece)
-                if in_link:
+                if count["a"]:
                     links += len(piece)
             elif piece.startswith("<![CDATA["):
                 parts.append(html.escape(piece[9:].removesuffix("]]>")))
             continue
         tag = tag.lower()
         if m[1]:
-            if tag in INLINE and not any(e[0] == tag for e in stack):
-                continue
             if tag not in INLINE:
                 flush()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    in_link -= sum(e[0] == "a" for e in stack[k:])
-                    del stack[k:]
-                    break
+            if count[tag]:
+                k = len(stack) - 1
+                while stack[k].tag != tag:
+                    k -= 1
+                close(k)
             continue
         if tag in RAW:
             lowered = page.lower() if lowered is None and len(page.lower()) == n else lowered
@@ -144,25 +215,29 @@ def blocks(page: str) -> list[Block]:
             elif tag == "br":
                 parts.append(" ")
             continue
-        if tag in CLOSES_P or tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
+        if tag not in INLINE:
             flush()
-            closes = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}.get(tag, ("p",))
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in closes:
-                    in_link -= sum(e[0] == "a" for e in stack[k:])
-                    del stack[k:]
+        if tag in CLOSES_P or tag in ENDED_BY or tag == "option":
+            ends = ENDED_BY.get(tag, ("p",))
+            for level in reversed(levels[1:]):
+                if stack[level].tag in ends:
+                    close(level)
                     break
-                if stack[k][0] not in INLINE and stack[k][0] not in ("td", "th", "p"):
+                if stack[level].tag not in ("td", "th", "p"):
                     break
-        elif tag not in INLINE:
-            flush()
-        if m[3].endswith("/") and tag not in INLINE and tag in ("path", "g"):
+        if m[3].endswith("/") and tag in ("path", "g"):
             continue
-        number += 1
-        stack.append((tag, number, max(-60.0, stack[-1][2] + _element_weight(tag, m[3]))))
-        in_link += tag == "a"
+        firm, soft = _weights(tag, m[3])
+        above = stack[-1]
+        block = tag not in INLINE
+        node = elements.add(above.node) if block else above.node
+        kept = above.soft * NAME_DECAY if block else above.soft
+        if block:
+            levels.append(len(stack))
+        stack.append(_Open(tag, node, max(-60.0, above.firm + firm), kept + soft))
+        count[tag] += 1
     flush()
-    return out
+    return out, elements
 
 
 def log_odds(block: Block) -> float:
@@ -173,23 +248,15 @@ def log_odds(block: Block) -> float:
     return odds + SENTENCE_WEIGHT * (block.text[-1] in SENTENCE_ENDS)
 
 
-def _tree_distance(a: tuple[int, ...], b: tuple[int, ...]) -> int:
-    shared = 0
-    for x, y in zip(a, b):
-        if x != y:
-            break
-        shared += 1
-    return len(a) + len(b) - 2 * shared
-
-
-def edges(found: list[Block]) -> list[tuple[int, int, int]]:
+def edges(found: list[Block], elements: Elements) -> list[tuple[int, int, int]]:
     """Smoothness edges: neighbours in page order, and each block with the next one of its parent."""
     out = []
-    last: dict[tuple[int, ...], int] = {}
+    last: dict[int, int] = {}
     for k, block in enumerate(found):
         if k:
-            out.append((k - 1, k, int(SCALE * ORDER_EDGE * DISTANCE ** max(0, _tree_distance(found[k - 1].path, block.path) - 2))))
-        parent = block.path[:-1]
+            far = max(0, elements.distance(found[k - 1].node, block.node, 24) - 2)
+            out.append((k - 1, k, int(SCALE * ORDER_EDGE * DISTANCE**far)))
+        parent = elements.parent[block.node]
         if (before := last.get(parent)) is not None and before < k - 1:
             out.append((before, k, int(SCALE * PARENT_EDGE)))
         last[parent] = k
@@ -265,11 +332,11 @@ def min_cut(source: list[int], sink: list[int], between: list[tuple[int, int, in
 
 def labelled(page: str) -> list[tuple[Block, bool]]:
     """Every block with whether it is content."""
-    found = blocks(page)
+    found, elements = blocks(page)
     if not found:
         return []
     odds = [round(SCALE * log_odds(b)) for b in found]
-    return list(zip(found, min_cut([max(0, x) for x in odds], [max(0, -x) for x in odds], edges(found)), strict=True))
+    return list(zip(found, min_cut([max(0, x) for x in odds], [max(0, -x) for x in odds], edges(found, elements)), strict=True))
 
 
 def main_text(page: str | None) -> str:
@@ -298,4 +365,4 @@ def extracted(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
                 columns += [pa.array([len(f) for f in found], pa.int64()), pa.array([sum(c for _, c in f) for f in found], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars", "n_blocks", "n_content"])
 
-    return table.mapInArrow(run, f"{kinds}, text string, n_chars long, n_blocks long, n_content long")
+    return mapped(table, run, f"{kinds}, text string, n_chars long, n_blocks long, n_content long")
