@@ -2,7 +2,7 @@
 
 Base patterns report by shape alone.  The confirming pass decodes base64 or hex candidates
 and reports only what parses: key encodings whose nested DER lengths fill the whole value,
-PEM blocks around such values, and signed tokens whose header is a JSON object naming an
+PEM blocks around such values, around encrypted ones or around OpenSSH keys, and signed tokens whose header is a JSON object naming an
 algorithm.
 """
 
@@ -18,15 +18,22 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .shared import mapped
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ASSIGN_WORDS = (b"passw", b"secret", b"token", b"api")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # a run of 24 or more is matched whole; shorter runs would be dropped
 MIN_ASSIGN, MIN_ACCESS = 6, 20
+#: Rows of a batch that are Python objects at once.
+ROWS = 256
 #: Kinds in the order in which spans with one start are listed.
 KINDS = ("assign", "access", "hex", "pem", "token", "der64", "derhex")
 
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----\s*((?:[A-Za-z0-9-]+:[^\n]*\n\s*)*)([A-Za-z0-9+/=\s]+)-----END \1-----")
+OPENSSH = b"openssh-key-v1\0"
+#: Identifiers of password-based encryption, which begin the algorithm of an encrypted key.
+PBE_PREFIXES = tuple(bytes.fromhex(x) for x in ("2a864886f70d0105", "2a864886f70d010c01"))
 SIGNED = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+|[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
 DER64 = re.compile(r"(?<![A-Za-z0-9+/_-])M[A-Za-z0-9+/_-]{39,}={0,2}")
 DERHEX = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{60,}(?![0-9A-Fa-f])")
@@ -77,6 +84,42 @@ def is_key(data: bytes) -> bool:
     return any(t == 0x30 and isinstance(v, list) and v and v[0][0] == 6 and v[0][1] in KEY_OIDS for t, v in parts[:2]) and any(t in (3, 4) for t in tags)
 
 
+def is_encrypted_key(data: bytes) -> bool:
+    """Whether bytes are one DER sequence of a password-based algorithm and the ciphertext."""
+    items = der_items(data)
+    if not items or len(items) != 1 or not isinstance(items[0][1], list) or [t for t, _ in items[0][1]] != [0x30, 4]:
+        return False
+    algorithm = items[0][1][0][1]
+    return isinstance(algorithm, list) and bool(algorithm) and algorithm[0][0] == 6 and algorithm[0][1].startswith(PBE_PREFIXES)
+
+
+def is_openssh_key(data: bytes) -> bool:
+    """Whether bytes are an OpenSSH container whose strings' lengths fill it: cipher, kdf, options, public keys, private part."""
+    if not data.startswith(OPENSSH):
+        return False
+    at, keys = len(OPENSSH), 0
+    for k in range(3):
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+    keys = int.from_bytes(data[at : at + 4], "big")
+    at += 4
+    if not 1 <= keys <= 64:
+        return False
+    for _ in range(keys + 1):
+        if at + 4 > len(data):
+            return False
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+    return at == len(data)
+
+
+def is_pem_key(headers: str, body: str) -> bool:
+    data = decoded64("".join(body.split()))
+    if not data:
+        return False
+    if "ENCRYPTED" in headers:  # the body is ciphertext, in whole blocks
+        return "DEK-Info:" in headers and len(data) % 8 == 0
+    return is_key(data) or is_encrypted_key(data) or is_openssh_key(data)
+
+
 def decoded64(text: str) -> bytes | None:
     text = text.rstrip("=").translate({45: "+", 95: "/"})
     try:
@@ -111,10 +154,7 @@ def confirmed(text: str) -> list[tuple[int, int, str]]:
     """Finds of the confirming pass: only candidates that decode and parse."""
     out = []
     if "-----BEGIN" in text:
-        for m in PEM.finditer(text):
-            data = decoded64("".join(m[2].split()))
-            if data and der_items(data):
-                out.append((*m.span(), "pem"))
+        out += [(*m.span(), "pem") for m in PEM.finditer(text) if is_pem_key(m[2], m[3])]
     if "eyJ" in text:
         out += [(*m.span(), "token") for m in SIGNED.finditer(text) if is_signed_token(m[1], m[2], m[3])]
     if "M" in text:
@@ -145,7 +185,7 @@ def scanned(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     found_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             found = [spans(t or "") for t in batch.column(1).to_pylist()]
             base = [[s for s in f if s[2] in KINDS[:3]] for f in found]
             columns = [batch.column(0)]
@@ -157,4 +197,4 @@ def scanned(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                 names.append("found")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return table.mapInArrow(run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string{', found ' + SPANS if with_spans else ''}")
+    return mapped(table, run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string{', found ' + SPANS if with_spans else ''}")

@@ -4,12 +4,13 @@ import base64
 import hashlib
 import json
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
 from pathloom.llm import quality
-from pathloom.llm.main_text import blocks, extracted, labelled, main_text, min_cut
+from pathloom.llm.main_text import blocks, extracted, labelled, log_odds, main_text, min_cut
 from pathloom.llm.piece_bpe import encoded, encoder
 from pathloom.llm.queries import piece_model
 from pathloom.llm.secrets import scanned, spans
@@ -33,7 +34,46 @@ def test_odd_pages_are_read(page):
 
 
 def test_blocks_keep_inline_elements_together():
-    assert [b.text for b in blocks("<p>a<i>b</i>c <em>d</em></p><p>e<br>f</p>")] == ["abc d", "e f"]
+    assert [b.text for b in blocks("<p>a<i>b</i>c <em>d</em></p><p>e<br>f</p>")[0]] == ["abc d", "e f"]
+
+
+@pytest.mark.parametrize("page", [
+    '<body class="single no-sidebar"><article><p>{}</p></article>', '<body class="post comments-open"><article><p>{}</p></article>', '<article class="post tag-social category-legal"><p>{}</p></article>',
+    '<div class="elementor-widget-container"><article><p>{}</p></article></div>', '<article><section id="notice-period"><h2 id="search">{}</h2></section></article>', '<article><p title="a hidden gem">{}</p></article>',
+    '<article><p data-hidden="false">{}</p></article>', '<article><p data-x="<p hidden>" id=x>{}</p></article>',
+])
+def test_names_that_only_mention_a_cue(page):
+    assert main_text(page.format("The text.")) == "The text."
+
+
+@pytest.mark.parametrize("name", ["cookie-banner", "ad_slot", "adSlot", "commentList", "comment-list", "sidebar-left", "share-buttons", "newsletter-signup", "main-nav", "ad-1"])
+def test_names_that_are_cues(name):
+    assert main_text(f'<article><p>A text.</p><div class="x {name}"><p>Something else, which is not the text.</p></div></article>') == "A text."
+
+
+def test_the_cut_mends_the_classifier():
+    """A line of links amid sentences, and a sentence amid links: neighbours decide."""
+    sentence = "<p>This is a long enough sentence of an article that nothing in the markup marks as one.</p>"
+    link = '<li><a href="/x">Other page of the site</a></li>'
+    found = labelled(f"<div>{sentence}<p><a href='/y'>The linked work</a></p>{sentence}</div>")
+    assert [log_odds(b) > 0 for b, _ in found] == [True, False, True] and all(c for _, c in found)
+    found = labelled(f"<ul>{link * 3}<li>Go on.</li>{link * 3}</ul>".replace("<li>Go", "<p>Go"))
+    assert [log_odds(b) > 0 for b, _ in found] == [False] * 3 + [True] + [False] * 3 and not any(c for _, c in found)
+
+
+def test_extraction_equals_what_pages_were_made_of(spark):
+    r = random.Random(6)
+    sentence = lambda: " ".join(r.choice(["lake", "of", "stone", "under", "rivers", "go"]) for _ in range(r.randint(6, 25))).capitalize() + "."
+    rows, want = [], {}
+    for k in range(80):
+        body = [sentence() for _ in range(r.randint(1, 12))]
+        noise = lambda: r.choice(['<nav><a href="/">Home</a></nav>', '<div class="advert">Buy this now.</div>', "<script>x</script>", "<form><p>Your mail</p></form>", ""])  # noqa: B023, E731
+        inner = "".join(f"<p>{x.replace(' ', r.choice([' ', '  ', chr(10)]), 1)}</p>{noise()}" for x in body)
+        rows.append((k, "u", f'<html><body>{noise()}<header><a href="/">Site</a></header><article>{inner}</article><section class="comments"><p>{sentence()}</p></section><footer>{sentence()}</footer></body></html>'))
+        want[k] = " ".join(body)
+    rows.append((80, "u", "<article>" + f"<p>{sentence()}</p>" * 20_000 + "<div>a" * 20_000))  # very long, very deep
+    got = {g.page_id: (g.text, g.n_chars) for g in extracted(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got.pop(80)[1] > 20_000 * 10 and got == {k: (t, len(t)) for k, t in want.items()}
 
 
 def test_min_cut_is_minimal():
@@ -146,6 +186,13 @@ def test_secrets_by_shape_and_by_structure():
     assert [s[2] for s in spans(f"x {text} y")] == ["der64"] and spans(f"x M{text[:-6]} y") == []
     assert [s[2] for s in spans(f" {key.hex().upper()} ")] == ["derhex"]
     assert "pem" in [s[2] for s in spans(f"-----BEGIN PRIVATE KEY-----\n{text}\n-----END PRIVATE KEY-----")]
+    pem = lambda data, kind="PRIVATE KEY", head="": [s[2] for s in spans(f"-----BEGIN {kind}-----\n{head}{base64.encodebytes(data).decode()}-----END {kind}-----") if s[2] == "pem"]
+    assert not pem(der(0x30, der(2, b"\1") + der(2, b"\2")))  # parses, but is no key
+    assert pem(der(0x30, der(0x30, der(6, bytes.fromhex("2a864886f70d01050d"))) + der(4, b"c" * 48)), "ENCRYPTED PRIVATE KEY")
+    assert pem(b"c" * 64, "RSA PRIVATE KEY", "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00\n\n") and not pem(b"c" * 64, "RSA PRIVATE KEY")
+    string = lambda x: len(x).to_bytes(4, "big") + x
+    ssh = b"openssh-key-v1\0" + string(b"none") * 2 + string(b"") + (1).to_bytes(4, "big") + string(b"p" * 51) + string(b"q" * 128)
+    assert pem(ssh, "OPENSSH PRIVATE KEY") and not pem(ssh[:-1], "OPENSSH PRIVATE KEY")
     part = lambda x: base64.urlsafe_b64encode(x).decode().rstrip("=")
     head = part(json.dumps({"alg": "HS256"}).encode())
     assert [s[2] for s in spans(f"a {head}.{part(b'{}')}.{part(b'sig')} b")] == ["token"]
@@ -159,6 +206,27 @@ def test_secrets_over_a_table(spark):
     assert {g.base_sha256 for g in got if not g.n_assign} == {hashlib.sha256(b"").hexdigest()}
 
 
+def base_spans(text):
+    """The contract's patterns as they stand."""
+    found = [(m.start(), 0, f"assign:{m.start()}:{m.end()}") for m in re.finditer(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 6]
+    found += [(m.start(), 1, f"access:{m.start()}:{m.end()}") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    found += [(m.start(), 2, f"hex:{m.start()}:{m.end()}") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return [x for *_, x in sorted(found)]
+
+
+def test_secrets_equal_brute_force(spark):
+    r = random.Random(12)
+    bits = ["password", "PassWd", " ", "  ", "=", ":", "'", '"', "token", "api_key", "APIKEY", "secret", "AKIA", "AKIAAKIA", "é", "ſecret", "x", "\n", "_", "-"]
+    made = lambda: r.choice(bits) if r.random() < 0.7 else "".join(r.choice(r.choice(["0123456789abcdef", "ABCXYZ0189", "abc./+="])) for _ in range(r.randint(1, 30)))
+    rows = [(k, "".join(made() for _ in range(r.randint(0, 60)))) for k in range(400)]
+    rows += [(400, "".join(made() for _ in range(60_000))), (401, None), (401, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted((g.doc_id, g.base_sha256, g.n_assign + g.n_access + g.n_hex) for g in scanned(docs).collect())
+    want = [(k, base_spans(t or "")) for k, t in rows]
+    assert got == sorted((k, hashlib.sha256(",".join(w).encode()).hexdigest(), len(w)) for k, w in want) and sum(len(w) for _, w in want) > 500
+    assert scanned(docs.limit(0)).collect() == []
+
+
 def test_suffix_sort_orders_groups():
     r = random.Random(4)
     for _ in range(40):
