@@ -41,7 +41,7 @@ CHUNK, BUCKET = 500_000, 400_000
 #: Rounds in which a member is made pivot of its cell.
 STARS = 2
 #: Members and bytes of sets on one side of a block.
-PART, PART_BYTES = 1500, 24 << 20
+PART, PART_BYTES = 4000, 16 << 20
 #: Bytes of sets of the cells that a task gets, about.
 TASK_BYTES = 24 << 20
 STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
