@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 
-TOKEN = re.compile(r"[ \t\n\r\f]*(?:(\d+\.?\d*|\.\d+)|([-+*/%^()]))")
+TOKEN = re.compile(r"[ \t\n\r\f]*(?:([0-9]+\.?[0-9]*|\.[0-9]+)|([-+*/%^()]))")
 
 
 class _Bad(Exception):
@@ -42,7 +42,7 @@ def _powered(a: float, b: float) -> float:
 
 #: Binding powers: (left, right); the power binds tighter than a minus before it.
 BINDING = {"+": (1, 2), "-": (1, 2), "*": (3, 4), "/": (3, 4), "%": (3, 4), "^": (8, 7)}
-MINUS, DEEPEST = 6, 200
+MINUS = 6
 APPLY = {
     "+": lambda a, b: a + b,
     "-": lambda a, b: a - b,
@@ -56,37 +56,49 @@ APPLY = {
 def evaluate(text: str) -> float | None:
     """The value, or None if the text isn't one whole expression or the value isn't finite."""
     try:
-        tokens = _tokens(text)
-        value, at = _operand(tokens, 0, 0, 0)
-        if at != len(tokens) or not math.isfinite(value):
-            return None
-        return value
-    except (_Bad, IndexError):
+        value = _value(_tokens(text))
+        return value if math.isfinite(value) else None
+    except _Bad:
         return None
 
 
-def _operand(tokens: list[str], at: int, least: int, depth: int) -> tuple[float, int]:
-    """Precedence climbing from ``tokens[at]`` over operators that bind at least so tightly."""
-    if depth > DEEPEST:
-        raise _Bad
-    token = tokens[at]
-    if token == "(":
-        value, at = _operand(tokens, at + 1, 0, depth + 1)
-        if tokens[at] != ")":
+def _value(tokens: list[str]) -> float:
+    """Operands and waiting operators on two stacks, so that nothing is too deep; ``~`` is a minus before an operand."""
+    values: list[float] = []
+    waiting: list[str] = []
+
+    def applied(least: int) -> None:
+        while waiting and waiting[-1] != "(" and least < (MINUS if waiting[-1] == "~" else BINDING[waiting[-1]][1]):
+            op, right = waiting.pop(), values.pop()
+            values.append(-right if op == "~" else APPLY[op](values.pop(), right))
+
+    operand = True
+    for token in tokens:
+        if operand:
+            if token in "(-":
+                waiting.append("~" if token == "-" else token)
+                continue
+            if token in BINDING or token == ")":
+                raise _Bad
+            values.append(float(token))
+            operand = False
+        elif token == ")":
+            applied(0)
+            if not waiting:
+                raise _Bad
+            waiting.pop()
+        elif token in BINDING:
+            applied(BINDING[token][0])
+            waiting.append(token)
+            operand = True
+        else:
             raise _Bad
-        at += 1
-    elif token == "-":
-        value, at = _operand(tokens, at + 1, MINUS, depth + 1)
-        value = -value
-    elif token in BINDING or token == ")":
+    if operand:
+        raise _Bad
+    applied(0)
+    if waiting:
         raise _Bad
-    else:
-        value, at = float(token), at + 1
-    while at < len(tokens) and tokens[at] in BINDING and BINDING[tokens[at]][0] >= least:
-        op = tokens[at]
-        right, at = _operand(tokens, at + 1, BINDING[op][1], depth + 1)
-        value = APPLY[op](value, right)
-    return value, at
+    return values[0]
 
 
 def shown(value: float) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,20 +17,29 @@ EXTRACTED = ("pdf", "docx", "xlsx")
 
 
 def searchable(texts: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """Regular files within the size bound (documents whose text was extracted are exempt) without a NUL in their head."""
+    """Regular files within the size bound (documents whose text was extracted are exempt) without a NUL in their head; a later NUL ends their text."""
     small = (F.col("size") <= max_bytes) | ascii_lower(extension(F.col("path"))).isin(*EXTRACTED)
-    return texts.where(~is_dir(F.col("path")) & small & F.col("text").isNotNull() & (F.locate("\0", F.substring("text", 1, HEAD_BYTES)) == 0))
+    fit = texts.where(~is_dir(F.col("path")) & small & F.col("text").isNotNull() & (F.locate("\0", F.substring("text", 1, HEAD_BYTES)) == 0))
+    return fit.withColumn("text", F.substring_index("text", "\0", 1))
+
+
+def whole_text_pattern(found: str) -> str | None:
+    """A pattern that every text holding a matching line matches; None where that can't be told from the pattern."""
+    flags, rest = ("(?im)", found[4:]) if found.startswith("(?i)") else ("(?m)", found)
+    return None if re.search(r"\(\?|\\[AzZGQKRX]|[*+?}]\+", rest) else flags + rest
 
 
 def grep(texts: DataFrame, pattern: str, filters: Filters = Filters(), *, per_file: int = PER_FILE, limit: int | None = None, max_bytes: int = MAX_BYTES) -> DataFrame:
     """(path, line_number, line) of matching lines, the first ``per_file`` of a file, in index order.
 
-    Files are filtered before their texts are read, whole texts by the pattern before they
-    are split, and the cap cuts the array in place: no shuffle until the order.
+    Files are filtered before their texts are read, whole texts by the pattern (where it
+    allows that) before they are split, and the cap cuts the array in place: no shuffle until the order.
     """
     found = java_pattern(pattern)
     rows = searchable(scoped(texts, filters, always=False), max_bytes)
-    body = F.regexp_replace("text", "\n$", "")
+    if whole := whole_text_pattern(found):
+        rows = rows.where(F.col("text").rlike(whole))
+    body = F.regexp_replace("text", r"\n\z", "")
     lines = F.transform(F.split(body, "\n"), lambda x, i: F.struct((i + 1).cast("long").alias("line_number"), F.regexp_replace(x, r"\r$", "").alias("line")))
     hits = F.slice(F.filter(lines, lambda x: x.line.rlike(found)), 1, per_file)
     out = rows.select(*[c for c in rows.columns if c != "text"], F.explode(hits).alias("hit"))
@@ -40,5 +51,5 @@ def grep(texts: DataFrame, pattern: str, filters: Filters = Filters(), *, per_fi
 
 def line_numbers(texts: DataFrame) -> DataFrame:
     """(path, line_number, line) of every line; a final line break opens no line."""
-    rows = texts.select("path", F.posexplode(F.split(F.regexp_replace("text", "\n$", ""), "\n")).alias("at", "line"))
+    rows = texts.select("path", F.posexplode(F.split(F.regexp_replace("text", r"\n\z", ""), "\n")).alias("at", "line"))
     return rows.select("path", (F.col("at") + 1).cast("long").alias("line_number"), "line")

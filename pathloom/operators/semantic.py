@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -39,21 +41,21 @@ def eligible() -> Column:
 
 def cut_chunks(text: str, target: int = CHUNK_CHARS, overlap: int = OVERLAP) -> list[tuple[int, str]]:
     """(first line, text) of overlapping windows that end after a line break where the last quarter has one; blank ones are left out."""
-    out: list[tuple[int, str]] = []
-    if target <= 0:
-        return out
-    start, line, counted = 0, 1, 0
-    while start < len(text):
-        hard = min(start + target, len(text))
-        at = text.rfind("\n", start + target * 3 // 4, hard) if hard < len(text) else -1
-        end = at + 1 if at >= 0 else hard
-        line, counted = line + text.count("\n", counted, start), start
-        if text[start:end].strip():
-            out.append((line, text[start:end]))
-        if end >= len(text):
-            break
-        start = max(end - overlap, start + 1)
-    return out
+    if target <= 0 or not text:
+        return []
+    lines = [m.end() for m in re.finditer("\n", text)]  # where lines begin, but for the first
+
+    def end_of(start: int) -> int:
+        if start + target >= len(text):
+            return len(text)
+        whole = bisect_right(lines, start + target)
+        return lines[whole - 1] if whole and lines[whole - 1] > start + target * 3 // 4 else start + target
+
+    windows = [(0, end_of(0))]
+    while windows[-1][1] < len(text):
+        start = max(windows[-1][1] - overlap, windows[-1][0] + 1)
+        windows.append((start, end_of(start)))
+    return [(1 + bisect_right(lines, a), text[a:b]) for a, b in windows if text[a:b].strip()]
 
 
 def kept_chunks(count: int, most: int = MAX_CHUNKS) -> list[int]:

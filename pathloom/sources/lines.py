@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +14,10 @@ LINE_CAP = 500_000
 
 def from_lines(spark: SparkSession, values: list[str]) -> DataFrame:
     """(ord, path) of lines as they came, blank ones left out, the first ``LINE_CAP`` of them."""
-    kept = [v.rstrip("\n") for v in values if v.strip()][:LINE_CAP]
+    kept = [v.rstrip("\n") for v in values if v.strip()]
+    if len(kept) > LINE_CAP:
+        warnings.warn(f"only the first {LINE_CAP} lines are searched", stacklevel=2)
+        kept = kept[:LINE_CAP]
     return spark.createDataFrame([(k, v, 0, 0) for k, v in enumerate(kept)], "ord long, path string, mtime long, size long")
 
 
