@@ -78,3 +78,17 @@ def test_stages_of_empty_tables(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, str(tmp_path))
         assert docs.count() == 0
+
+
+def test_columns_come_out_as_they_went_in(spark, tmp_path):
+    """Names that operators use for their own columns, repeated ids, null texts."""
+    clashing = ["sha", "copy", "copies", "size", "target", "taken", "source_size", "score", "predicted", "held_out"]
+    rows = [(k, t, "en", "s", 1, *[f"{c}{k}" for c in clashing]) for k, t in ((1, "Some words of a plain line."), (2, "Other words of one more line."), (2, "Third words in a row."), (3, None))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in clashing))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    given = {tuple(r) for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and {tuple(r) for r in out.collect()} <= given, name
+    assert corpus_pipeline.quality_stage(spark, docs, str(tmp_path)).columns == docs.columns
+    assert len(corpus_pipeline.exact_stage(spark, docs, str(tmp_path)).collect()) == 4
