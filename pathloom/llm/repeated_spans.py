@@ -7,9 +7,9 @@ positions of a corpus would move many times its size, so three passes narrow the
    is an anchor, so equal windows hold equal anchors at equal places.  Some 4 % of positions
    are anchors; each travels with hashes of its gram and of all bytes that windows around it
    can reach (its context).
-2. Of occurrences of a gram with equal contexts (by two hashes, 126 bits, one of prime
-   moduli, so that no pattern of bytes collides by structure), all but the first are covered
-   whole.  First occurrences of different contexts of one gram may still share some windows: contenders.
+2. Of occurrences of a gram with equal contexts (126 bits: the gram's hash, and one of the
+   context by prime moduli, so that no pattern of bytes collides by structure), all but the
+   first are covered whole.  First occurrences of different contexts of one gram may still share some windows: contenders.
 3. Contenders bring their context bytes together by gram.  Suffixes that begin at the anchor,
    and reversed ones that end before it, are sorted by hash comparisons; neighbours' common
    extensions split them into classes for every reach, and a window is a repeat if its pair
@@ -40,7 +40,7 @@ SORTED_ROWS = 15_000
 #: Bytes of all documents' runs, as packed, up to which these are broadcast to the texts instead of shuffling the texts.
 BROADCAST_BYTES = 32 << 20
 
-ANCHOR = np.dtype([("gram", "<u8"), ("context", "<u8"), ("check", "<u8"), ("row", "<i8"), ("pos", "<i4")])
+ANCHOR = np.dtype([("gram", "<u8"), ("context", "<u8"), ("row", "<i8"), ("pos", "<i4")])
 SPOT = np.dtype([("pos", "<i4"), ("gram", "<i8")])
 RUN = np.dtype([("row", "<i8"), ("start", "<i4"), ("end", "<i4")])
 
@@ -54,10 +54,10 @@ def _sliding(values: np.ndarray, width: int, pick: np.ufunc, fill: int) -> np.nd
     return pick(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(positions, gram hashes, context hashes, other context hashes) of the anchors of the texts data[starts:ends]."""
+def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, gram hashes, context hashes) of the anchors of the texts data[starts:ends]."""
     n, reach, width = len(data), span - gram, span - gram + 1
-    none = np.zeros(0, dtype=np.int64), *[np.zeros(0, dtype=np.uint64)] * 3
+    none = np.zeros(0, dtype=np.int64), *[np.zeros(0, dtype=np.uint64)] * 2
     if n < span:
         return none
     prefix = word_hash.prefix_hashes(data)
@@ -75,9 +75,8 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, span: int =
     chosen = np.flatnonzero((_sliding(np.concatenate((edge, least, edge)), width, np.maximum, 0) == h) & ~crossing)
     text = np.searchsorted(starts, chosen, side="right") - 1
     low, high = np.maximum(starts[text], chosen - reach), np.minimum(ends[text], chosen + span)
-    with np.errstate(over="ignore"):
-        context = word_hash.mix(word_hash.range_hashes(prefix, low, high) + (chosen - low).astype(np.uint64))
-    return chosen, h[chosen], context, word_hash.prime_hashes(data, low, high)
+    with np.errstate(over="ignore"):  # the same bytes with the anchor at another place are another context
+        return chosen, h[chosen], word_hash.mix(word_hash.prime_hashes(data, low, high) + (chosen - low).astype(np.uint64) * word_hash.BASE)
 
 
 def _pieces(texts: list[bytes], span: int) -> Iterator[tuple[list[int], list[int], list[int], list[int], bytes]]:
@@ -142,9 +141,9 @@ def _covered(rows: np.ndarray, span: int, gram: int) -> np.ndarray:
 
 def ordered(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Anchors by gram, context and place; whether each is the first of its gram, and of its context."""
-    rows = rows[np.lexsort((rows["pos"], rows["row"], rows["check"], rows["context"], rows["gram"]))]
+    rows = rows[np.lexsort((rows["pos"], rows["row"], rows["context"], rows["gram"]))]
     new_gram = np.concatenate(([True], rows["gram"][1:] != rows["gram"][:-1]))
-    return rows, new_gram, new_gram | np.concatenate(([True], (rows["context"][1:] != rows["context"][:-1]) | (rows["check"][1:] != rows["check"][:-1])))
+    return rows, new_gram, new_gram | np.concatenate(([True], rows["context"][1:] != rows["context"][:-1]))
 
 
 def anchor_findings(table: DataFrame, buckets: int, span: int, gram: int) -> DataFrame:
@@ -181,7 +180,7 @@ def anchor_findings(table: DataFrame, buckets: int, span: int, gram: int) -> Dat
                     inside = pos - starts[of]
                     keep = (inside >= np.array(low)[of]) & (inside < np.array(high)[of])
                     rows = np.empty(int(keep.sum()), dtype=ANCHOR)
-                    for name, values in zip(("gram", "context", "check"), hashes, strict=True):
+                    for name, values in zip(("gram", "context"), hashes, strict=True):
                         rows[name] = values[keep]
                     rows["row"] = ids[np.array(text)[of[keep]]]
                     rows["pos"] = (inside + np.array(offset)[of])[keep]
