@@ -42,8 +42,8 @@ CHUNK, BUCKET = 500_000, 400_000
 STARS = 2
 #: Members and bytes of sets on one side of a block.
 PART, PART_BYTES = 4000, 16 << 20
-#: Bytes of sets of the cells that a task gets, about.
-TASK_BYTES = 24 << 20
+#: Bytes of sets of the cells that a task gets, about, and of the blocks that share their sets in one.
+TASK_BYTES, SHARED_BYTES = 24 << 20, 96 << 20
 STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
 SLICE = 256 << 10
 #: Rows of a batch that are Python objects at once.
@@ -398,18 +398,45 @@ def partnered(blocks: DataFrame, lists: DataFrame, shipped: Broadcast, percent:
     return mapped(_together(rows, total), run, "block long, sid long, comp long, n long")
 
 
+def _companies(blocks: DataFrame) -> DataFrame:
+    """(company, sid, comp, n, blocks): blocks about one component in one company, so that a set travels once for all of them.
+
+    Cells of a group of near copies have mostly the same members.  A company whose blocks hold
+    over ``SHARED_BYTES`` is parted by the least hash of a block's members, which blocks
+    that overlap tend to share.
+    """
+    by_comp = blocks.groupBy("block", "comp").agg(F.count(F.lit(1)).alias("members"), F.min(F.xxhash64("sid")).alias("low"), F.sum("n").alias("shingles"))
+    tops = by_comp.groupBy("block").agg(F.max_by("comp", F.struct("members", "comp")).alias("top"), F.min("low").alias("low"), F.sum("members").alias("members"), F.sum("shingles").alias("shingles"))
+    tops = written(tops, "block-tops")
+    sizes = tops.groupBy("top").agg(F.ceil(F.sum("shingles") * 8 / SHARED_BYTES).cast("int").alias("parts"), F.count(F.lit(1)).alias("group_size"))
+    sizes = written(sizes, "company-sizes")
+    places = attached(tops.select("block", "top", "low"), sizes, ["top"], tops.count(), how="inner")
+    places = places.select("block", F.xxhash64("top", F.pmod("low", "parts")).alias("company"))
+    out = written(blocks.join(places, "block").groupBy("company", "sid").agg(F.min("comp").alias("comp"), F.min("n").alias("n"), F.collect_list("block").alias("blocks")), "companies")
+    dropped(tops, sizes)
+    return out
+
+
 def cell_links(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links that connect the components of every block, joined by Voronoi cells in its task."""
+    """(a, b): links that connect the components of every block, joined by Voronoi cells in its company's task."""
     total = blocks.agg(F.coalesce(F.sum(F.col("n") * 8 + 100), F.lit(0))).first()[0]
-    rows = blocks.select("block", "sid", "comp").join(sets.select("sid", "body"), "sid").select("block", "sid", "comp", "body")
+    companies = _companies(blocks)
+    rows = companies.select(F.col("company").alias("block"), "sid", "comp", "blocks").join(sets.select("sid", "body"), "sid").select("block", "sid", "comp", "blocks", "body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in _by_block(batches, 4, "<u8"):
-            near = metric_cells.links([h[3] for h in held], np.array([h[2] for h in held]), percent)
-            if near:
-                yield pa.RecordBatch.from_arrays([pa.array([held[k[side]][1] for k in near], pa.int64()) for side in (0, 1)], names=["a", "b"])
+        for held in _by_block(batches, 5, "<u8"):
+            members: dict[int, list[int]] = {}
+            for k, row in enumerate(held):
+                for block in row[3]:
+                    members.setdefault(block, []).append(k)
+            for at in members.values():
+                near = metric_cells.links([held[k][4] for k in at], np.array([held[k][2] for k in at]), percent)
+                if near:
+                    yield pa.RecordBatch.from_arrays([pa.array([held[at[k[side]]][1] for k in near], pa.int64()) for side in (0, 1)], names=["a", "b"])
 
-    return mapped(_together(rows, total), run, "a long, b long")
+    found = written(mapped(_together(rows, total), run, "a long, b long"), "links")
+    dropped(companies)
+    return found
 
 
 class Sets:
@@ -466,7 +493,7 @@ def linked_components(members: DataFrame, lists: DataFrame, sets: Sets, shipped:
         else:
             blocks = written(_blocks(live.select("cell", "sid", "comp", "n")), "blocks")
             left = written(partnered(blocks, lists, shipped, percent), "partnered")
-            near = written(cell_links(left, sets.of(left.select("sid")), percent), "links")
+            near = cell_links(left, sets.of(left.select("sid")), percent)
             dropped(blocks, left)
         dropped(live)
         if near.take(1):
