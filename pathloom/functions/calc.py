@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import re
 
+import pandas as pd
+
 TOKEN = re.compile(r"[ \t\n\r\f]*(?:([0-9]+\.?[0-9]*|\.[0-9]+)|([-+*/%^()]))")
 
 
@@ -106,3 +108,9 @@ def shown(value: float) -> str:
     if value == int(value) and abs(value) < 1e15:
         return str(int(value))
     return f"{value:.10f}".rstrip("0").rstrip(".")
+
+
+def shown_values(texts: pd.Series) -> pd.Series:
+    """The value of each text as it is shown, null where it has none; each distinct text is evaluated once."""
+    values = {t: None if (v := evaluate(t)) is None else shown(v) for t in texts.dropna().unique()}
+    return texts.map(values).astype(object)

@@ -8,7 +8,10 @@ One prefix maximum a pattern character makes this a few array operations a batch
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 
@@ -25,23 +28,41 @@ class Atom:
     kind: str = "fuzzy"  # fuzzy, exact, prefix, suffix, whole
     negative: bool = False
     folded: bool = True
+    plain: bool = True  # accents of the text don't count
+
+
+@cache
+def unaccented() -> dict[int, int]:
+    """Latin letters that Unicode names "... LETTER x WITH ..." to their x."""
+    out = {}
+    for code in range(0xC0, 0x2185):
+        m = re.match(r"LATIN (SMALL|CAPITAL) LETTER ([A-Z]) WITH ", unicodedata.name(chr(code), ""))
+        if m:
+            out[code] = ord(m[2].lower() if m[1] == "SMALL" else m[2])
+    return out
 
 
 def atoms(pattern: str) -> list[Atom]:
-    """``'w`` exact, ``^w`` prefix, ``w$`` suffix, ``!w`` without; else fuzzy.  Case counts in an atom with upper case."""
+    """``'w`` exact, ``^w`` prefix, ``w$`` suffix, ``!w`` without; else fuzzy.
+
+    A backslash takes the meaning from these signs and joins words at a space.  Case counts
+    in an atom with upper case, accents in one with an accent.
+    """
     out = []
-    for word in pattern.split():
+    for word in re.findall(r"(?:\\\s|\S)+", pattern):
         negative = word.startswith("!")
-        body = word[1:] if negative else word
-        kind = "exact" if negative else "fuzzy"
-        if body.startswith("'"):
-            kind, body = "exact", body[1:]
-        elif body.startswith("^"):
-            kind, body = "prefix", body[1:]
-        if body.endswith("$") and not body.endswith("\\$"):
-            kind, body = ("whole" if kind == "prefix" else "suffix"), body[:-1]
+        body = word.removeprefix("!")
+        kind = {"'": "exact", "^": "prefix"}.get(body[:1], "fuzzy")
+        if kind != "fuzzy" or re.match(r"\\['^]" if negative else r"\\[!'^]", body):
+            body = body[1:]
+        if body.endswith("\\$"):
+            body = body[:-2] + "$"
+        elif body.endswith("$"):
+            kind, body = ("suffix" if kind == "fuzzy" else "whole"), body[:-1]
+        body = body.replace("\\ ", " ")
         if body:
-            out.append(Atom(body, kind, negative, not has_upper(body)))
+            kind = "exact" if negative and kind == "fuzzy" else kind
+            out.append(Atom(body, kind, negative, not has_upper(body), body.translate(unaccented()) == body))
     return out
 
 
@@ -58,6 +79,12 @@ def _fold(texts: list[str]) -> list[str]:
     return [low if len(low) == len(t) else "".join(c.lower()[:1] for c in t) for t, low in zip(texts, lowered, strict=True)]
 
 
+def _seen(texts: list[str], folded: list[str], atom: Atom) -> list[str]:
+    """The texts as an atom compares them."""
+    these = folded if atom.folded else texts
+    return [t if t.isascii() else t.translate(unaccented()) for t in these] if atom.plain else these
+
+
 def bonuses(texts: list[str]) -> np.ndarray:
     """What a match at each place adds."""
     codes, _ = _matrix(texts)
@@ -120,7 +147,7 @@ def scores(texts: list[str], pattern: str) -> np.ndarray:
         folded, bonus = _fold(part), bonuses(part)
         total = np.zeros(len(part), dtype=np.int64)
         for atom in found:
-            these = folded if atom.folded else part
+            these = _seen(part, folded, atom)
             if atom.kind == "fuzzy" and not atom.negative:
                 value = _fuzzy(_matrix(these)[0], bonus, atom.text)
             else:
@@ -139,7 +166,7 @@ def positions(text: str, pattern: str) -> list[int]:
     found: set[int] = set()
     folded, bonus = _fold([text])[0], bonuses([text])[0].tolist()
     for atom in atoms(pattern):
-        t = folded if atom.folded else text
+        t = _seen([text], [folded], atom)[0]
         if atom.negative:
             continue
         if atom.kind != "fuzzy":

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators.semantic import CHUNK_TYPE, cut_chunks, kept_chunks
 from ..sources.documents import EXTRACTORS, ExtractError
 from . import fuzzy
-from .calc import evaluate, shown
+from .calc import shown_values
 
 
 def register(spark: SparkSession) -> None:
@@ -46,7 +46,7 @@ def register(spark: SparkSession) -> None:
 
     @F.pandas_udf("string")
     def calc_eval(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None or (v := evaluate(t)) is None else shown(v))
+        return shown_values(texts)
 
     for f in (fuzzy_score, match_positions, chunk_text, extract_text, calc_eval):
         spark.udf.register(f.__name__, f)

@@ -25,8 +25,9 @@ def searchable(texts: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
 
 def whole_text_pattern(found: str) -> str | None:
     """A pattern that every text holding a matching line matches; None where that can't be told from the pattern."""
-    flags, rest = ("(?im)", found[4:]) if found.startswith("(?i)") else ("(?m)", found)
-    return None if re.search(r"\(\?|\\[AzZGQKRX]|[*+?}]\+", rest) else flags + rest
+    flags = re.match(r"\(\?([a-zA-Z]+)\)|", found)
+    rest = found[flags.end() :]
+    return None if re.search(r"\(\?|\\[Az]|[*+?}]\+", rest) else f"(?{flags[1] or ''}m){rest}"
 
 
 def grep(texts: DataFrame, pattern: str, filters: Filters = Filters(), *, per_file: int = PER_FILE, limit: int | None = None, max_bytes: int = MAX_BYTES) -> DataFrame:
@@ -36,9 +37,10 @@ def grep(texts: DataFrame, pattern: str, filters: Filters = Filters(), *, per_fi
     allows that) before they are split, and the cap cuts the array in place: no shuffle until the order.
     """
     found = java_pattern(pattern)
-    rows = searchable(scoped(texts, filters, always=False), max_bytes)
+    rows = searchable(scoped(texts, filters, always=False), max_bytes).where("text <> ''")  # no line in an empty text
     if whole := whole_text_pattern(found):
-        rows = rows.where(F.col("text").rlike(whole))
+        ends = F.contains("text", F.lit("\r")) if "$" in found else F.lit(False)  # carriage returns go before lines are matched
+        rows = rows.where(F.col("text").rlike(whole) | ends)
     body = F.regexp_replace("text", r"\n\z", "")
     lines = F.transform(F.split(body, "\n"), lambda x, i: F.struct((i + 1).cast("long").alias("line_number"), F.regexp_replace(x, r"\r$", "").alias("line")))
     hits = F.slice(F.filter(lines, lambda x: x.line.rlike(found)), 1, per_file)

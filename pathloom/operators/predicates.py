@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import ascii_lower, basename, extension, is_dir
-from ..functions.fuzzy import Atom
+from ..functions.fuzzy import Atom, unaccented
 from ..request import Filters
 
 #: Parts of paths that are quiet unless configured otherwise.
@@ -57,9 +57,17 @@ def subsequence(text: str) -> str:
 def atom_predicate(atom: Atom, path: str = "path") -> Column:
     """Membership of one atom, without its score."""
     c, text = (F.lower(F.col(path)), atom.text.lower()) if atom.folded else (F.col(path), atom.text)
-    if atom.kind == "fuzzy" and not atom.negative:
-        return c.rlike(subsequence(text))
-    hit = {"prefix": F.startswith, "suffix": F.endswith, "whole": lambda a, b: a == b}.get(atom.kind, F.contains)(c, F.lit(text))
+
+    def found(seen: Column) -> Column:
+        if atom.kind == "fuzzy" and not atom.negative:
+            return seen.rlike(subsequence(text))
+        return {"prefix": F.startswith, "suffix": F.endswith, "whole": lambda a, b: a == b}.get(atom.kind, F.contains)(seen, F.lit(text))
+
+    hit = found(c)
+    if atom.plain:  # only texts beyond ASCII have accents to take off
+        wide = F.octet_length(F.col(path)) > F.char_length(F.col(path))
+        marks = unaccented()
+        hit = hit | (wide & found(F.translate(c, "".join(map(chr, marks)), "".join(map(chr, marks.values())))))
     return ~hit if atom.negative else hit
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from . import schema
 from .functions import columns as fn
-from .functions.calc import evaluate, shown
+from .functions.calc import shown_values
 from .functions.fuzzy import Atom
 from .operators import changes, content, history, rank, semantic
 from .operators.predicates import atom_predicate, predicate, quiet
@@ -306,7 +306,7 @@ def scalar_labels(spark: SparkSession, d: str) -> DataFrame:
 def calc_eval(spark: SparkSession, d: str) -> DataFrame:
     @F.pandas_udf("string")
     def calc(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if (v := evaluate(t)) is None else shown(v))
+        return shown_values(texts)
 
     q = F.col("l_quantity").cast("long").cast("string")
     rows = schema.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.concat(q, F.lit("*("), F.col("l_linenumber").cast("string"), F.lit("+2)-7%3^2/-4")).alias("expression"))

@@ -1,10 +1,14 @@
-"""Query text to a request: mode, filters and pattern.  Pure Python; nothing here touches Spark."""
+"""Query text to a request: mode, filters and pattern.  Pure Python, but for the check of patterns where a JVM runs."""
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
+from pyspark.errors import PySparkException
+
 # Modes, their prefixes, and the extensions of each kind.
 MODES = {"=": "calc", ">": "content", "?": "semantic"}
 KINDS = {
@@ -22,7 +26,14 @@ LONG_MAX = (1 << 63) - 1
 
 DURATION = re.compile(r"([+-]?\d+)([mhdw])")
 NUMBER = re.compile(r"[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|inf|infinity)", re.IGNORECASE)
-UNSUPPORTED = re.compile(r"\(\?(?:=|!|<=|<!|>)|\\[1-9]|\\k<|[*+?}]\+")
+#: Parts of a pattern that the two dialects write or read differently, and single characters.
+PART = re.compile(r"\\(?:[xu]\{[0-9A-Fa-f]+\}|U[0-9A-Fa-f]{8}|[pP]\{\^?\w+\}|.)|\[:\^?[a-z]+:\]|\[\^?\]?|\(\?P?<\w+>|\(\?[imsux-]*[:)]|\(\?|[*+?}]\+|--|~~|.", re.DOTALL)
+# Letters that may follow a backslash, and the ASCII classes by name.
+ESCAPES = "aftnrvxuUdDsSwWpPbBAz"
+CLASSES = {
+    "alnum": "0-9A-Za-z", "alpha": "A-Za-z", "ascii": r"\x00-\x7F", "blank": r"\t\x20", "cntrl": r"\x00-\x1F\x7F", "digit": "0-9", "graph": "!-~",
+    "lower": "a-z", "print": r"\x20-~", "punct": "!-/:-@\\[-`{-~", "space": r"\t\n\x0B\f\r\x20", "upper": "A-Z", "word": r"\w", "xdigit": "0-9A-Fa-f",
+}
 
 
 class InvalidPattern(ValueError):
@@ -124,12 +135,62 @@ def has_upper(pattern: str) -> bool:
     return any(c.isupper() for c in pattern)
 
 
+def _escape(part: str) -> str:
+    """An escape sequence as Java writes it."""
+    name = part[3:-1]
+    if part[1] in "pP" and len(name) > 2:
+        return f"\\{part[1]}{{Is{name.removeprefix('Is')}}}"
+    if part[1] == "U" or part[:3] == r"\u{":
+        return rf"\x{{{name if part[2] == '{' else part[2:]}}}"
+    return r"\x0B" if part == r"\v" else part
+
+
+def translated(pattern: str) -> str:
+    """The pattern in Java's dialect, without the flags of its case; refuses what a linear engine can't run."""
+    out, depth, flags = [], 0, set()
+    for m in PART.finditer(pattern):
+        part = m[0]
+        if part[0] == "\\":
+            if part == "\\" or (part[1].isascii() and part[1].isalnum() and part[1] not in ESCAPES):
+                raise InvalidPattern(f"invalid pattern: {pattern}")
+            flags |= {"U"} if part[1] in "dDsSwWbB" else set()
+            part = _escape(part)
+        elif depth and part.startswith("[:"):
+            name = part[2:-2].lstrip("^")
+            if name not in CLASSES:
+                raise InvalidPattern(f"invalid pattern: {pattern}")
+            part = f"[{'^' * (part[2] == '^')}{CLASSES[name]}]"
+        elif part[0] == "[":
+            depth += 1
+            part = part.replace("]", "\\]") if not part.startswith("[:") else part
+        elif part == "]" and depth:
+            depth -= 1
+        elif depth and part in ("--", "~~"):
+            raise InvalidPattern(f"invalid pattern: {pattern}")
+        elif not depth and (part == "(?" or part[0] in "*+?}" and len(part) > 1):
+            raise InvalidPattern(f"invalid pattern: {pattern}")
+        elif not depth and part.startswith("(?") and part.endswith(">"):
+            part = "("  # names aren't used
+        elif not depth and part in ".^$":
+            flags.add("d")
+        out.append(part)
+    return "".join([f"(?{''.join(sorted(flags))})" if flags else "", *out])
+
+
 def java_pattern(pattern: str) -> str:
-    """A checked pattern for ``rlike`` with smart case: case counts only if the pattern has an upper-case character."""
-    if UNSUPPORTED.search(re.sub(r"\\\\", "", pattern)):
-        raise InvalidPattern(f"invalid pattern: {pattern}")
+    """A checked pattern for ``rlike`` with smart case: case counts only if the pattern has an upper-case character.
+
+    Java's own compiler judges it where a session runs, else Python's.  Word, digit and space
+    classes are those of Unicode; a dot stops at line feeds alone.
+    """
+    found = translated(pattern)
     try:
-        re.compile(re.sub(r"\\[pP]\{\w+\}|\\z|\\A", "x", pattern))
-    except re.error as e:
-        raise InvalidPattern(f"invalid pattern: {e}") from e
-    return pattern if has_upper(pattern) else f"(?iu){pattern}"
+        if SparkContext._jvm is not None:
+            SparkContext._jvm.java.util.regex.Pattern.compile(found)
+        else:
+            re.compile(re.sub(r"\\[pP](\{\w+\}|\w)|\\z|\\A|\\x\{\w+\}|^\(\?[Ud]+\)", "x", found))
+    except (re.error, Py4JJavaError, PySparkException) as e:
+        raise InvalidPattern(f"invalid pattern: {pattern}") from e
+    if has_upper(pattern):
+        return found
+    return f"(?iu{found[2:]}" if re.match(r"\(\?[Ud]+\)", found) else f"(?iu){found}"

@@ -124,6 +124,44 @@ def test_patterns():
     assert java_pattern("ab") == "(?iu)ab" and java_pattern("Ab") == "Ab" and java_pattern(r"\\1") == r"(?iu)\\1"
 
 
+def test_pattern_dialect(spark):
+    for bad in ("x{,3}", "[+--]", r"\Qa\E", "(?>a)", "[[:letters:]]", "\\"):
+        with pytest.raises(InvalidPattern):
+            java_pattern(bad)
+    rows = spark.createDataFrame([(x,) for x in ("naïve 7", "tab\there", "Ωmega", "a]b", "+*", "x\ry", "٣")], "path string")
+
+    def matched(pattern):
+        return [r.path for r in rows.where(F.col("path").rlike(java_pattern(pattern))).collect()]
+
+    assert matched(r"^\w+ \d$") == ["naïve 7"] and matched("(?P<sign_1>[*+])[*]$") == ["+*"] and matched("[]]b") == ["a]b"]
+    assert matched(r"\p{Greek}") == ["Ωmega"] and matched("[[:space:]]h") == ["tab\there"] and matched("x.y") == ["x\ry"]
+    assert matched(r"^\pL{2}[[:^alpha:]]v") == ["naïve 7"] and matched(r"^\d$") == ["٣"] and matched("[[:digit:]]") == ["naïve 7"]
+
+
+def test_accents_and_escapes(spark):
+    paths = ["/a/résumé.pdf", "/a/resume.pdf", "/a/RÉSUMÉ.txt", "/b/!keep/cost$", "/b/two words", "/b/^up"]
+
+    def found(query):
+        return sorted(ids(rank.filename_search(index(spark, paths), parse(query, NOW))))
+
+    assert found("resume") == found("'resume") == [0, 1, 2] and found("résumé") == [0, 2] and found("RESUME") == [2]
+    assert found("!resume") == [3, 4, 5] and found(r"\!keep") == [3] and found(r"cost\$") == [3] and found(r"'two\ w") == [4] and found(r"\^up") == [5]
+    assert found("resume.pdf$") == [0, 1] and fuzzy.positions("/a/résumé.pdf", "resume") == [3, 4, 5, 6, 7, 8]
+    assert [a.kind for a in fuzzy.atoms("'x$ !x !x$ ^x")] == ["whole", "exact", "suffix", "prefix"]
+
+
+def test_whole_texts_are_filtered_before_lines(spark):
+    texts = ["", "\n", "ab\r\ncd", "ab\n\n\n", "x\nab", "abc"]
+    rows = spark.createDataFrame([(f"/{k}.txt", 0, 1, t) for k, t in enumerate(texts)], "path string, mtime long, size long, text string")
+
+    def lines(pattern):
+        return {(r.path, r.line_number) for r in content.grep(rows, pattern).collect()}
+
+    assert lines("ab$") == {("/2.txt", 1), ("/3.txt", 1), ("/4.txt", 2)} and lines("^$") == {("/1.txt", 1), ("/3.txt", 2), ("/3.txt", 3)}
+    assert lines("^c") == {("/2.txt", 2)} and lines("b[^x]c") == set()
+    assert "(?ium)" in content.grep(rows, "needle")._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_content(spark):
     texts = [("/a.txt", 0, 30, "one\ntwo needle two\nthree\nneedle  \r\n"), ("/case.txt", 0, 9, "Needle\nneedle\n"), ("/bin.dat", 0, 9, "needle\0"), ("/big.txt", 0, 9999, "needle"), ("/doc.pdf", 0, 9999, "annual Needle report"), ("/many.txt", 0, 9, "needle\n" * 100), ("/d/", 0, 0, "needle"), ("/none.txt", 0, 0, None)]
     rows = spark.createDataFrame(texts, "path string, mtime long, size long, text string")
