@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from .shared import small, written
 
-#: Vectors of a shard, queries of a block, vectors of a leaf.
-SHARD_ROWS, BLOCK_ROWS, LEAF = 25_000, 1000, 128
+#: Vectors and bytes of a shard, queries and bytes of a block, vectors of a leaf.
+SHARD_ROWS, SHARD_BYTES, BLOCK_ROWS, BLOCK_BYTES, LEAF = 25_000, 32 << 20, 1000, 4 << 20, 128
+#: Cosines of unit rows this far below the last find's are still compared by their exact score.
+MARGIN = 1e-12
 #: Blocks that meet a shard in one group.
 TURN_BLOCKS = 32
 NEIGHBOURS, EVERY = 5, 50
@@ -95,35 +97,46 @@ class Tree:
     def __init__(self, ids: np.ndarray, data: np.ndarray, *, leaf: int = LEAF, seed: int = 0):
         unit = unit_rows(data)
         self.order, self.nodes = build_tree(unit, leaf, seed)
-        self.ids, self.unit = ids[self.order], unit[self.order]
+        self.ids, self.unit, self.data = ids[self.order], unit[self.order], data[self.order]
         place = np.empty(len(unit), dtype=np.int64)
         place[self.order] = np.arange(len(unit))
         inner = self.nodes[:, 0] >= 0
         self.nodes[inner, 0] = place[self.nodes[inner, 0].astype(np.int64)]
         self.visited = 0
 
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, count: int, relax: float) -> tuple[np.ndarray, np.ndarray]:
-        """(positions, distances) of the ``count`` nearest of every query, its own id left out; -1 where there are fewer.
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, count: int, relax: float, originals: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(positions, scores) of the ``count`` nearest of every query, its own id left out; -1 where there are fewer.
 
         First every query goes down to the leaf of its nearer halves, then all go through the
         tree together, so that queries which share a node share its products.  A half is
         skipped if its bound exceeds ``relax`` times the distance of the query's last find.
+        Products of unit rows only choose whom to score: finds are ordered by the score of
+        the original rows, which is equal for equal vectors, and then by id.
         """
         n = len(queries)
-        best = np.full((n, count), np.inf)
+        originals = queries if originals is None else originals
+        best = np.full((n, count), -np.inf)
         where = np.full((n, count), -1, dtype=np.int64)
         first = np.full(n, -1)
 
         def look(node: int, rows: np.ndarray) -> None:
             a, b = int(self.nodes[node, 4]), int(self.nodes[node, 5])
             self.visited += len(rows) * (b - a)
-            d = np.sqrt(np.maximum(0.0, 2 - 2 * (queries[rows] @ self.unit[a:b].T)))
-            d[query_ids[rows][:, None] == self.ids[a:b][None]] = np.inf
-            d = np.hstack([best[rows], d])
+            rough = queries[rows] @ self.unit[a:b].T
+            rough[query_ids[rows][:, None] == self.ids[a:b][None]] = -np.inf
+            last = np.partition(rough, -count, axis=1)[:, -count] if b - a > count else np.full(len(rows), -np.inf)
+            row, col = np.nonzero((rough >= np.maximum(last, best[rows, -1])[:, None] - MARGIN) & (rough > -np.inf))
+            exact = np.full(rough.shape, -np.inf)
+            exact[row, col] = cosines(originals[rows[row]], self.data[a + col], queries[rows[row]], self.unit[a + col])
+            exact = np.hstack([best[rows], exact])
             at = np.hstack([where[rows], np.broadcast_to(np.arange(a, b), (len(rows), b - a))])
             names = np.where(at < 0, np.iinfo(np.int64).max, self.ids[at])
-            near = np.lexsort((names, np.round(d, 12)), axis=1)[:, :count]
-            best[rows], where[rows] = np.take_along_axis(d, near, 1), np.take_along_axis(at, near, 1)
+            near = np.lexsort((names, -exact), axis=1)[:, :count]
+            best[rows], where[rows] = np.take_along_axis(exact, near, 1), np.take_along_axis(at, near, 1)
+
+        def reach(rows: np.ndarray) -> np.ndarray:
+            """Distances of the rows' last finds."""
+            return np.sqrt(np.maximum(0.0, 2 - 2 * best[rows, -1]))
 
         todo: list[tuple[int, np.ndarray, np.ndarray | None]] = [(0, np.arange(n), None)]
         while todo:
@@ -138,7 +151,7 @@ class Tree:
         todo = [(0, np.arange(n), np.zeros(n))]
         while todo:
             node, rows, bound = todo.pop()
-            keep = bound <= relax * best[rows, -1] + 1e-7
+            keep = bound <= relax * reach(rows) + 1e-7
             rows, bound = rows[keep], bound[keep]
             vantage, radius, left, right = self.nodes[node, :4]
             if vantage < 0:
@@ -148,7 +161,7 @@ class Tree:
             elif len(rows):
                 d = distances(queries[rows], self.unit[int(vantage)])
                 todo += [(int(right), rows, np.maximum(bound, radius - d)), (int(left), rows, np.maximum(bound, d - radius))]
-        where[np.isinf(best)] = -1
+        where[np.isneginf(best)] = -1
         return where, best
 
 
@@ -163,12 +176,14 @@ def nearest(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "em
     empty table gives an empty result; other columns aren't read.
     """
     kept = written(usable(vectors, id_col, vector_col), "vectors")
-    total = kept.count()
-    shards = max(1, -(-total // shard_rows))
+    width = F.sum(F.size("v").cast("long") * 8)
+    total, held = kept.agg(F.count(F.lit(1)), F.coalesce(width, F.lit(0))).first()
+    shards = max(1, -(-total // shard_rows), -(-held // SHARD_BYTES))
     # equal vectors spread over all shards, as shards are dealt by id
     packed = written(_packed(kept.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards))), "shard"), "shards")
     queries = kept.where(F.pmod("vec_id", F.lit(every)) == 0)
-    blocks = max(1, -(-queries.count() // block_rows))
+    wanted, sent = queries.agg(F.count(F.lit(1)), F.coalesce(width, F.lit(0))).first()
+    blocks = max(1, -(-wanted // block_rows), -(-sent // BLOCK_BYTES))
     asked = written(_packed(queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit("q")), F.lit(blocks))), "block"), "query-blocks")
     # the stated query set against all shards: a shard meets a turn of blocks, for which its tree is built once
     asked = asked.withColumn("turn", F.floor(F.col("block") / TURN_BLOCKS))
@@ -186,11 +201,9 @@ def nearest(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "em
             for q_ids, q_data in zip(visit_rows.ids, visit_rows.data):
                 own, q = np.frombuffer(q_ids, dtype=np.int64), np.frombuffer(q_data).reshape(-1, held.dim)
                 unit = unit_rows(q)
-                where, _ = tree.search(own, unit, count, relax)
+                where, scores = tree.search(own, unit, count, relax, q)
                 row, col = np.nonzero(where >= 0)
-                at = where[row, col]
-                found = tree.order[at]
-                out.append(pd.DataFrame({"query_id": own[row], "vec_id": ids[found], "score": cosines(q[row], data[found], unit[row], tree.unit[at])}))
+                out.append(pd.DataFrame({"query_id": own[row], "vec_id": tree.ids[where[row, col]], "score": scores[row, col]}))
         return pd.concat(out)
 
     trees, visits = (df.toDF(*df.columns) for df in (trees, visits))  # columns of one origin would be ambiguous

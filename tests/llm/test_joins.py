@@ -201,6 +201,36 @@ def test_search_is_exact_at_factor_one_and_near_it_below(spark):
     assert vantage.nearest(table.limit(0)).collect() == []
 
 
+def test_copies_of_a_query_come_in_the_order_of_their_ids():
+    for seed in range(20):
+        r = np.random.default_rng(seed)
+        data = r.normal(size=(600, 64))
+        same = r.choice(600, 80, replace=False)
+        data[same] = data[same[0]]
+        tree = vantage.Tree(np.arange(600), data, leaf=32, seed=seed)
+        for relax in (1.0, vantage.RELAX):
+            unit = vantage.unit_rows(data[same])
+            where, scores = tree.search(same, unit, 5, relax, data[same])
+            for q, at in zip(same, where):
+                assert tree.ids[at].tolist() == sorted(set(same.tolist()) - {q})[:5]
+            assert len({s for s in scores.ravel()}) == 1
+
+
+def test_trees_prune_where_vectors_lie_in_groups():
+    r = np.random.default_rng(3)
+    centres = r.normal(size=(120, 32))
+    data = centres[r.integers(120, size=12_000)] + 0.1 * r.normal(size=(12_000, 32))
+    asked = np.arange(0, 12_000, 50)
+    tree, unit = vantage.Tree(np.arange(12_000), data), vantage.unit_rows(data)
+    where, _ = tree.search(asked, unit[asked], 5, vantage.RELAX, data[asked])
+    all_pairs = unit[asked] @ unit.T
+    all_pairs[np.arange(len(asked)), asked] = -2
+    want = np.argsort(-all_pairs, axis=1, kind="stable")[:, :5]
+    recall = np.mean([len(set(tree.ids[w]) & set(x)) / 5 for w, x in zip(where, want)])
+    assert recall >= 0.9 and tree.visited < 0.5 * len(asked) * len(data)
+    print(recall, tree.visited / (len(asked) * len(data)))
+
+
 def brute_spans(rows, span):
     seen, out = set(), []
     for i, t in sorted(rows, key=lambda x: (x[0] is None, x[0] or 0, x[1] is not None, x[1] or "")):
