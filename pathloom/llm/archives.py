@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import attached, mapped, scratch_path, small, text_bytes, written
+from .shared import attached, mapped, owned, scratch_path, small, text_bytes, written
 
 #: Payload bytes after which a task begins its next package.
 PACKAGE_BYTES = 64 << 20
@@ -284,4 +284,8 @@ def archived(pages: DataFrame, *, to: str | None = None, **options) -> DataFrame
     id are all responses; an empty table writes nothing.  Other columns aren't read.
     """
     spark = pages.sparkSession
-    return read_packages(written_packages(pages, to or scratch_path(spark, "packages"), **options))
+    folder = to or scratch_path(spark, "packages")
+    index = written_packages(pages, folder, **options)
+    if not to:
+        owned(spark, folder)
+    return read_packages(index)

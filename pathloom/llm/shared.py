@@ -40,11 +40,18 @@ def written(df: DataFrame, name: str, *, by: list[str] | None = None) -> DataFra
     path = scratch_path(spark, name)
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*by) if by else writer).parquet(path)
+    owned(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
 
 
+def owned(spark: SparkSession, path: str) -> None:
+    """Leaves a written folder to the driver's file system, which deletes it when the driver ends: lazy results may read it until then."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes tables of ``written`` that nothing lazy reads any more."""
     for table in tables:
