@@ -14,7 +14,7 @@ from pathloom.llm.mixing import mixed
 from pathloom.llm.piece_bpe import encoded
 from pathloom.llm.quality import scored, trained
 from pathloom.llm.queries import piece_model
-from pathloom.llm.shared import read_table, scratch_path, small
+from pathloom.llm.shared import owned, read_table, scratch_path, small
 
 #: SQL can't express the classifier, so the rows are tested against brute force.
 ORACLE_SQL = None
@@ -109,5 +109,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = scratch_path(spark, f"stage{k}")
         out = stage(spark, docs, sf_dir)
         out.write.parquet(path)
+        owned(spark, path)
         docs = spark.read.schema(out.schema).parquet(path)
     return docs
