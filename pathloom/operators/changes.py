@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Touched paths up to which they go into the plan as a set; beyond it the folders of all rows are joined with them.
+FEW = 1000
+
+
 def ancestors(path: str = "path"):
     """All folders above a path, without slash at the end: a prefix join becomes an equi-join on these."""
     bare = F.regexp_replace(F.col(path), "/+$", "")
@@ -14,8 +18,12 @@ def ancestors(path: str = "path"):
 
 
 def without(current: DataFrame, touched: DataFrame) -> DataFrame:
-    """``current`` less the touched paths and all that lies below them."""
-    bare = touched.select(F.regexp_replace("path", "/+$", "").alias("gone")).distinct()
+    """``current`` less the touched paths and all that lies below them; of a burst of a few nothing is shuffled."""
+    bare = touched.select(F.regexp_replace("path", "/+$", "").alias("gone")).where("gone is not null").distinct()
+    few = [r.gone for r in bare.limit(FEW + 1).collect()]
+    if len(few) <= FEW:
+        names = F.array_append(ancestors(), F.regexp_replace("path", "/+$", ""))
+        return current.where(~F.coalesce(F.exists(names, lambda x: x.isin(*few)), F.lit(False))) if few else current
     rest = current.withColumn("bare", F.regexp_replace("path", "/+$", "")).join(bare, F.col("bare") == F.col("gone"), "left_anti").drop("bare")
     names = rest.select("path", F.explode(ancestors()).alias("folder"))
     below = names.join(bare, F.col("folder") == F.col("gone"), "left_semi").select("path").distinct()

@@ -6,8 +6,8 @@ import random
 import pytest
 from pathloom.functions import fuzzy
 from pathloom.functions.calc import evaluate, shown
-from pathloom.operators import content, history, rank, semantic
-from pathloom.operators.predicates import exclude_regex, predicate
+from pathloom.operators import changes, content, history, rank, semantic
+from pathloom.operators.predicates import exclude_regex, predicate, quiet
 from pathloom.plans.search import Corpus, filter_lines, plan, script_search
 from pathloom.request import InvalidPattern, java_pattern, parse, parse_filters, parse_size
 from pyspark.sql import functions as F
@@ -90,6 +90,32 @@ def test_strong_part_and_quiet_places(spark):
     assert strong.count() == 0 and every.count() == 1
 
 
+def test_one_pass_equals_ranking_of_scored_rows(spark):
+    r = random.Random(11)
+    paths = [r.choice(["/w/", "/w/.hid/", "/Library/"]) + "".join(r.choice("abcé/_") for _ in range(r.randint(1, 9))) + "x" for _ in range(400)]
+    rows = index(spark, paths).repartition(9)
+    boosts = spark.createDataFrame([(p, 7 * k) for k, p in enumerate(sorted(set(paths))[::5])], "path string, boost int")
+    columns = ["rank", "ord", "path", "score", "is_strong", "recent_open"]
+    for query, limit, demote in (("ab", 7, True), ("ab", 7, False), ("a b", 500, True), ("zzz", 500, True), ("x$", 30, True), ("é", 500, False)):
+        total = F.expr("score + coalesce(boost, 0)")
+        graded = rank.boosted(rank.scored(rows, query), boosts).withColumn("is_quiet", quiet(rank.QUIET))
+        graded = graded.withColumn("score", F.when(F.col("is_quiet") & F.lit(demote), F.floor(total * 2 / 5)).otherwise(total))
+        want = rank.strong_part(graded, demote=demote, limit=limit).withColumn("recent_open", F.col("boost").isNotNull())
+        found = rank.fuzzy_ranked(rows, query, boosts=boosts, demote=demote, limit=limit)
+        assert sorted(map(tuple, found.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow graded") == 1
+
+
+def test_changes_of_few_and_many_paths(spark, monkeypatch):
+    rows = index(spark, ["/a/b/c.txt", "/a/b", "/a/bc.txt", "/a/b/d/e.txt", "/f/", "/f/g.txt", "/fg.txt", "/h"])
+    for few in (1000, 0):
+        monkeypatch.setattr(changes, "FEW", few)
+        left = lambda *gone: sorted(r.path for r in changes.without(rows, spark.createDataFrame([(g,) for g in gone], "path string")).collect())
+        assert left("/a/b/", "/h") == ["/a/bc.txt", "/f/", "/f/g.txt", "/fg.txt"]
+        assert left("/f") == ["/a/b", "/a/b/c.txt", "/a/b/d/e.txt", "/a/bc.txt", "/fg.txt", "/h"]
+        assert len(left(None, "/none")) == len(left()) == 8 and left("/") == []
+
+
 def brute_score(text, pattern, bonus):
     best = {}
 
