@@ -34,7 +34,7 @@ def parser() -> argparse.ArgumentParser:
 
 def reindex(spark: SparkSession, store: SnapshotStore, conf: settings.EngineConfig) -> str:
     began = time.monotonic()
-    rows = walked(spark, conf.expanded_roots(), conf.excludes)
+    rows = walked(spark, conf.expanded_roots(), conf.excludes, app_folders=[settings.expand(f) for f in settings.APP_FOLDERS] if conf.index_apps else [])
     store.publish(rows.where("state = 'found'").select("path", "mtime", "size"))
     stats = walk_stats(rows).first()
     unread = f" ({stats.skipped} unreadable)" if stats.skipped else ""
@@ -83,7 +83,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if args.query is not None:
             now = int(time.time())
             texts = read_texts(spark, files.where("path not like '%/'")) if args.query.startswith(">") else None
-            rows, every = script_search(spark, Corpus(files, texts, chunks.load(), quiet=tuple(conf.quiet)), args.query, now)
+            rows, every = script_search(spark, Corpus(files, texts, chunks.load(), quiet=tuple(conf.quiet), max_bytes=conf.max_content_filesize), args.query, now)
             for r in hits_as_lines(rows).toLocalIterator():
                 print(r.value)
             return int(not every.take(1))

@@ -13,6 +13,9 @@ from .operators.predicates import QUIET
 EXCLUDES = """.git node_modules target .bun .cache .cargo .npm .Trash .DS_Store .venv .venvs venv .tox .mypy_cache .pytest_cache .ruff_cache
 __pycache__ Library/Caches Library/Containers Library/Logs""".split() + ["Library/Application Support/MobileSync", "Library/Mobile Documents", "Library/CloudStorage"]
 
+# Folders of application bundles.
+APP_FOLDERS = ["/Applications", "/System/Applications", "~/Applications"]
+
 
 @dataclass(frozen=True)
 class EngineConfig:

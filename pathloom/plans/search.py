@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.calc import evaluate, shown
-from ..operators.content import CONTENT_LIMIT, grep
+from ..operators.content import CONTENT_LIMIT, MAX_BYTES, grep
 from ..operators.predicates import QUIET
 from ..operators.rank import FILENAME_LIMIT, filename_search, visible
 from ..operators.semantic import HASH_DIM, hash_vector, semantic_search
@@ -24,6 +24,7 @@ class Corpus:
     chunks: DataFrame | None = None
     boosts: DataFrame | None = None
     quiet: tuple[str, ...] = QUIET
+    max_bytes: int = MAX_BYTES
 
 
 def hash_query(spark: SparkSession, text: str, dim: int = HASH_DIM) -> list[float]:
@@ -39,7 +40,7 @@ def plan(spark: SparkSession, corpus: Corpus, request: Request, *, limit: int |
         return spark.createDataFrame([] if value is None else [(request.pattern, shown(value))], "expression string, result string")
     if request.mode == "content":
         texts = corpus.texts
-        return grep(texts, request.pattern, request.filters, limit=content_limit) if request.pattern else grep(texts, "x").limit(0)
+        return grep(texts, request.pattern, request.filters, limit=content_limit, max_bytes=corpus.max_bytes) if request.pattern else grep(texts, "x").limit(0)
     if request.mode == "semantic":
         query = (embed or (lambda t: hash_query(spark, t)))(request.pattern)
         found = semantic_search(corpus.chunks, query, request.filters, files=corpus.files)
@@ -50,7 +51,7 @@ def plan(spark: SparkSession, corpus: Corpus, request: Request, *, limit: int |
 def script_search(spark: SparkSession, corpus: Corpus, text: str, now: int, **options) -> tuple[DataFrame, DataFrame]:
     """(rows to print, all rows): no boosts, no regex switch, strong rows only, no limit on lines."""
     request = parse(text, now, script=True)
-    plain = Corpus(corpus.files, corpus.texts, corpus.chunks, None, corpus.quiet)
+    plain = Corpus(corpus.files, corpus.texts, corpus.chunks, None, corpus.quiet, corpus.max_bytes)
     rows = plan(spark, plain, request, content_limit=None, **options)
     return (visible(rows) if "is_strong" in rows.columns else rows), rows
 

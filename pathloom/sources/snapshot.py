@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -78,6 +79,22 @@ class SnapshotStore:
                 return None
             raise
 
+    def enqueue(self, rows: DataFrame) -> None:
+        """Keeps rows beside the versions until ``forget``; they outlive the driver."""
+        rows.write.parquet(f"{self.root}/waiting/{uuid.uuid4().hex}")
+
+    def waiting(self) -> list[str]:
+        """The whole folders that ``enqueue`` wrote."""
+        folder = self._path(f"{self.root}/waiting")
+        if not self._fs.exists(folder):
+            return []
+        each = [str(s.getPath().toString()) for s in self._fs.listStatus(folder)]
+        return sorted(f for f in each if self._fs.exists(self._path(f"{f}/_SUCCESS")))
+
+    def forget(self, folders: list[str]) -> None:
+        for folder in folders:
+            self._fs.delete(self._path(folder), True)
+
     def load_or_build(self, build) -> DataFrame:
         rows = self.load()
         if rows is None:

@@ -6,15 +6,17 @@ import os
 import re
 import time
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.changes import folded
 from ..operators.predicates import exclude_regex, not_excluded
 from ..sources.snapshot import SnapshotStore
-from ..sources.walk import WalkSource, entry, walk
+from ..sources.walk import WalkSource, entry, walk, walked
 
 DEBOUNCE, SAVE_EVERY = "400 milliseconds", 60.0
 
@@ -44,35 +46,61 @@ class IndexStream:
     def __init__(self, store: SnapshotStore, excludes: list[str] = (), *, save_every: float = 0.0, state: Callable[[DataFrame], DataFrame] | None = None):
         self.store, self.excludes, self.save_every = store, list(excludes), save_every
         self.state = state or (lambda touched: present_state(touched, self.excludes))
-        self.saved, self.waiting = 0.0, None
+        self.saved: float | None = None
 
     def fold(self, batch: DataFrame, batch_id: int) -> None:
-        """One burst.  Replaying it is harmless: states are looked up again.  Bursts closer than ``save_every`` are kept for the next save."""
-        touched = not_excluded(batch.select("path").distinct(), self.excludes)
-        paths = [r.path for r in touched.collect()] + (self.waiting or [])  # one burst of changes, bounded by the source's rate
-        if not paths:
+        """One burst.  It is in the store before Spark counts it as done, so bursts that wait for the next save outlive the driver.
+
+        Replaying one is harmless: states are looked up again.
+        """
+        self.store.enqueue(not_excluded(batch.select("path").distinct(), self.excludes))
+        if self.saved is None or time.monotonic() - self.saved >= self.save_every:
+            self.flush()
+
+    def flush(self) -> None:
+        """Folds all waiting bursts into the next version; they go on waiting if another writer published in between."""
+        folders = self.store.waiting()
+        if not folders:
             return
-        if time.monotonic() - self.saved < self.save_every:
-            self.waiting = paths
+        seen = self.store.spark.read.schema("path string").parquet(*folders).distinct()
+        if not seen.isEmpty():
+            current, version = self._current()
+            rows = folded(current, seen, self.state(seen), burst=version + 1)
+            if not self._publish(rows, version):
+                return
+        self.saved = time.monotonic()
+        self.store.forget(folders)
+
+    def reconcile(self, roots: list[str]) -> None:
+        """Makes the entries below the roots what a full walk finds, deletions while nothing watched included."""
+        below = [os.path.abspath(r) for r in roots if os.path.isdir(r)]
+        if not below:
             return
-        spark, manifest = batch.sparkSession, self.store.current()
-        current = self.store.load()
+        current, version = self._current()
+        now = walked(self.store.spark, below, self.excludes, dedupe=True).where("state = 'found'").select("path", F.col("mtime").alias("mtime_now"), F.col("size").alias("size_now"))
+        inside = reduce(lambda a, b: a | b, (F.startswith(F.col("path"), F.lit(r.rstrip("/") + "/")) for r in below))
+        found = F.col("mtime_now").isNotNull()
+        same = F.col("mtime").eqNullSafe(F.col("mtime_now")) & F.col("size").eqNullSafe(F.col("size_now"))
+        rows = current.join(now, "path", "full_outer").where(found | ~inside)
+        rows = rows.select("path", F.coalesce("mtime_now", "mtime").alias("mtime"), F.coalesce("size_now", "size").alias("size"), F.when(found & ~same, version + 1).otherwise(F.col("burst")).cast("long").alias("burst"))
+        self._publish(rows, version)
+
+    def _current(self) -> tuple[DataFrame, int]:
+        manifest, current = self.store.current(), self.store.load()
         if current is None:
-            current = spark.createDataFrame([], "path string, mtime long, size long, burst long")
+            current = self.store.spark.createDataFrame([], "path string, mtime long, size long, burst long")
         if "burst" not in current.columns:
-            current = current.selectExpr("path", "mtime", "size", "0L as burst")
-        seen = spark.createDataFrame([(p,) for p in set(paths)], "path string")
-        version = manifest["version"] if manifest else 0
-        rows = folded(current.select("path", "mtime", "size", "burst"), seen, self.state(seen), burst=version + 1)
-        from pyspark.sql import functions as F
+            current = current.withColumn("burst", F.lit(0).cast("long"))
+        return current.select("path", "mtime", "size", "burst"), manifest["version"] if manifest else 0
 
+    def _publish(self, rows: DataFrame, version: int) -> bool:
         rows = rows.orderBy(F.desc("burst"), F.desc("mtime"), "path").withColumn("ord", F.monotonically_increasing_id())
-        if self.store.publish(rows, expected=version) is not None:
-            self.saved, self.waiting = time.monotonic(), None
-        else:
-            self.waiting = paths
+        return self.store.publish(rows, expected=version) is not None
 
-    def start(self, events: DataFrame, checkpoint: str, *, available_now: bool = False) -> StreamingQuery:
+    def start(self, events: DataFrame, checkpoint: str, *, available_now: bool = False, roots: list[str] = ()) -> StreamingQuery:
+        """Folds what waits from an earlier run, takes in what changed below ``roots`` meanwhile, then follows the stream."""
+        self.flush()
+        self.reconcile(list(roots))
         writer = events.writeStream.foreachBatch(self.fold).option("checkpointLocation", checkpoint)
         return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=DEBOUNCE)).start()
 

@@ -199,6 +199,12 @@ def test_content(spark):
     assert content.line_numbers(rows.where("path = '/case.txt'")).count() == 2
 
 
+def test_size_bound_of_line_search_comes_with_the_corpus(spark):
+    texts = spark.createDataFrame([("/big.txt", 0, 50, "needle"), ("/small.txt", 0, 6, "needle")], "path string, mtime long, size long, text string")
+    hits = lambda most: {r.path for r in script_search(spark, Corpus(texts, texts, max_bytes=most), "> needle", NOW)[0].collect()}
+    assert hits(10) == {"/small.txt"} and hits(50) == {"/big.txt", "/small.txt"}
+
+
 def test_history(spark):
     lines = spark.createDataFrame([(x,) for x in ("100\t1\t/a\tb", "x\t1\t/c", "5\t2", "", "200\t3\t/a\tb", "1\t-1\t/z")], "value string")
     opens = history.parsed(lines)

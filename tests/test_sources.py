@@ -114,6 +114,35 @@ def test_index_stream(spark, tmp_path):
     assert set(found[:4]) == {"new.txt", "fresh/", "fresh/deep/", "fresh/deep/f.txt"}  # the newest burst stands first
 
 
+def test_bursts_that_wait_outlive_the_stream(spark, tmp_path):
+    root = tmp_path / "root"
+    tree(root, {"a.txt": "a", "b.txt": "b"})
+    store = SnapshotStore(spark, f"file://{tmp_path}/store")
+    stream = IndexStream(store, save_every=3600)
+    names = lambda: sorted(r.path.removeprefix(f"{root}/") for r in store.load().collect())
+    burst = lambda *paths: spark.createDataFrame([(f"{root}/{p}",) for p in paths], "path string")
+    stream.fold(burst("a.txt"), 0)
+    stream.fold(burst("b.txt"), 1)
+    stream.fold(burst("b.txt"), 1)
+    assert names() == ["a.txt"] and len(store.waiting()) == 2
+    IndexStream(store, save_every=3600).flush()
+    assert names() == ["a.txt", "b.txt"] and store.waiting() == []
+
+
+def test_changes_while_nothing_watched(spark, tmp_path):
+    root = tmp_path / "root"
+    tree(root, {"gone.txt": "g", "stays.txt": "s", "grows.txt": "1", "dir/in.txt": "i"})
+    store = SnapshotStore(spark, f"file://{tmp_path}/store")
+    rows = walked(spark, [str(root)]).where("state = 'found'").select("path", "mtime", "size")
+    store.publish(rows.unionByName(spark.createDataFrame([("/elsewhere/x", 1, 1)], "path string, mtime long, size long")))
+    (root / "gone.txt").unlink()
+    tree(root, {"grows.txt": "12345", "dir/new.txt": "n"})
+    IndexStream(store).reconcile([str(root), "/no/such/root"])
+    found = {r.path.removeprefix(f"{root}/"): r for r in store.load().collect()}
+    assert set(found) == {"stays.txt", "grows.txt", "dir/", "dir/in.txt", "dir/new.txt", "/elsewhere/x"}
+    assert found["grows.txt"].size == 5 and found["grows.txt"].burst == found["dir/new.txt"].burst == 2 and found["stays.txt"].burst == 0
+
+
 def test_lines_and_queries(spark, tmp_path):
     assert [r.path for r in from_lines(spark, ["b\n", " \n", "a"]).orderBy("ord").collect()] == ["b", "a"]
     for q in ("one", " ", "two"):
