@@ -1,4 +1,4 @@
-"""Directory walks as a Spark data source: one partition a subtree.
+"""Directory walks in rounds: folders are rows, dealt again whenever tasks have done their share.
 
 The folders walked must be visible to the executors (a shared file system on a cluster).
 """
@@ -8,16 +8,27 @@ from __future__ import annotations
 import os
 import re
 import stat
+from collections import deque
 from collections.abc import Iterator
-from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 from ..operators.predicates import exclude_regex
+from .scratch import stored
 
 SCHEMA = "path string, mtime long, size long, state string"
+#: Rows of a round: folders not opened yet keep the bytes of their names, which needn't be UTF-8.
+ROUND = f"{SCHEMA}, raw binary"
+#: Entries that a task lists in the first round before it hands its folders back, how that grows by round, and the most.
+SHARE, GROWTH, MOST = 2_000, 5, 100_000
+#: Rows that a task holds at once, and folders of a later round to a task at least.
+BATCH, TASK_FOLDERS = 10_000, 4
+
+
+def _shown(path: str) -> str:
+    return path.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
 
 
 def entry(path: str) -> tuple[str, int, int] | None:
@@ -26,30 +37,21 @@ def entry(path: str) -> tuple[str, int, int] | None:
         s = os.lstat(path)
     except OSError:
         return None
-    shown = path.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
+    shown = _shown(path)
     if stat.S_ISDIR(s.st_mode):
         return shown.rstrip("/") + "/", int(s.st_mtime), 0
     return (shown, int(s.st_mtime), s.st_size) if stat.S_ISREG(s.st_mode) else None
 
 
-def walk(root: str, excluded: re.Pattern | None = None, *, deep: bool = True) -> Iterator[tuple[str, int, int, str]]:
-    """Entries below ``root`` (not itself); excluded ones are not descended into; unreadable ones come as state ``skipped``."""
-    todo = [root]
-    while todo:
-        folder = todo.pop()
-        try:
-            names = list(os.scandir(folder))
-        except OSError:
-            yield folder, 0, 0, "skipped"
-            continue
-        for e in names:
-            if excluded and excluded.match(e.path):
-                continue
-            found = entry(e.path)
-            if found:
-                yield (*found, "found")
-                if deep and found[0].endswith("/"):
-                    todo.append(e.path)
+def _listed(folder: str, excluded: re.Pattern | None) -> Iterator[tuple[str, int, int, str, str]]:
+    """The entries of one folder that aren't excluded, and their paths as the system has them; an unreadable folder comes as state ``skipped``."""
+    try:
+        with os.scandir(folder) as names:
+            for e in names:
+                if not (excluded and excluded.match(e.path)) and (found := entry(e.path)):
+                    yield *found, "found", e.path
+    except OSError:
+        yield _shown(folder), 0, 0, "skipped", folder
 
 
 def apps(folders: list[str], depth: int = 2) -> Iterator[tuple[str, int, int, str]]:
@@ -69,83 +71,56 @@ def apps(folders: list[str], depth: int = 2) -> Iterator[tuple[str, int, int, st
                     todo.append((e.path, level + 1))
 
 
-@dataclass
-class Subtree(InputPartition):
-    path: str
-    deep: bool
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, options):
-        self.roots = [r for r in options.get("roots", "").split("\x1f") if r]
-        self.excludes = exclude_regex([x for x in options.get("excludes", "").split("\x1f") if x])
-
-    def partitions(self):
-        """Each root's own entries, and each of its folders."""
-        excluded = re.compile(self.excludes) if self.excludes else None
-        out: list[Subtree] = []
-        for root in self.roots:
-            if not os.path.isdir(root):
-                continue
-            out.append(Subtree(root, False))
-            try:
-                out += [Subtree(e.path, True) for e in os.scandir(root) if e.is_dir(follow_symlinks=False) and not (excluded and excluded.match(e.path))]
-            except OSError:
-                pass
-        return out or [Subtree("", False)]
-
-    def read(self, partition):
-        if partition.path:
-            yield from walk(partition.path, re.compile(self.excludes) if self.excludes else None, deep=partition.deep)
-
-
-class WalkSource(DataSource):
-    """``spark.read.format("filewalk")`` with options roots and excludes, separated by \\x1f."""
-
-    @classmethod
-    def name(cls):
-        return "filewalk"
-
-    def schema(self):
-        return SCHEMA
-
-    def reader(self, schema):
-        return _Reader(self.options)
-
-    def simpleStreamReader(self, schema):
-        return _ChangeReader(self.options)
-
-
-class _ChangeReader(SimpleDataSourceStreamReader):
-    """Changes between polls: paths whose time or size differ, that are new, or that are gone."""
-
-    def __init__(self, options):
-        self.reader = _Reader(options)
-        self.known: dict[str, tuple[int, int]] | None = None
-
-    def _now(self) -> dict[str, tuple[int, int]]:
-        excluded = re.compile(self.reader.excludes) if self.reader.excludes else None
-        return {p: (m, s) for r in self.reader.roots if os.path.isdir(r) for p, m, s, state in walk(r, excluded) if state == "found"}
-
-    def initialOffset(self):
-        self.known = self._now()
-        return {"poll": 0}
-
-    def read(self, start):
-        now, known = self._now(), self.known or {}
-        changed = [(p, *v, "changed") for p, v in now.items() if known.get(p) != v] + [(p, 0, 0, "gone") for p in known.keys() - now.keys()]
-        self.known = now
-        return iter(changed), {"poll": start["poll"] + bool(changed)}
-
-    def readBetweenOffsets(self, start, end):
-        return iter([])  # a burst that was lost shows in the next full walk: states are looked up, not replayed
-
-
-def walked(spark: SparkSession, roots: list[str], excludes: list[str] | tuple[str, ...] = (), *, app_folders: list[str] = (), dedupe: bool = False) -> DataFrame:
+def below(folders: DataFrame, excludes: list[str] | tuple[str, ...] = (), *, share: int = SHARE, most: int = MOST) -> DataFrame:
+    """(path, mtime, size, state) of all that lies below ``folders`` (path), the folders themselves left out.
+
+    A round's tasks go down breadth first and stop after their share of entries; folders they
+    have not opened are dealt anew over all tasks in the next round, so one deep or wide
+    folder is soon everyone's work.  Each round is a table in the shared folder.  A single
+    folder's own entries are one task's, taken in batches.  Names that aren't UTF-8 are shown
+    with replacement characters.
+    """
+    spark = folders.sparkSession
+    pattern = exclude_regex(list(excludes))  # a bad glob fails here
+    tasks = max(2, spark.sparkContext.defaultParallelism)
+
+    def listing(allowed: int):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            excluded, done, out = re.compile(pattern) if pattern else None, 0, []
+            frame = lambda rows: pd.DataFrame(rows, columns=["path", "mtime", "size", "state", "raw"]).astype({"mtime": "int64", "size": "int64"})
+            for batch in batches:
+                todo = deque(os.fsdecode(raw) for raw in batch.raw)
+                while todo:
+                    folder = todo.popleft()
+                    if done >= allowed:
+                        out.append((_shown(folder), 0, 0, "todo", os.fsencode(folder)))
+                    else:
+                        for *row, path in _listed(folder, excluded):
+                            done += 1
+                            out.append((*row, None))
+                            if row[3] == "found" and row[0].endswith("/"):
+                                todo.append(path)
+                            if len(out) >= BATCH:
+                                yield frame(out)
+                                out = []
+            yield frame(out)
+
+        return run
+
+    rounds, allowed, frontier = [], share, folders.select(F.regexp_replace("path", "(?<=.)/+$", "").cast("binary").alias("raw"))
+    while True:
+        rounds.append(stored(frontier.mapInPandas(listing(allowed), ROUND), "walk"))
+        rest = spark.read.schema(ROUND).parquet(rounds[-1]).where("state = 'todo'").select("raw")
+        count = rest.count()
+        if not count:
+            return spark.read.schema(SCHEMA).parquet(*rounds).where("state <> 'todo'")
+        frontier, allowed = rest.repartition(min(4 * tasks, -(-count // TASK_FOLDERS))), min(most, allowed * GROWTH)
+
+
+def walked(spark: SparkSession, roots: list[str], excludes: list[str] | tuple[str, ...] = (), *, app_folders: list[str] = (), dedupe: bool = False, share: int = SHARE) -> DataFrame:
     """(path, mtime, size, state) below all roots that exist; overlapping roots give their entries twice unless ``dedupe``."""
-    exclude_regex(list(excludes))  # a bad glob fails here
-    spark.dataSource.register(WalkSource)
-    rows = spark.read.format("filewalk").options(roots="\x1f".join(roots), excludes="\x1f".join(excludes)).load()
+    there = [(r,) for r in roots if os.path.isdir(r)]
+    rows = below(spark.createDataFrame(there, "path string"), excludes, share=share)
     found = list(apps(list(app_folders)))
     if found:
         rows = spark.createDataFrame(found, SCHEMA).unionByName(rows)

@@ -3,41 +3,38 @@
 from __future__ import annotations
 
 import os
-import re
 import time
 from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.changes import folded
-from ..operators.predicates import exclude_regex, not_excluded
+from ..operators.predicates import not_excluded
+from ..sources.scratch import stored
 from ..sources.snapshot import SnapshotStore
-from ..sources.walk import WalkSource, entry, walk, walked
+from ..sources.walk import below, entry, walked
 
 DEBOUNCE, SAVE_EVERY = "400 milliseconds", 60.0
 
 
 def present_state(touched: DataFrame, excludes: list[str]) -> DataFrame:
-    """(path, mtime, size) of what touched paths are now; a folder brings its entries.  Events say only where to look."""
-    pattern = exclude_regex(excludes)
+    """(path, mtime, size) of what touched paths are now; a folder brings all its entries.  Events say only where to look."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        excluded = re.compile(pattern) if pattern else None
         for batch in batches:
-            rows = []
-            for path in batch.path:
-                found = entry(path.rstrip("/") or "/")
-                if found:
-                    rows.append(found)
-                    if found[0].endswith("/"):
-                        rows += [(p, m, s) for p, m, s, state in walk(path.rstrip("/"), excluded) if state == "found"]
+            rows = [found for path in batch.path if (found := entry(path.rstrip("/") or "/"))]
             yield pd.DataFrame(rows, columns=["path", "mtime", "size"]).astype({"mtime": "int64", "size": "int64"})
 
-    return touched.select("path").distinct().mapInPandas(run, "path string, mtime long, size long")
+    spark = touched.sparkSession
+    own = spark.read.schema("path string, mtime long, size long").parquet(stored(touched.select("path").distinct().mapInPandas(run, "path string, mtime long, size long"), "touched"))
+    folders = own.where("path like '%/'").select("path")
+    if folders.isEmpty():
+        return own
+    return own.unionByName(below(folders, excludes).where("state = 'found'").select("path", "mtime", "size")).dropDuplicates(["path"])
 
 
 class IndexStream:
@@ -103,9 +100,3 @@ class IndexStream:
         self.reconcile(list(roots))
         writer = events.writeStream.foreachBatch(self.fold).option("checkpointLocation", checkpoint)
         return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=DEBOUNCE)).start()
-
-
-def watched(spark: SparkSession, roots: list[str], excludes: list[str] = ()) -> DataFrame:
-    """A stream of changed paths below the roots, by polling."""
-    spark.dataSource.register(WalkSource)
-    return spark.readStream.format("filewalk").options(roots="\x1f".join(os.path.abspath(r) for r in roots), excludes="\x1f".join(excludes)).load()
