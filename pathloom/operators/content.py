@@ -3,16 +3,23 @@
 from __future__ import annotations
 
 import re
+import time
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ascii_lower, extension, is_dir
 from ..request import Filters, java_pattern
+from ..sources.scratch import stored
 from .predicates import scoped
 from .rank import index_order
 
 CONTENT_LIMIT, PER_FILE, MAX_BYTES, HEAD_BYTES = 1000, 20, 2 << 20, 64 << 10
+#: Shares of the files after which a search with a limit looks whether it has enough.
+SHARES = (1 / 64, 1 / 16, 1 / 4)
 EXTRACTED = ("pdf", "docx", "xlsx")
 
 
@@ -30,11 +37,11 @@ def whole_text_pattern(found: str) -> str | None:
     return None if re.search(r"\(\?|\\[Az]|[*+?}]\+", rest) else f"(?{flags[1] or ''}m){rest}"
 
 
-def grep(texts: DataFrame, pattern: str, filters: Filters = Filters(), *, per_file: int = PER_FILE, limit: int | None = None, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """(path, line_number, line) of matching lines, the first ``per_file`` of a file, in index order.
+def _hits(texts: DataFrame, pattern: str, filters: Filters, per_file: int, max_bytes: int) -> DataFrame:
+    """The other columns, line_number, line of matching lines, the first ``per_file`` of a file, in no order.
 
     Files are filtered before their texts are read, whole texts by the pattern (where it
-    allows that) before they are split, and the cap cuts the array in place: no shuffle until the order.
+    allows that) before they are split, and the cap cuts the array in place: no shuffle.
     """
     found = java_pattern(pattern)
     rows = searchable(scoped(texts, filters, always=False), max_bytes).where("text <> ''")  # no line in an empty text
@@ -45,10 +52,64 @@ def grep(texts: DataFrame, pattern: str, filters: Filters = Filters(), *, per_fi
     lines = F.transform(F.split(body, "\n"), lambda x, i: F.struct((i + 1).cast("long").alias("line_number"), F.regexp_replace(x, r"\r$", "").alias("line")))
     hits = F.slice(F.filter(lines, lambda x: x.line.rlike(found)), 1, per_file)
     out = rows.select(*[c for c in rows.columns if c != "text"], F.explode(hits).alias("hit"))
-    out = out.select(*[c for c in rows.columns if c != "text"], F.col("hit.line_number").alias("line_number"), F.regexp_replace("hit.line", r"\s+$", "").alias("line"))
-    order = [*index_order(out), F.col("line_number")]
-    out = out.orderBy(*order)
-    return (out.limit(limit) if limit is not None else out).select("path", "line_number", "line")
+    return out.select(*[c for c in rows.columns if c != "text"], F.col("hit.line_number").alias("line_number"), F.regexp_replace("hit.line", r"\s+$", "").alias("line"))
+
+
+def grep(texts: DataFrame, pattern: str, filters: Filters = Filters(), *, per_file: int = PER_FILE, limit: int | None = None, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """(path, line_number, line) of matching lines, the first ``per_file`` of a file, in index order; with ``limit`` the first ones, found piece by piece."""
+    if limit is not None:
+        pieces = list(first_hits(texts, pattern, filters, per_file=per_file, limit=limit, max_bytes=max_bytes))
+        return reduce(DataFrame.unionByName, (p.rows for p in pieces)).orderBy("place").select("path", "line_number", "line")
+    out = _hits(texts, pattern, filters, per_file, max_bytes)
+    return out.orderBy(*index_order(out), "line_number").select("path", "line_number", "line")
+
+
+@dataclass
+class Piece:
+    """Hits of one stretch of the index (path, line_number, line, place), and how far the search is."""
+
+    rows: DataFrame
+    hits: int
+    files_read: int
+    files: int
+    seconds: float
+
+
+def _stretches(rows: DataFrame, shares: tuple[float, ...]) -> tuple[list[Column], int]:
+    """Conditions that cut the index in stretches, first ones first, each a plain range of one column that scans can skip by; and the number of files."""
+    by, ahead = ("ord", "<=") if "ord" in rows.columns else ("mtime", ">=")
+    at = list(shares) if by == "ord" else [1 - s for s in shares]
+    facts = rows.agg(F.percentile_approx(by, at, 1000).alias("at"), F.count(F.lit(1)).alias("n")).first()
+    edges = sorted(set(facts.at or []), reverse=by == "mtime")
+    out, done = [], F.lit(True)
+    for edge in edges:
+        out.append(done & F.expr(f"{by} {ahead} {edge}"))
+        done = F.expr(f"{by} {'>' if ahead == '<=' else '<'} {edge}")
+    return [*out, done | F.col(by).isNull()], facts.n
+
+
+def first_hits(texts: DataFrame, pattern: str, filters: Filters = Filters(), *, per_file: int = PER_FILE, limit: int = CONTENT_LIMIT, max_bytes: int = MAX_BYTES, shares: tuple[float, ...] = SHARES) -> Iterator[Piece]:
+    """The first ``limit`` hits in index order, piece by piece.
+
+    The index is read in stretches, small ones first, and the search ends with the stretch that
+    fills the limit: a common word costs a small share of the texts, a rare one a few jobs
+    more.  Every piece is written once before it is handed out, so what a reader has seen
+    stays.  A caller that stops asking starts no further job.
+    """
+    spark, began = texts.sparkSession, time.monotonic()
+    stretches, files = _stretches(scoped(texts, filters, always=False).select(*(c for c in ("ord", "mtime") if c in texts.columns)), shares)
+    hits = read = 0
+    for stretch in stretches:
+        seen = Observation()
+        rows = _hits(texts.where(stretch).observe(seen, F.count(F.lit(1)).alias("files")), pattern, filters, per_file, max_bytes)
+        order = [*index_order(rows), F.col("line_number")]
+        best = rows.orderBy(*order).limit(limit - hits)
+        best = best.select("path", "line_number", "line", (F.row_number().over(Window.orderBy(*order)) + hits).cast("long").alias("place"))
+        piece = spark.read.schema(best.schema).parquet(stored(best, "hits"))
+        hits, read = hits + piece.count(), read + seen.get["files"]
+        yield Piece(piece, hits, read, files, time.monotonic() - began)
+        if hits >= limit:
+            return
 
 
 def line_numbers(texts: DataFrame) -> DataFrame:
