@@ -11,8 +11,10 @@ from pyspark.sql import SparkSession
 from . import config as settings
 from .operators.rank import big_files
 from .plans.search import Corpus, filter_lines, script_search
-from .sources.documents import read_texts
-from .sources.lines import from_lines, hits_as_lines
+from .sources.documents import TextCache, read_texts
+from .sources.lines import from_lines, hits_as_lines, utf8_lines
+from .sources.scratch import stored
+from .sources.semantic_store import SemanticStore
 from .sources.snapshot import SnapshotStore
 from .sources.walk import walk_stats, walked
 
@@ -41,15 +43,19 @@ def reindex(spark: SparkSession, store: SnapshotStore, conf: settings.EngineConf
     return f"indexed {store.load().count()} files in {time.monotonic() - began:.1f} s{unread}"
 
 
-def index_semantic(spark: SparkSession, store: SnapshotStore, chunks: SnapshotStore) -> str:
+def index_semantic(spark: SparkSession, store: SnapshotStore, chunks: SemanticStore, cache: TextCache | None = None) -> str:
+    """Migrates an older chunk store, or embeds what is new or changed; everything is counted in what was written."""
     from .operators.semantic import built, eligible
 
-    prior = chunks.load()
-    texts = read_texts(spark, store.load().where(eligible()))
-    rows, counts = built(texts, prior)
-    chunks.publish(rows, ordered=False)
+    if chunks.needs_migration():
+        facts = chunks.migrate()
+        return f"semantic index migrated: {facts['docs']} documents, {facts['chunks']} chunks"
+    texts = read_texts(spark, store.load().where(eligible()), cache).select("path", "mtime", "size", "text")
+    texts = spark.read.schema(texts.schema).parquet(stored(texts, "texts"))  # read twice below, extracted once
+    rows, counts = built(texts, chunks.load())
+    facts = chunks.publish(rows)
     by = {r.status: r["count"] for r in counts.collect()}
-    return f"{rows.select('path').distinct().count()} documents, {rows.count()} chunks: {by.get('embedded', 0)} embedded, {by.get('reused', 0)} unchanged, {by.get('skipped', 0)} unreadable"
+    return f"{facts['docs']} documents, {facts['chunks']} chunks: {by.get('embedded', 0)} embedded, {by.get('reused', 0)} unchanged, {by.get('skipped', 0)} unreadable"
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -59,19 +65,19 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         conf = settings.load_or_create(args.config)
         spark = spark or SparkSession.builder.appName("pathloom").getOrCreate()
         home = settings.expand(conf.index_dir)
-        store, chunks = SnapshotStore(spark, f"{home}/files"), SnapshotStore(spark, f"{home}/chunks")
+        store, chunks, cache = SnapshotStore(spark, f"{home}/files"), SemanticStore(spark, f"{home}/chunks"), TextCache(spark, f"{home}/texts")
         if args.reindex:
             print(reindex(spark, store, conf))
             return 0
         if args.filter is not None:
-            rows = filter_lines(spark, from_lines(spark, sys.stdin.readlines()), args.filter, int(time.time())).orderBy("rank").collect()
+            rows = filter_lines(spark, from_lines(spark, utf8_lines(getattr(sys.stdin, "buffer", sys.stdin))), args.filter, int(time.time())).orderBy("rank").collect()
             print("\n".join(r.path for r in rows))
             return int(not rows)
         if store.load() is None:
             reindex(spark, store, conf)
         files = store.load()
         if args.index_semantic:
-            print(index_semantic(spark, store, chunks))
+            print(index_semantic(spark, store, chunks, cache))
             return 0
         if args.big is not None:
             from .functions.columns import human_size
@@ -82,7 +88,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             return 0
         if args.query is not None:
             now = int(time.time())
-            texts = read_texts(spark, files.where("path not like '%/'")) if args.query.startswith(">") else None
+            texts = read_texts(spark, files.where("path not like '%/'"), cache) if args.query.startswith(">") else None
             rows, every = script_search(spark, Corpus(files, texts, chunks.load(), quiet=tuple(conf.quiet), max_bytes=conf.max_content_filesize), args.query, now)
             for r in hits_as_lines(rows).toLocalIterator():
                 print(r.value)

@@ -4,18 +4,24 @@ from __future__ import annotations
 
 import io
 import re
+import time
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import ascii_lower, extension
+from .scratch import stored
+from .snapshot import SnapshotStore
 
 MAX_FILE, MAX_ENTRIES, MAX_XML, MAX_TEXT, CACHE_ROWS = 20 << 20, 4096, 32 << 20, 8 << 20, 4096
+CACHED = "path string, mtime long, size long, text string, error string, cached_at double"
+#: Files whose bytes a task holds at once.
+FILES_AT_ONCE = 8
 PART = re.compile(r"word/(?:document|header\d*|footer\d*|footnotes|endnotes)\.xml")
 SHEET = re.compile(r"xl/worksheets/[^/]+\.xml")
 
@@ -183,22 +189,33 @@ def extracted(files: DataFrame) -> DataFrame:
     return files.mapInPandas(run, f"{fields}, text string, error string")
 
 
-def read_texts(spark, rows: DataFrame) -> DataFrame:
-    """Reads the files that rows (path, mtime, size) name, on executors that see them; folders and missing files are errors."""
+def read_texts(spark: SparkSession, rows: DataFrame, cache: TextCache | None = None) -> DataFrame:
+    """(path, mtime, size, text, error) of the files that rows (path, mtime, size) name, on executors that see them; missing ones have no row.
+
+    With a cache, documents that it knows are neither opened nor parsed, and what was parsed is
+    added to it; plain texts are always read.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            contents = []
-            for path, size in zip(batch.path, batch["size"]):
-                try:
-                    with open(path, "rb") as f:
-                        contents.append(f.read(MAX_FILE + 1))
-                except OSError:
-                    contents.append(None)
-            yield batch.assign(content=contents)[["path", "mtime", "size", "content"]]
-
-    held = rows.select("path", "mtime", "size").mapInPandas(run, "path string, mtime long, size long, content binary")
-    return extracted(held.where("content is not null"))
+            for a in range(0, len(batch), FILES_AT_ONCE):
+                part, contents = batch.iloc[a : a + FILES_AT_ONCE], []
+                for path in part.path:
+                    try:
+                        with open(path, "rb") as f:
+                            contents.append(f.read(MAX_FILE + 1))
+                    except OSError:
+                        contents.append(None)
+                yield part.assign(content=contents)[["path", "mtime", "size", "content"]]
+
+    def opened(files: DataFrame) -> DataFrame:
+        held = files.mapInPandas(run, "path string, mtime long, size long, content binary")
+        return extracted(held.where("content is not null"))
+
+    rows = rows.select("path", "mtime", "size")
+    if cache is None:
+        return opened(rows)
+    return cache.texts(rows.where(is_extracted()), opened).unionByName(opened(rows.where(~is_extracted())))
 
 
 def with_cache(files: DataFrame, cache: DataFrame | None, extract=extracted, *, cache_rows: int = CACHE_ROWS) -> tuple[DataFrame, DataFrame]:
@@ -211,5 +228,27 @@ def with_cache(files: DataFrame, cache: DataFrame | None, extract=extracted, *,
     return texts.drop("cached_at"), every.orderBy(F.desc("cached_at"), "path").limit(cache_rows)
 
 
+class TextCache:
+    """Extracted texts and errors by (path, mtime, size), in a versioned table that grows by what is new."""
+
+    def __init__(self, spark: SparkSession, root: str, *, most: int = CACHE_ROWS):
+        self.spark, self.store, self.most = spark, SnapshotStore(spark, root), most
+
+    def texts(self, files: DataFrame, extract: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """(path, mtime, size, text, error); only files that the cache doesn't know are extracted, once, and kept."""
+        key = ["path", "mtime", "size"]
+        known, manifest = self.store.load(), self.store.current()
+        todo = files if known is None else files.join(known.select(*key), key, "left_anti")
+        fresh = self.spark.read.schema(CACHED).parquet(stored(extract(todo).select(*key, "text", "error").withColumn("cached_at", F.lit(time.time())), "extracted"))
+        if not fresh.isEmpty():
+            every = fresh if known is None else fresh.unionByName(known.select(*fresh.columns))
+            # one row a key, the newest ones; if another writer was first, its version stands and these are extracted again some day
+            every = every.dropDuplicates(key)
+            over = every.count() > self.most
+            self.store.publish(every.orderBy(F.desc("cached_at"), "path").limit(self.most) if over else every, expected=manifest["version"] if manifest else 0, ordered=False)
+        hits = fresh.limit(0) if known is None else known.select(*fresh.columns).join(files.select(*key), key, "left_semi")
+        return fresh.unionByName(hits).drop("cached_at")
+
+
 def is_extracted(path: str = "path"):
     return ascii_lower(extension(F.col(path))).isin(*EXTRACTORS)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import time
 import uuid
+from collections.abc import Callable
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +14,9 @@ from pyspark.sql import types as T
 from ..operators.rank import with_ordinals
 from ..schema import FORMAT_VERSION
 
+#: Seconds after which a claim without a version is another writer's to take.
+CLAIM_SECONDS = 60
+
 
 class SnapshotStore:
     def __init__(self, spark: SparkSession, root: str):
@@ -54,16 +59,60 @@ class SnapshotStore:
             raise
         return found if isinstance(found, dict) and found.get("format") == FORMAT_VERSION else None
 
-    def publish(self, rows: DataFrame, *, expected: int | None = None, ordered: bool = True, **facts) -> int | None:
-        """Writes the next version and points to it; with ``expected``, only if that version is still in force."""
+    def publish(self, rows: DataFrame, *, expected: int | None = None, ordered: bool = True, check: Callable[[DataFrame], dict | None] | None = None, **facts) -> int | None:
+        """Writes the next version and points to it; with ``expected``, only if that version is still in force.
+
+        Two writers never mix: each writes a folder of its own, and only one can claim the
+        version number, by making a file that must not be there.  ``check`` sees the rows as
+        written; it may add facts to the manifest, or raise, and then nothing is published.
+        """
         now = self.current()
-        version = now["version"] if now else 0
-        if expected is not None and version != expected:
+        version = (now["version"] if now else 0) + 1
+        if expected is not None and version != expected + 1:
             return None
         rows = rows if "ord" in rows.columns or not ordered else with_ordinals(rows)
-        rows.write.mode("overwrite").parquet(f"{self.root}/v{version + 1}")
-        self._write_text("CURRENT", json.dumps({"format": FORMAT_VERSION, "version": version + 1, "schema": json.loads(rows.schema.json()), **facts}))
-        return version + 1
+        folder = f"v{version}-{uuid.uuid4().hex[:12]}"
+        rows.write.parquet(f"{self.root}/{folder}")
+        try:
+            facts |= (check(self.spark.read.schema(rows.schema).parquet(f"{self.root}/{folder}")) or {}) if check else {}
+            won = self._claim(version)
+        except Exception:
+            self._fs.delete(self._path(f"{self.root}/{folder}"), True)
+            raise
+        if not won:
+            self._fs.delete(self._path(f"{self.root}/{folder}"), True)
+            if expected is None:
+                raise RuntimeError("another writer published meanwhile")
+            return None
+        self._write_text("CURRENT", json.dumps({"format": FORMAT_VERSION, "version": version, "folder": folder, "schema": json.loads(rows.schema.json()), **facts}))
+        self._fs.delete(self._path(f"{self.root}/claims/{version - 1}"), False)
+        return version
+
+    def _claim(self, version: int) -> bool:
+        """Whether the version is this writer's.  A claim whose writer died before it published is void after a while."""
+        claim = self._path(f"{self.root}/claims/{version}")
+        for _ in range(2):
+            try:
+                self._fs.create(claim, False).close()
+            except Py4JJavaError as e:
+                if "AlreadyExists" not in str(e.java_exception):
+                    raise
+            else:
+                now = self.current()  # one may have published and cleared its claim since this writer looked
+                return (now["version"] if now else 0) < version
+            try:
+                age = time.time() - self._fs.getFileStatus(claim).getModificationTime() / 1000
+            except Py4JJavaError:
+                return False  # published just now
+            if age < CLAIM_SECONDS or not self._fs.delete(claim, False):
+                return False
+        return False
+
+    def _folder(self, manifest: dict, version: int | None) -> str:
+        if version is None or version == manifest["version"]:
+            return manifest.get("folder") or f"v{manifest['version']}"
+        names = (s.getPath().getName() for s in self._fs.listStatus(self._path(self.root)))
+        return next((n for n in names if n == f"v{version}" or n.startswith(f"v{version}-")), f"v{version}")
 
     def load(self, version: int | None = None) -> DataFrame | None:
         """The rows of a version with their stored schema, or None where there is nothing sound to read."""
@@ -71,7 +120,7 @@ class SnapshotStore:
         if manifest is None:
             return None
         try:
-            rows = self.spark.read.schema(T.StructType.fromJson(manifest["schema"])).parquet(f"{self.root}/v{version or manifest['version']}")
+            rows = self.spark.read.schema(T.StructType.fromJson(manifest["schema"])).parquet(f"{self.root}/{self._folder(manifest, version)}")
             rows.take(1)
             return rows
         except Exception as e:  # noqa: BLE001  a damaged version is rebuilt, whatever Spark says of it
