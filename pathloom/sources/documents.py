@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import ascii_lower, extension
+from . import pdf
 from .scratch import stored
 from .snapshot import SnapshotStore
 
@@ -117,52 +118,18 @@ def xlsx_text(data: bytes) -> str:
     return _bounded("\n".join(rows))
 
 
-STREAM = re.compile(rb"<<((?:[^<>]|<<[^<>]*>>|<[^<>]*>)*)>>\s*stream\r?\n(.*?)\r?\n?endstream", re.DOTALL)
-SHOWN = re.compile(rb"\((?:\\.|[^\\()]|\((?:\\.|[^\\()])*\))*\)|<[0-9A-Fa-f\s]*>|\[|\]|-?\d*\.?\d+|T[jJdDm*]|['\"]|ET|BT", re.DOTALL)
-ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
-
-
-def _pdf_string(token: bytes) -> str:
-    if token[:1] == b"<":
-        digits = bytes(c for c in token[1:-1] if not chr(c).isspace())
-        raw = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
-    else:
-        raw = re.sub(rb"\\(\r?\n|[0-7]{1,3}|.)", lambda m: b"" if m[1] in (b"\n", b"\r\n") else bytes([int(m[1], 8) & 255]) if m[1].isdigit() else ESCAPES.get(m[1], m[1]), token[1:-1], flags=re.DOTALL)
-    return raw[2:].decode("utf-16-be", "replace") if raw[:2] == b"\xfe\xff" else raw.decode("cp1252", "replace")
-
-
 def pdf_text(data: bytes) -> str:
-    """Text of plain or Flate content streams in their order; other encodings are an error."""
+    """The pages' texts in their order; encryption and filters that aren't known are errors."""
     if len(data) > MAX_FILE:
         raise ExtractError("file too large")
     if b"%PDF-" not in data[:1024]:
         raise ExtractError("not a PDF")
     if b"/Encrypt" in data:
         raise ExtractError("encrypted")
-    out: list[str] = []
-    for m in STREAM.finditer(data):
-        head, body = m[1], m[2]
-        if b"/Image" in head or b"/FontFile" in head or b"/Type/XRef" in head.replace(b" ", b""):
-            continue
-        if b"/FlateDecode" in head:
-            try:
-                body = zlib.decompressobj().decompress(body, MAX_TEXT)
-            except zlib.error as e:
-                raise ExtractError(f"bad stream: {e}") from e
-        elif b"/Filter" in head:
-            continue
-        if b"BT" not in body:
-            continue
-        strings: list[str] = []
-        for t in SHOWN.findall(body):
-            if t[:1] in b"(<":
-                strings.append(_pdf_string(t))
-            elif t in (b"Tj", b"TJ", b"'", b'"'):
-                out.append(("\n" if t in (b"'", b'"') else "") + "".join(strings))
-                strings = []
-            elif t in (b"Td", b"TD", b"T*", b"Tm", b"ET") and out and not out[-1].endswith("\n"):
-                out.append("\n")
-    return _bounded("".join(out).strip("\n"))
+    try:
+        return _bounded(pdf.text_of(data))
+    except pdf.PdfError as e:
+        raise ExtractError(str(e)) from e
 
 
 EXTRACTORS = {"docx": docx_text, "xlsx": xlsx_text, "pdf": pdf_text}
