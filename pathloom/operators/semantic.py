@@ -9,6 +9,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,14 +97,19 @@ def hash_vector(text: Column, dim: int = HASH_DIM) -> Column:
 
 
 def quantised(rows: DataFrame, column: str = "vec") -> DataFrame:
-    """Vectors rounded to half precision, as they are stored."""
+    """Vectors rounded to half precision, as they are stored; a batch's numbers at once."""
 
-    def halved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def halved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.assign(**{column: batch[column].map(lambda v: None if v is None else np.asarray(v, dtype=np.float16).astype(np.float32))})
+            vectors = batch.column(column)
+            with np.errstate(over="ignore"):
+                values = pa.array(vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float16).astype(np.float32))
+            ends = np.concatenate(([0], np.cumsum(vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))).astype(np.int32)
+            rounded = pa.ListArray.from_arrays(pa.array(ends), values, mask=vectors.is_null())
+            yield batch.set_column(batch.schema.get_field_index(column), column, rounded)
 
     fields = ", ".join(f"`{f.name}` {'array<float>' if f.name == column else f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInPandas(halved, fields)
+    return rows.mapInArrow(halved, fields)
 
 
 def embedded(chunks: DataFrame, embedder: Embedder | None = None) -> DataFrame:
@@ -136,7 +142,7 @@ def built(texts: DataFrame, prior: DataFrame | None = None, *, embedder: Embedde
     todo = files.join(old, key, "left_anti")
     fresh = embedded(chunked(todo), embedder).drop("text")
     rows = fresh if prior is None else fresh.unionByName(prior.join(old, key, "left_semi").select(*fresh.columns))
-    status = files.join(old.withColumn("known", F.lit(True)), key, "left").select(F.when(F.col("known"), "reused").when(F.length(F.trim(F.coalesce("text", F.lit("")))) == 0, "skipped").otherwise("embedded").alias("status"))
+    status = files.join(old.withColumn("known", F.lit(True)), key, "left").select(F.when(F.col("known"), "reused").when(~F.coalesce(F.col("text").rlike(r"[^\s\x1c-\x1f\x85\p{Z}]"), F.lit(False)), "skipped").otherwise("embedded").alias("status"))
     return rows, status.groupBy("status").count()
 
 

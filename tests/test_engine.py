@@ -26,7 +26,7 @@ def ids(rows):
 
 @pytest.mark.parametrize(
     ("text", "exts", "rest"),
-    [("dir:x y", (), "dir:x y"), ("ext:PDF ext:.md notes", ("pdf", "md"), "notes"), ("changed:soon larger:big kind:widget x", (), "changed:soon larger:big kind:widget x"), ("a  b", (), "a  b"), ("ext: a  b", (), "ext: a  b"), ("ext:md a  b", ("md",), "a b")],
+    [("dir:lake swim", (), "dir:lake swim"), ("tide ext:GPX ext:.kml chart", ("gpx", "kml"), "tide chart"), ("smaller:tiny kind:poem larger:9xb changed:ago salt", (), "smaller:tiny kind:poem larger:9xb changed:ago salt"), ("low   tide", (), "low   tide"), ("ext: low   tide", (), "ext: low   tide"), ("ext:gpx low   tide", ("gpx",), "low tide")],
 )
 def test_filter_tokens(text, exts, rest):
     filters, left = parse_filters(text, NOW)
@@ -34,15 +34,15 @@ def test_filter_tokens(text, exts, rest):
 
 
 def test_filter_values():
-    f, rest = parse_filters("kind:image changed:7d larger:1mb smaller:2gb vacation", NOW)
-    assert (f.changed_after, f.min_size, f.max_size, rest) == (395_200, 10**6, 2 * 10**9, "vacation") and "heic" in f.exts
+    f, rest = parse_filters("harbour kind:video larger:30kb changed:2w smaller:4mb wall", NOW + 400_000)
+    assert (f.changed_after, f.min_size, f.max_size, rest) == (NOW + 400_000 - 1_209_600, 30_000, 4_000_000, "harbour wall") and "mkv" in f.exts and "png" not in f.exts
     assert parse_size("1.5kb") == 1500 and parse_size("nan") is None and parse_size("-1") is None and parse_size("inf") == (1 << 63) - 1
-    assert parse_filters("changed:-1d x", NOW)[0].changed_after == NOW + 86_400 and parse_filters("path:Documents tax", NOW)[0].path_terms == ("documents",)
+    assert parse_filters("changed:-1d x", NOW)[0].changed_after == NOW + 86_400 and parse_filters("path:Tide path:PIER gauge", NOW)[0].path_terms == ("tide", "pier")
 
 
 @pytest.mark.parametrize(
     ("text", "options", "mode", "pattern"),
-    [("> hello world", {}, "content", "hello world"), (">x", {"regex": True}, "content", "x"), (">", {}, "content", ""), ("= 2*(3+4)", {}, "calc", "2*(3+4)"), ("=", {}, "calc", ""), ("? essays about patience", {}, "semantic", "essays about patience"), ("=1+1", {"script": True}, "fuzzy", "=1+1"), ("> x", {"lines": True}, "fuzzy", "> x"), ("? y", {"lines": True, "regex": True}, "regex", "? y"), ("x", {"regex": True, "script": True}, "fuzzy", "x")],
+    [(">  low tide ", {}, "content", "low tide "), (">pier", {"regex": True}, "content", "pier"), (">", {"regex": True}, "content", ""), ("=7%4", {}, "calc", "7%4"), ("= ", {}, "calc", ""), ("?where the tide turns", {}, "semantic", "where the tide turns"), ("=7%4", {"script": True}, "fuzzy", "=7%4"), ("> pier", {"lines": True}, "fuzzy", "> pier"), ("?pier", {"lines": True, "regex": True}, "regex", "?pier"), ("pier", {"regex": True, "script": True}, "fuzzy", "pier")],
 )
 def test_modes(text, options, mode, pattern):
     request = parse(text, NOW, **options)
@@ -75,18 +75,22 @@ def test_ranking_cases(spark):
 
 
 def test_strong_part_and_quiet_places(spark):
-    rows = rank.filename_search(index(spark, ["/u/docs/cisco-notes.md", "/u/.cisco/vpn/profile", "/u/Library/x/Cisco/cfg"]), parse("cisco", NOW)).orderBy("rank").collect()
-    assert [r.ord for r in rows][0] == 0 and [r.is_strong for r in rows] == [True, False, False]
-    rows = rank.filename_search(index(spark, ["/u/docs/cisco-notes.md", "/u/.cisco/vpn/profile"]), parse("cisco/", NOW)).collect()
-    assert [(r.ord, r.is_strong) for r in rows] == [(1, True)]
-    rows = rank.filename_search(index(spark, ["/.config/nvim/a", "/.config/nvim/b"]), parse("nvim", NOW)).collect()
-    assert [r.is_strong for r in rows] == [True, True]
-    head = rank.filename_search(index(spark, ["/.a/1", "/Library/2", "/d/3", "/d/4"]), parse("", NOW)).orderBy("rank").collect()
-    assert [r.ord for r in head] == [2, 3, 0, 1] and [r.is_strong for r in head] == [True, True, False, False]
-    paths = ["/home/passport.pdf", "/home/passport-scan.png"] + [f"/home/p{k}a/s{k}s/p{k}o-r{k}t/x.txt" for k in range(30)]
-    rows = rank.filename_search(index(spark, paths), parse("passport", NOW)).orderBy("rank").collect()
-    assert {r.ord for r in rows[:2]} == {0, 1} and sum(r.is_strong for r in rows) == 8 and len(rows) == 32
-    strong, every = script_search(spark, Corpus(index(spark, ["/.a/x"])), "", NOW)
+    """Rows of quiet places score two fifths and stand behind the fold, unless the query names a path or there are no others."""
+
+    def graded(paths, query, **options):
+        return [(r.ord, r.is_strong) for r in rank.filename_search(index(spark, paths), parse(query, NOW), **options).orderBy("rank").collect()]
+
+    tides = ["/sea/.old/tide-table.csv", "/sea/charts/tide-table.csv", "/sea/Library/tide-table.csv", "/sea/charts/tide-table-2.csv"]
+    found = graded(tides, "tidetable")
+    assert [k for k, strong in found if strong] == [1, 3] and {k for k, strong in found if not strong} == {0, 2}
+    assert dict(graded(tides, "sea/tide")) == dict.fromkeys(range(4), True)
+    assert all(strong for _, strong in graded(tides[::2], "tidetable"))
+    assert dict(graded(tides, "tidetable", quiet_patterns=("charts",))) == {0: True, 1: False, 2: True, 3: False}
+    assert graded(tides, "") == [(1, True), (3, True), (0, False), (2, False)]
+    scattered = [f"/t{k}/i{k}/d{k}/e{k}/t{k}a{k}b/l{k}e.csv" for k in range(40)]
+    found = graded([*scattered, "/tidetable", "/a/tidetable.csv", "/a/b/my-tidetable"], "tidetable")
+    assert {k for k, _ in found[:3]} == {40, 41, 42} and sum(strong for _, strong in found) == rank.MIN_KEEP and len(found) == 43
+    strong, every = script_search(spark, Corpus(index(spark, tides[:1])), "", NOW)
     assert strong.count() == 0 and every.count() == 1
 
 
@@ -140,7 +144,7 @@ def test_scorer_equals_brute_force():
         bonus = fuzzy.bonuses(texts)
         want = [brute_score(t.lower(), pattern, bonus[k].tolist()) for k, t in enumerate(texts)]
         assert fuzzy.scores(texts, pattern).tolist() == [-1 if w == -math.inf else w for w in want]
-    assert fuzzy.positions("/docs/rest-api.md", "rest") == [6, 7, 8, 9] and fuzzy.positions("abc", "x") == []
+    assert fuzzy.positions("/pier/low-tide.gpx", "tide") == [10, 11, 12, 13] and fuzzy.positions("pier", "tide") == []
 
 
 def test_patterns():
@@ -185,23 +189,27 @@ def test_whole_texts_are_filtered_before_lines(spark):
 
     assert lines("ab$") == {("/2.txt", 1), ("/3.txt", 1), ("/4.txt", 2)} and lines("^$") == {("/1.txt", 1), ("/3.txt", 2), ("/3.txt", 3)}
     assert lines("^c") == {("/2.txt", 2)} and lines("b[^x]c") == set()
-    assert "(?ium)" in content.grep(rows, "needle")._jdf.queryExecution().optimizedPlan().toString()
+    assert "(?ium)" in content.grep(rows, "swell")._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_content(spark):
-    texts = [("/a.txt", 0, 30, "one\ntwo needle two\nthree\nneedle  \r\n"), ("/case.txt", 0, 9, "Needle\nneedle\n"), ("/bin.dat", 0, 9, "needle\0"), ("/big.txt", 0, 9999, "needle"), ("/doc.pdf", 0, 9999, "annual Needle report"), ("/many.txt", 0, 9, "needle\n" * 100), ("/d/", 0, 0, "needle"), ("/none.txt", 0, 0, None)]
-    rows = spark.createDataFrame(texts, "path string, mtime long, size long, text string")
-    found = content.grep(rows, "needle", max_bytes=1024).collect()
-    assert [(r.line_number, r.line) for r in found if r.path == "/a.txt"] == [(2, "two needle two"), (4, "needle")]
-    assert {r.path for r in found} == {"/a.txt", "/case.txt", "/doc.pdf", "/many.txt"} and sum(r.path == "/many.txt" for r in found) == 20
-    assert [r.line_number for r in content.grep(rows, "Needle").collect() if r.path == "/case.txt"] == [1]
-    assert content.grep(rows, "needle", limit=3).count() == 3
-    assert content.line_numbers(rows.where("path = '/case.txt'")).count() == 2
+    """Numbered lines in index order, at most twenty a file; folders, null texts, large and binary files are left out, extracted documents aren't."""
+    kind = "path string, mtime long, size long, text string"
+    texts = [
+        ("/log/monday", 3, 50, "calm\n\nSwell from the west\t \ncalm again\r\nswell\r\n"), ("/log/tuesday", 2, 50, "swell, swell and SWELL"), ("/log/raw", 9, 50, "\0swell"), ("/log/huge", 9, 2000, "swell"),
+        ("/log/chart.PDF", 1, 2000, "of the swell"), ("/log/week", 5, 50, "".join(f"swell {k}\n" for k in range(55))), ("/log/swell/", 9, 0, "swell"), ("/log/unread", 9, 50, None),
+    ]
+    rows = spark.createDataFrame(texts, kind)
+    found = [tuple(r) for r in content.grep(rows, "swell", max_bytes=1999).collect()]
+    assert found == [*(("/log/week", k + 1, f"swell {k}") for k in range(20)), ("/log/monday", 3, "Swell from the west"), ("/log/monday", 5, "swell"), ("/log/tuesday", 1, "swell, swell and SWELL"), ("/log/chart.PDF", 1, "of the swell")]
+    assert [tuple(r)[:2] for r in content.grep(rows, "SWELL", max_bytes=1999).collect()] == [("/log/tuesday", 1)]
+    assert [r.line for r in content.grep(rows, "swell", limit=2, max_bytes=1999).collect()] == ["swell 0", "swell 1"]
+    assert content.line_numbers(rows.where("path = '/log/monday'")).count() == 5
 
 
 def test_size_bound_of_line_search_comes_with_the_corpus(spark):
-    texts = spark.createDataFrame([("/big.txt", 0, 50, "needle"), ("/small.txt", 0, 6, "needle")], "path string, mtime long, size long, text string")
-    hits = lambda most: {r.path for r in script_search(spark, Corpus(texts, texts, max_bytes=most), "> needle", NOW)[0].collect()}
+    texts = spark.createDataFrame([("/big.txt", 0, 50, "swell"), ("/small.txt", 0, 6, "swell")], "path string, mtime long, size long, text string")
+    hits = lambda most: {r.path for r in script_search(spark, Corpus(texts, texts, max_bytes=most), "> swell", NOW)[0].collect()}
     assert hits(10) == {"/small.txt"} and hits(50) == {"/big.txt", "/small.txt"}
 
 
@@ -247,22 +255,24 @@ def test_lines_of_a_text_that_ends_in_blank_ones(spark):
 
 
 def test_semantic_build_and_search(spark):
-    rows = [("/m/money.md", 1, 40, "money budget and savings\nmore money"), ("/m/garden.md", 1, 30, "plants soil and water"), ("/m/empty.md", 1, 1, " "), ("/m/code.rs", 1, 9, "fn main")]
-    texts = spark.createDataFrame(rows, "path string, mtime long, size long, text string")
+    notes = {"/n/boats.txt": "oars and sails\nmend the sails before the oars", "/n/bread.org": "flour yeast salt", "/n/blank.txt": "\n \t", "/n/oars.py": "oars = 2", "/n/soup.html": "salt leek and barley"}
+    texts = spark.createDataFrame([(p, 4, len(t), t) for p, t in notes.items()], "path string, mtime long, size long, text string")
     chunks, counts = semantic.built(texts)
-    assert {r.status: r["count"] for r in counts.collect()} == {"embedded": 2, "skipped": 1}
+    assert {r.status: r["count"] for r in counts.collect()} == {"embedded": 3, "skipped": 1}
     chunks = chunks.cache()
-    top = plan(spark, Corpus(texts, texts, chunks), parse("? budget money", NOW)).orderBy("rank").first()
-    assert (top.path, top.line_start) == ("/m/money.md", 1)
-    _, again = semantic.built(texts.where("path <> '/m/empty.md'"), chunks)
-    assert {r.status: r["count"] for r in again.collect()} == {"reused": 2}
-    assert semantic.best_chunks(chunks, [1.0, 2.0]).count() == 0
+    best = lambda query: [r.path for r in plan(spark, Corpus(texts, texts, chunks), parse(query, NOW)).orderBy("rank").collect()]
+    assert best("?sails oars")[0] == "/n/boats.txt" and best("? yeast")[0] == "/n/bread.org" and set(best("? leek")) == {"/n/boats.txt", "/n/bread.org", "/n/soup.html"}
+    changed = texts.where("path <> '/n/blank.txt'").withColumn("mtime", F.when(F.col("path") == "/n/soup.html", 5).otherwise(F.col("mtime")))
+    _, again = semantic.built(changed, chunks)
+    assert {r.status: r["count"] for r in again.collect()} == {"embedded": 1, "reused": 2}
+    assert semantic.best_chunks(chunks, [0.5] * 63).count() == 0
 
 
 def test_lines_and_calc_modes(spark):
-    lines = index(spark, ["git commit", "cargo build", "ls", "cargo test"])
-    assert ids(filter_lines(spark, lines, "cargo", NOW)) == [1, 3]
-    assert plan(spark, Corpus(lines), parse("=2*3", NOW)).first().result == "6" and plan(spark, Corpus(lines), parse("=x", NOW)).count() == 0
+    lines = index(spark, ["oar, left", "sail", "oar, right", "> oar"])
+    assert ids(filter_lines(spark, lines, "oar,", NOW)) == [0, 2] and ids(filter_lines(spark, lines, "> oar", NOW)) == [3] and ids(filter_lines(spark, lines, "", NOW)) == [0, 1, 2, 3]
+    shown_for = lambda text: [tuple(r) for r in plan(spark, Corpus(lines), parse(text, NOW)).collect()]
+    assert shown_for("= 9-4*2") == [("9-4*2", "1")] and shown_for("=oar") == []
 
 
 def test_excludes():
@@ -294,5 +304,5 @@ def test_registered_functions(spark):
     from pathloom.functions.register import register
 
     register(spark)
-    row = spark.sql("SELECT calc_eval('2^3^2') AS a, fuzzy_score('/docs/rest-api.md', 'rest') > 0 AS b, match_positions('/docs/rest-api.md', 'rest') AS c, size(chunk_text('x')) AS d, extract_text('a.txt', cast('hi' AS binary)) AS e, extract_text('a.pdf', cast('hi' AS binary)) AS f").first()
-    assert tuple(row) == ("512", True, [6, 7, 8, 9], 1, "hi", None)
+    row = spark.sql("SELECT calc_eval('2^3^2') AS a, fuzzy_score('/pier/low-tide.gpx', 'tide') > 0 AS b, match_positions('/pier/low-tide.gpx', 'tide') AS c, size(chunk_text('x')) AS d, extract_text('a.txt', cast('hi' AS binary)) AS e, extract_text('a.pdf', cast('hi' AS binary)) AS f").first()
+    assert tuple(row) == ("512", True, [10, 11, 12, 13], 1, "hi", None)

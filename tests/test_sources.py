@@ -57,7 +57,7 @@ def test_office_documents():
 
 @pytest.mark.parametrize("packed", [False, True])
 def test_pdf(packed):
-    stream = b"BT /F1 12 Tf 72 720 Td (river \\(Upper\\) le) Tj [(ve) -20 (ls)] TJ 0 -14 Td <41e9> Tj ET"
+    stream = b"q BT 1 0 0 1 40 60 Tm /Serif 8 Tf (river \\(Upper\\) le) Tj [(ve) -20 (ls)] TJ 0 -9 TD <41e9> Tj ET Q"
     body, extra = (zlib.compress(stream), b"/Filter /FlateDecode ") if packed else (stream, b"")
     data = b"%PDF-1.4\n1 0 obj\n<< " + extra + b"/Length %d >>\nstream\n" % len(body) + body + b"\nendstream\nendobj\n%%EOF"
     assert pdf_text(data) == "river (Upper) levels\nAé"
