@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-#: Touched paths up to which they go into the plan as a set; beyond it the folders of all rows are joined with them.
-FEW = 1000
+#: Touched paths, and bytes of them, up to which they are broadcast; beyond it the folders of all rows are joined with them.
+FEW, FEW_BYTES = 100_000, 16 << 20
 
 
 def ancestors(path: str = "path"):
@@ -18,13 +18,22 @@ def ancestors(path: str = "path"):
 
 
 def without(current: DataFrame, touched: DataFrame) -> DataFrame:
-    """``current`` less the touched paths and all that lies below them; of a burst of a few nothing is shuffled."""
+    """``current`` less the touched paths and all that lies below them.
+
+    A small burst is broadcast, once for each depth of its paths: rows meet it by their first
+    so many names, so nothing is shuffled.
+    """
     bare = touched.select(F.regexp_replace("path", "/+$", "").alias("gone")).where("gone is not null").distinct()
-    few = [r.gone for r in bare.limit(FEW + 1).collect()]
-    if len(few) <= FEW:
-        names = F.array_append(ancestors(), F.regexp_replace("path", "/+$", ""))
-        return current.where(~F.coalesce(F.exists(names, lambda x: x.isin(*few)), F.lit(False))) if few else current
-    rest = current.withColumn("bare", F.regexp_replace("path", "/+$", "")).join(bare, F.col("bare") == F.col("gone"), "left_anti").drop("bare")
+    bare = bare.withColumn("depth", F.size(F.split("gone", "/")))
+    facts = bare.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("gone")), F.lit(0)).alias("size"), F.collect_set("depth").alias("depths")).first()
+    rows = current.withColumn("bare", F.regexp_replace("path", "/+$", ""))
+    if facts.n <= FEW and facts.size <= FEW_BYTES:
+        for depth in sorted(facts.depths):
+            own = bare.where(F.col("depth") == depth).select("gone")
+            rows = rows.join(F.broadcast(own), F.substring_index("bare", "/", depth) == F.col("gone"), "left_anti")
+        return rows.drop("bare")
+    bare = bare.select("gone")
+    rest = rows.join(bare, F.col("bare") == F.col("gone"), "left_anti").drop("bare")
     names = rest.select("path", F.explode(ancestors()).alias("folder"))
     below = names.join(bare, F.col("folder") == F.col("gone"), "left_semi").select("path").distinct()
     return rest.join(below, "path", "left_anti")

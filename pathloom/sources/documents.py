@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import io
 import re
 import time
@@ -21,6 +22,8 @@ from .snapshot import SnapshotStore
 
 MAX_FILE, MAX_ENTRIES, MAX_XML, MAX_TEXT, CACHE_ROWS = 20 << 20, 4096, 32 << 20, 8 << 20, 4096
 CACHED = "path string, mtime long, size long, text string, error string, cached_at double"
+#: Bytes of a file that a preview reads.
+HEAD_BYTES = 64 << 10
 #: Files whose bytes a task holds at once.
 FILES_AT_ONCE = 8
 PART = re.compile(r"word/(?:document|header\d*|footer\d*|footnotes|endnotes)\.xml")
@@ -217,5 +220,32 @@ class TextCache:
         return fresh.unionByName(hits).drop("cached_at")
 
 
+def read_heads(spark: SparkSession, rows: DataFrame, *, most: int = HEAD_BYTES) -> DataFrame:
+    """(path, head, binary, whole) of the files that rows (path) name: at most ``most`` bytes of each are read, whatever its size.
+
+    A head with a NUL is binary and shows nothing; a character that the cut splits is left out,
+    other bytes that aren't UTF-8 are replaced; ``whole`` tells whether the head is all there is.
+    Folders and missing files have no row.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for path in batch.path:
+                try:
+                    with open(path, "rb", buffering=0) as f:
+                        data = b""
+                        while len(data) <= most and (more := f.read(most + 1 - len(data))):
+                            data += more
+                except OSError:
+                    continue
+                head, binary = data[:most], b"\0" in data[:most]
+                text = None if binary else codecs.getincrementaldecoder("utf-8")("replace").decode(head, final=len(data) <= most)
+                out.append((path, text, binary, len(data) <= most))
+            yield pd.DataFrame(out, columns=["path", "head", "binary", "whole"]).astype({"binary": "bool", "whole": "bool"})
+
+    return rows.select("path").mapInPandas(run, "path string, head string, binary boolean, whole boolean")
+
+
 def is_extracted(path: str = "path"):
     return ascii_lower(extension(F.col(path))).isin(*EXTRACTORS)

@@ -20,11 +20,18 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def stored(rows: DataFrame, name: str) -> str:
-    """Writes ``rows`` once and returns where; the folder goes when the driver ends."""
-    spark = rows.sparkSession
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder's path; what comes to be there goes when the driver ends."""
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(folder)
+    system.deleteOnExit(folder)
+    return path
+
+
+def stored(rows: DataFrame, name: str) -> str:
+    """Writes ``rows`` once and returns where."""
+    path = scratch_path(rows.sparkSession, name)
+    rows.write.mode("overwrite").parquet(path)
     return path

@@ -8,8 +8,10 @@ from __future__ import annotations
 import os
 import re
 import stat
+import time
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -71,16 +73,26 @@ def apps(folders: list[str], depth: int = 2) -> Iterator[tuple[str, int, int, st
                     todo.append((e.path, level + 1))
 
 
-def below(folders: DataFrame, excludes: list[str] | tuple[str, ...] = (), *, share: int = SHARE, most: int = MOST) -> DataFrame:
+@dataclass
+class Progress:
+    """How far a walk is: rounds done, entries listed, folders known but not opened yet, seconds since it began."""
+
+    rounds: int
+    entries: int
+    folders_left: int
+    seconds: float
+
+
+def below(folders: DataFrame, excludes: list[str] | tuple[str, ...] = (), *, share: int = SHARE, most: int = MOST, told: Callable[[Progress], None] | None = None) -> DataFrame:
     """(path, mtime, size, state) of all that lies below ``folders`` (path), the folders themselves left out.
 
     A round's tasks go down breadth first and stop after their share of entries; folders they
     have not opened are dealt anew over all tasks in the next round, so one deep or wide
     folder is soon everyone's work.  Each round is a table in the shared folder.  A single
     folder's own entries are one task's, taken in batches.  Names that aren't UTF-8 are shown
-    with replacement characters.
+    with replacement characters.  ``told`` hears of every round.
     """
-    spark = folders.sparkSession
+    spark, began = folders.sparkSession, time.monotonic()
     pattern = exclude_regex(list(excludes))  # a bad glob fails here
     tasks = max(2, spark.sparkContext.defaultParallelism)
 
@@ -107,20 +119,24 @@ def below(folders: DataFrame, excludes: list[str] | tuple[str, ...] = (), *, sha
 
         return run
 
-    rounds, allowed, frontier = [], share, folders.select(F.regexp_replace("path", "(?<=.)/+$", "").cast("binary").alias("raw"))
+    rounds, listed, allowed, frontier = [], 0, share, folders.select(F.regexp_replace("path", "(?<=.)/+$", "").cast("binary").alias("raw"))
     while True:
         rounds.append(stored(frontier.mapInPandas(listing(allowed), ROUND), "walk"))
-        rest = spark.read.schema(ROUND).parquet(rounds[-1]).where("state = 'todo'").select("raw")
-        count = rest.count()
+        rows = spark.read.schema(ROUND).parquet(rounds[-1])
+        rest = rows.where("state = 'todo'").select("raw")
+        facts = rows.agg(F.count_if(F.col("state") == "todo").alias("left"), F.count_if(F.col("state") == "found").alias("found")).first()
+        count, listed = facts.left, listed + facts.found
+        if told:
+            told(Progress(len(rounds), listed, count, time.monotonic() - began))
         if not count:
             return spark.read.schema(SCHEMA).parquet(*rounds).where("state <> 'todo'")
         frontier, allowed = rest.repartition(min(4 * tasks, -(-count // TASK_FOLDERS))), min(most, allowed * GROWTH)
 
 
-def walked(spark: SparkSession, roots: list[str], excludes: list[str] | tuple[str, ...] = (), *, app_folders: list[str] = (), dedupe: bool = False, share: int = SHARE) -> DataFrame:
+def walked(spark: SparkSession, roots: list[str], excludes: list[str] | tuple[str, ...] = (), *, app_folders: list[str] = (), dedupe: bool = False, share: int = SHARE, told: Callable[[Progress], None] | None = None) -> DataFrame:
     """(path, mtime, size, state) below all roots that exist; overlapping roots give their entries twice unless ``dedupe``."""
     there = [(r,) for r in roots if os.path.isdir(r)]
-    rows = below(spark.createDataFrame(there, "path string"), excludes, share=share)
+    rows = below(spark.createDataFrame(there, "path string"), excludes, share=share, told=told)
     found = list(apps(list(app_folders)))
     if found:
         rows = spark.createDataFrame(found, SCHEMA).unionByName(rows)

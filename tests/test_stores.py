@@ -212,3 +212,31 @@ def test_lines_of_streams_and_files(spark, tmp_path, monkeypatch):
     (tmp_path / "l.txt").write_text("\n".join(f"line {k}" if k % 5 else "" for k in range(1000)))
     found = read_lines(spark, str(tmp_path / "l.txt")).orderBy("ord").collect()
     assert [r.path for r in found] == [f"line {k}" for k in range(1000) if k % 5]
+
+
+def test_previews_read_a_bounded_head(spark, tmp_path):
+    huge = tmp_path / "huge"
+    with open(huge, "wb") as f:
+        f.write("zwölf\n".encode() * 9363 + b"1234567ab\xc3\xa4")  # the cut splits the last character
+        f.truncate(10 << 30)  # ten gigabytes of nothing behind it
+    for name, data in (("small", "größe\n".encode()), ("odd", b"a\xffb"), ("bin", b"text\0more"), ("late", b"x" * 70_000 + b"\0"), ("none", b"")):
+        (tmp_path / name).write_bytes(data)
+    rows = spark.createDataFrame([(str(tmp_path / n),) for n in ("huge", "small", "odd", "bin", "late", "none", "missing", ".")], "path string")
+    began = time.monotonic()
+    found = {os.path.basename(r.path): (r.head, r.binary, r.whole) for r in documents.read_heads(spark, rows, most=9363 * 7 + 10).collect()}
+    assert time.monotonic() - began < 20
+    assert found.pop("huge") == ("zwölf\n" * 9363 + "1234567ab", False, False) and found.pop("late") == ("x" * (9363 * 7 + 10), False, False)
+    assert found == {"small": ("größe\n", False, True), "odd": ("a\ufffdb", False, True), "bin": (None, True, True), "none": ("", False, True)}
+
+
+def test_a_walk_tells_how_far_it_is(spark, tmp_path):
+    from pathloom.sources.walk import walked
+
+    for k in range(30):
+        (tmp_path / f"d{k % 6}/e{k}").mkdir(parents=True)
+        (tmp_path / f"d{k % 6}/e{k}/f").touch()
+    told = []
+    rows = walked(spark, [str(tmp_path)], share=5, told=told.append)
+    assert [t.rounds for t in told] == list(range(1, len(told) + 1)) and len(told) >= 2
+    assert told[-1].entries == rows.count() == 66 and told[-1].folders_left == 0 < told[0].folders_left
+    assert [t.seconds for t in told] == sorted(t.seconds for t in told)
