@@ -48,8 +48,9 @@ def _hits(texts: DataFrame, pattern: str, filters: Filters, per_file: int, max_b
     if whole := whole_text_pattern(found):
         ends = F.contains("text", F.lit("\r")) if "$" in found else F.lit(False)  # carriage returns go before lines are matched
         rows = rows.where(F.col("text").rlike(whole) | ends)
-    body = F.regexp_replace("text", r"\n\z", "")
-    lines = F.transform(F.split(body, "\n"), lambda x, i: F.struct((i + 1).cast("long").alias("line_number"), F.regexp_replace(x, r"\r$", "").alias("line")))
+    body = F.when(F.endswith("text", F.lit("\n")), F.substring("text", F.lit(1), F.char_length("text") - 1)).otherwise(F.col("text"))
+    body = F.when(F.contains(body, F.lit("\r")), F.regexp_replace(body, r"\r(?=\n|\z)", "")).otherwise(body)
+    lines = F.transform(F.split(body, "\n"), lambda x, i: F.struct((i + 1).cast("long").alias("line_number"), x.alias("line")))
     hits = F.slice(F.filter(lines, lambda x: x.line.rlike(found)), 1, per_file)
     out = rows.select(*[c for c in rows.columns if c != "text"], F.explode(hits).alias("hit"))
     return out.select(*[c for c in rows.columns if c != "text"], F.col("hit.line_number").alias("line_number"), F.regexp_replace("hit.line", r"\s+$", "").alias("line"))
@@ -60,7 +61,9 @@ def grep(texts: DataFrame, pattern: str, filters: Filters = Filters(), *, per_fi
     if limit is not None:
         pieces = list(first_hits(texts, pattern, filters, per_file=per_file, limit=limit, max_bytes=max_bytes))
         return reduce(DataFrame.unionByName, (p.rows for p in pieces)).orderBy("place").select("path", "line_number", "line")
-    out = _hits(texts, pattern, filters, per_file, max_bytes)
+    found = _hits(texts, pattern, filters, per_file, max_bytes)
+    # written before they are put in order: a range sort samples its input first, which would search all texts twice
+    out = texts.sparkSession.read.schema(found.schema).parquet(stored(found, "hits"))
     return out.orderBy(*index_order(out), "line_number").select("path", "line_number", "line")
 
 

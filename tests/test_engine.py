@@ -189,7 +189,7 @@ def test_whole_texts_are_filtered_before_lines(spark):
 
     assert lines("ab$") == {("/2.txt", 1), ("/3.txt", 1), ("/4.txt", 2)} and lines("^$") == {("/1.txt", 1), ("/3.txt", 2), ("/3.txt", 3)}
     assert lines("^c") == {("/2.txt", 2)} and lines("b[^x]c") == set()
-    assert "(?ium)" in content.grep(rows, "swell")._jdf.queryExecution().optimizedPlan().toString()
+    assert "(?ium)" in content._hits(rows, "swell", parse("", NOW).filters, 20, 1 << 20)._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_content(spark):
