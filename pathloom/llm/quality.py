@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import word_hash
@@ -24,6 +24,8 @@ from .shared import mapped
 
 #: Labelled documents the model is fitted on at most, and all their bytes.
 TRAIN_DOCS, TRAIN_BYTES = 2000, 32 << 20
+#: Share of the bytes that one document may have.
+LONG = 16
 #: Rows and bytes of text whose features are made at once; one longer text is taken whole.
 ROWS, SLICE = 256, 512 << 10
 THRESHOLD = 0.7
@@ -234,15 +236,20 @@ def in_fold(doc_id: Column) -> Column:
 def trained(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES) -> LineModel:
     """A model of labelled rows outside the held-out fold, in the order of a hash of the id.
 
-    It is fitted on whole documents, however long, as many as ``train_docs`` and
-    ``train_bytes`` allow; these bound what reaches the driver.
+    It is fitted on whole documents, as many as ``train_docs`` and ``train_bytes`` allow; these
+    bound what reaches the driver.  A document of more than a ``LONG``-th of the bytes is not
+    learned from, and one that doesn't fit into what is left is passed over for those after it.
     """
     chosen = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & (in_fold(F.col("doc_id")) != HELD_OUT))
-    rank = [F.xxhash64("doc_id", F.lit("train")), F.col("doc_id")]
-    chosen = chosen.groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(*rank).limit(train_docs)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    chosen = chosen.groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id", F.lit("train")), "doc_id").limit(train_docs)
     sizes = texts.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.max("size").alias("size"))
-    fit = sizes.withColumn("sum", F.sum("size").over(Window.orderBy(*rank))).where(F.col("sum") <= train_bytes).select("doc_id", "y")  # train_docs rows
+    taken, left = [], train_bytes
+    for row in sizes.where(F.col("size") * LONG <= train_bytes).orderBy(F.xxhash64("doc_id", F.lit("train")), "doc_id").collect():  # train_docs rows
+        if row.size <= left:
+            taken.append((row.doc_id, row.y))
+            left -= row.size
+    fit = docs.sparkSession.createDataFrame(taken, sizes.select("doc_id", "y").schema)
     rows = texts.join(F.broadcast(fit), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
     return fitted([((r.text or "").encode(), r.y) for r in rows])
 

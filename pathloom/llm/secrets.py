@@ -30,7 +30,10 @@ ROWS = 256
 #: Kinds in the order in which spans with one start are listed.
 KINDS = ("assign", "access", "hex", "pem", "token", "der64", "derhex")
 
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----\s*((?:[A-Za-z0-9-]+:[^\n]*\n\s*)*)([A-Za-z0-9+/=\s]+)-----END \1-----")
+PEM_BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----\s*")
+PEM_FIELD = re.compile(r"[A-Za-z0-9-]+:")
+BLANKS = re.compile(r"\s*")
+PEM_BODY = re.compile(r"[A-Za-z0-9+/=\s]*")
 OPENSSH = b"openssh-key-v1\0"
 #: Identifiers of password-based encryption, which begin the algorithm of an encrypted key.
 PBE_PREFIXES = tuple(bytes.fromhex(x) for x in ("2a864886f70d0105", "2a864886f70d010c01"))
@@ -120,6 +123,43 @@ def is_pem_key(headers: str, body: str) -> bool:
     return is_key(data) or is_encrypted_key(data) or is_openssh_key(data)
 
 
+def pem_blocks(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """(start, end, headers, body) of marked key blocks, in one pass: a mark, header lines, a body, the closing mark.
+
+    What an earlier mark has run through (the rest of a line, header lines, a body) is not run
+    through again for a later one, so the time grows with the text, whatever it holds.
+    """
+    line = (0, -1)  # from where the next line break is known, and where it is
+    run = (0, 0)  # header lines
+    body = (-1, -1)
+
+    def header(at: int) -> int | None:
+        """Where the header line at ``at`` and the blanks behind it end."""
+        nonlocal line
+        if not (field := PEM_FIELD.match(text, at)):
+            return None
+        if not line[0] <= field.end() <= line[1]:
+            found = text.find("\n", field.end())
+            line = (field.end(), len(text) if found < 0 else found)
+        return None if line[1] == len(text) else BLANKS.match(text, line[1] + 1).end()
+
+    at = 0
+    while begin := PEM_BEGIN.search(text, at):
+        at = first = end = begin.end()
+        if run[0] <= first < run[1]:
+            end = run[1] if header(first) else first
+        else:
+            while (more := header(end)) is not None:
+                end = more
+            run = (first, end)
+        if body[0] != end:
+            body = (end, PEM_BODY.match(text, end).end())
+        closing = f"-----END {begin[1]}-----"
+        if body[1] > end and text.startswith(closing, body[1]):
+            at = body[1] + len(closing)
+            yield begin.start(), at, text[first:end], text[end : body[1]]
+
+
 def decoded64(text: str) -> bytes | None:
     text = text.rstrip("=").translate({45: "+", 95: "/"})
     try:
@@ -154,7 +194,7 @@ def confirmed(text: str) -> list[tuple[int, int, str]]:
     """Finds of the confirming pass: only candidates that decode and parse."""
     out = []
     if "-----BEGIN" in text:
-        out += [(*m.span(), "pem") for m in PEM.finditer(text) if is_pem_key(m[2], m[3])]
+        out += [(a, b, "pem") for a, b, headers, body in pem_blocks(text) if is_pem_key(headers, body)]
     if "eyJ" in text:
         out += [(*m.span(), "token") for m in SIGNED.finditer(text) if is_signed_token(m[1], m[2], m[3])]
     if "M" in text:

@@ -3,18 +3,21 @@
 import base64
 import hashlib
 import json
+import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
-from pathloom.llm import quality
+from pathloom.llm import quality, secrets
 from pathloom.llm.main_text import blocks, extracted, labelled, log_odds, main_text, min_cut
 from pathloom.llm.piece_bpe import encoded, encoder
 from pathloom.llm.queries import piece_model
 from pathloom.llm.secrets import scanned, spans
 from pathloom.llm.suffix_sort import sorted_strings
+from pyspark.sql import functions as F
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header><a href="/">Site</a></header><nav><ul><li><a href="/a">Menu one<li><a href="/b">Menu two</ul></nav><div class="ad">Buy now, it is cheap.</div>
@@ -125,6 +128,44 @@ def test_marginals_equal_enumeration():
     assert np.allclose(marginal, want) and np.allclose(moves, pairs) and np.isclose(total, logs)
 
 
+def test_scores_recomputed_by_hand():
+    """Marginals by plain forward and backward sums, each line weighing its bytes and one, a logistic curve on the log odds."""
+    r = random.Random(7)
+    model = quality.fitted([((good(r) if k % 2 else bad(r)).encode(), k % 2) for k in range(60)])
+    texts = [(good(r) + "\n" + bad(r)).encode() for _ in range(12)] + [b"", b"\n", b"one line"]
+    got = model.scores(texts)[0]
+    for text, score in zip(texts, got, strict=True):
+        features = quality.line_features([text])[0]
+        node = [float(np.clip((row - model.mean) / model.deviation, -6, 6) @ model.weights) for row in features]
+        ahead = [np.array([1.0, math.exp(node[0])])]
+        for x in node[1:]:
+            ahead.append(np.array([sum(ahead[-1][a] * math.exp(model.jump[a, b]) for a in (0, 1)) * (math.exp(x) if b else 1) for b in (0, 1)]))
+        back = [np.ones(2)]
+        for x in node[:0:-1]:
+            back.insert(0, np.array([sum(math.exp(model.jump[a, b]) * (math.exp(x) if b else 1) * back[0][b] for b in (0, 1)) for a in (0, 1)]))
+        good_share = [(f * b)[1] / (f * b).sum() for f, b in zip(ahead, back, strict=True)]
+        weight = [len(line) + 1 for line in text.split(b"\n")]
+        mean = min(max(sum(w * g for w, g in zip(weight, good_share, strict=True)) / sum(weight), 1e-4), 1 - 1e-4)
+        assert math.isclose(score, 1 / (1 + math.exp(-(model.slope * math.log(mean / (1 - mean)) + model.offset))), rel_tol=1e-9)
+
+
+def test_a_long_labelled_text_leaves_the_model_on(spark):
+    """A text of 40 MB, labelled and first in the order, is passed over; so is what doesn't fit what is left."""
+    r = random.Random(9)
+    rows = [(i, good(r) if i % 2 else bad(r), i % 2) for i in range(160)]
+    kind = "doc_id long, text string"
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    short = spark.createDataFrame([(i, t) for i, t, _ in rows], kind)
+    first = labels.where(quality.in_fold(F.col("doc_id")) != 2).orderBy(F.xxhash64("doc_id", F.lit("train")), "doc_id").first().doc_id
+    long = short.where(F.col("doc_id") != first).unionByName(spark.range(1).select(F.lit(first).cast("long").alias("doc_id"), F.repeat(F.lit("long text. "), 40 << 20 >> 3).alias("text")))
+    with_long, without = quality.trained(long, labels), quality.trained(short.where(F.col("doc_id") != first), labels)
+    assert np.array_equal(with_long.weights, without.weights) and with_long.slope == without.slope != 0
+    few = quality.trained(short, labels, train_bytes=20_000)
+    assert few.slope != 0 and np.abs(few.weights).max() > 0
+    texts = [t.encode() for _, t, _ in rows]
+    assert np.mean((few.scores(texts)[0] > 0.5) == np.array([y for *_, y in rows])) > 0.9
+
+
 def test_quality_learns_and_holds_out(spark):
     r = random.Random(2)
     rows = [(i, good(r) if i % 3 else bad(r), i % 3 > 0) for i in range(240)]
@@ -199,6 +240,28 @@ def test_secrets_by_shape_and_by_structure():
     assert spans(f"a {part(b'{\"x\": 1}')}.{part(b'{}')}.{part(b'sig')} b") == []
 
 
+def test_key_blocks_equal_one_pattern():
+    whole = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----\s*((?:[A-Za-z0-9-]+:[^\n]*\n\s*)*)([A-Za-z0-9+/=\s]+)-----END \1-----")
+    r = random.Random(3)
+    bits = ["-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----", "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----", "\n", " ", "\n\n", "Name: value", "a:", "-", "abc+/=", "x\ny", "é"]
+    found = 0
+    for _ in range(30_000):
+        text = "".join(r.choice(bits) for _ in range(r.randint(2, 14)))
+        want = [(m.start(), m.end(), "".join(m[3].split())) for m in whole.finditer(text) if m[3].strip()]
+        got = [(a, b, "".join(body.split())) for a, b, _, body in secrets.pem_blocks(text) if body.strip()]
+        assert got == want, text
+        found += len(want)
+    assert found > 100
+
+
+@pytest.mark.parametrize("unit", [" ", "\n", "a: b\n", "A", "-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----a:", "x: -----BEGIN PRIVATE KEY-----\n", "-----BEGIN PRIVATE KEY-----\nab", "eyJ.", "M", "30", "password ", "AKIA"])
+def test_secrets_take_linear_time(unit):
+    text = "-----BEGIN RSA PRIVATE KEY-----" + unit * ((1 << 20) // len(unit))
+    began = time.process_time()
+    spans(text)
+    assert time.process_time() - began < 4
+
+
 def test_secrets_over_a_table(spark):
     rows = [(1, "secret: hunter2hunter2"), (2, None), (None, ""), (1, "secret: hunter2hunter2")]
     got = scanned(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "9 as spans")).collect()
