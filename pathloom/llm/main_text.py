@@ -15,6 +15,7 @@ import re
 from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,6 +29,7 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?|["'][^\s]*""")
 SPACE = re.compile(r"\s+")
+ONLY = {tag: re.compile(rf"<{tag}(?=[\s/>])", re.IGNORECASE) for tag in ("article", "main")}
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 SENTENCE_ENDS = frozenset(".!?…。！？:;»\"”")
 
@@ -178,6 +180,7 @@ def blocks(page: str) -> tuple[list[Block], Elements]:
         while levels[-1] >= k:
             levels.pop()
 
+    alone = [tag for tag, pattern in ONLY.items() if sum(1 for _ in islice(pattern.finditer(page), 2)) == 1]
     at, n = 0, len(page)
     while at < n:
         m = TOKEN.match(page, at)
@@ -228,6 +231,8 @@ def blocks(page: str) -> tuple[list[Block], Elements]:
         if m[3].endswith("/") and tag in ("path", "g"):
             continue
         firm, soft = _weights(tag, m[3])
+        if tag in alone:  # a page's only article is the article, whatever its class says of its topic
+            soft = max(soft, 0.0)
         above = stack[-1]
         block = tag not in INLINE
         node = elements.add(above.node) if block else above.node

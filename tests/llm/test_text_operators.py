@@ -49,6 +49,14 @@ def test_names_that_only_mention_a_cue(page):
     assert main_text(page.format("The text.")) == "The text."
 
 
+def test_the_only_article_is_not_judged_by_its_name():
+    text = "A text of some length about the law, which says what it has to say."
+    assert main_text(f'<body><nav><a href="/">Home</a></nav><article class="legal"><p>{text}</p></article></body>') == text
+    assert main_text(f'<main class="notice"><article id="disclaimer"><p>{text}</p><div class="notice"><p>Closed on Monday.</p></div></article></main>') == text
+    several = f'<article><p>{text}</p></article><article class="comment"><p>A reader wrote this, which is not the text.</p></article>'
+    assert main_text(several) == text
+
+
 @pytest.mark.parametrize("name", ["cookie-banner", "ad_slot", "adSlot", "commentList", "comment-list", "sidebar-left", "share-buttons", "newsletter-signup", "main-nav", "ad-1"])
 def test_names_that_are_cues(name):
     assert main_text(f'<article><p>A text.</p><div class="x {name}"><p>Something else, which is not the text.</p></div></article>') == "A text."
