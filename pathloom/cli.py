@@ -18,19 +18,20 @@ from .sources.semantic_store import SemanticStore
 from .sources.snapshot import SnapshotStore
 from .sources.walk import walk_stats, walked
 
-VERSION = "0.1.0"
+VERSION, CONFIG = "0.1.0", "~/.config/pathloom/config.toml"
 
 
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="pathloom", description="Search file corpora.")
     one = out.add_mutually_exclusive_group()
     one.add_argument("-V", "--version", action="version", version=VERSION)
-    one.add_argument("-p", "--print", dest="query", help="print the hits of a query")
-    one.add_argument("--filter", nargs="?", const="", help="search lines of standard input")
+    one.add_argument("-p", "--print", dest="query", nargs=argparse.REMAINDER, help="print the hits of a query, which is all that follows")
+    one.add_argument("--pick", nargs=argparse.REMAINDER, help="print the best hit of a query")
+    one.add_argument("--filter", nargs=argparse.REMAINDER, help="search lines of standard input")
     one.add_argument("--big", nargs="?", const=20, type=int, help="the largest files")
     one.add_argument("--reindex", action="store_true", help="walk the roots again")
     one.add_argument("--index-semantic", action="store_true", help="embed documents that are new or changed")
-    out.add_argument("--config", default="~/.config/pathloom/config.toml")
+    out.add_argument("--config", nargs="?", const="", default=CONFIG, help="the configuration file; without a path and a command, prints where it is")
     return out
 
 
@@ -62,7 +63,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     """Exit code: 0 with hits, 1 without, 2 on errors."""
     args = parser().parse_args(argv)
     try:
-        conf = settings.load_or_create(args.config)
+        words = next((w for w in (args.query, args.pick, args.filter) if w is not None), None)
+        text = " ".join(words or [])
+        if args.query is not None and not text:
+            raise ValueError("-p needs a query")
+        conf = settings.load_or_create(args.config or CONFIG)
+        if args.config == "":
+            print(settings.expand(CONFIG))
+            return 0
         spark = spark or SparkSession.builder.appName("pathloom").getOrCreate()
         home = settings.expand(conf.index_dir)
         store, chunks, cache = SnapshotStore(spark, f"{home}/files"), SemanticStore(spark, f"{home}/chunks"), TextCache(spark, f"{home}/texts")
@@ -70,7 +78,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             print(reindex(spark, store, conf))
             return 0
         if args.filter is not None:
-            rows = filter_lines(spark, from_lines(spark, utf8_lines(getattr(sys.stdin, "buffer", sys.stdin))), args.filter, int(time.time())).orderBy("rank").collect()
+            rows = filter_lines(spark, from_lines(spark, utf8_lines(getattr(sys.stdin, "buffer", sys.stdin))), text, int(time.time())).orderBy("rank").collect()
             print("\n".join(r.path for r in rows))
             return int(not rows)
         if store.load() is None:
@@ -86,10 +94,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             for r in big_files(files, args.big).select(human_size(F.col("size")).alias("shown"), "path", "rank").orderBy("rank").collect():
                 print(f"{r.shown:>10}  {r.path}")
             return 0
-        if args.query is not None:
+        if args.query is not None or args.pick is not None:
             now = int(time.time())
-            texts = read_texts(spark, files.where("path not like '%/'"), cache) if args.query.startswith(">") else None
-            rows, every = script_search(spark, Corpus(files, texts, chunks.load(), quiet=tuple(conf.quiet), max_bytes=conf.max_content_filesize), args.query, now)
+            texts = read_texts(spark, files.where("path not like '%/'"), cache) if text.startswith(">") else None
+            rows, every = script_search(spark, Corpus(files, texts, chunks.load(), quiet=tuple(conf.quiet), max_bytes=conf.max_content_filesize), text, now)
+            if args.pick is not None:
+                best = every.orderBy("rank").select("path").take(1) if "rank" in every.columns else every.select("path").take(1)
+                print("\n".join(r.path for r in best))
+                return int(not best)
             for r in hits_as_lines(rows).toLocalIterator():
                 print(r.value)
             return int(not every.take(1))

@@ -19,7 +19,7 @@ def is_dir(path: Column) -> Column:
 
 
 def basename(path: Column) -> Column:
-    return F.regexp_extract(path, "([^/]*)/*$", 1)
+    return F.substring_index(F.rtrim(path, F.lit("/")), "/", -1)
 
 
 def path_name(path: Column) -> Column:

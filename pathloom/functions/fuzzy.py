@@ -178,13 +178,18 @@ def positions(text: str, pattern: str) -> list[int]:
         rows: list[dict[int, tuple[int, int]]] = []  # place: (score, place before)
         for k, c in enumerate(atom.text):
             row: dict[int, tuple[int, int]] = {}
+            far = None  # the best place before a gap: (score + EXTEND place, place)
             for i, x in enumerate(t):
+                if k and i > 1 and (before := rows[-1].get(i - 2)):
+                    far = max(far or (before[0] + EXTEND * (i - 2), i - 2), (before[0] + EXTEND * (i - 2), i - 2))
                 if x != c:
                     continue
                 if k == 0:
                     row[i] = (MATCH + 2 * bonus[i], -1)
                     continue
-                options = [(s + MATCH + max(bonus[i], CONSECUTIVE), j) if j == i - 1 else (s + MATCH + bonus[i] - OPEN - EXTEND * (i - j - 2), j) for j, (s, _) in rows[-1].items() if j < i]
+                options = [(near[0] + MATCH + max(bonus[i], CONSECUTIVE), i - 1)] if (near := rows[-1].get(i - 1)) else []
+                if far:
+                    options.append((far[0] - EXTEND * (i - 2) + MATCH + bonus[i] - OPEN, far[1]))
                 if options:
                     row[i] = max(options)
             if not row:

@@ -166,4 +166,6 @@ def test_command_line(spark, tmp_path, capsys):
     assert run("--big", "2") == 0 and capsys.readouterr().out.split()[:3] == ["5.0", "KB", f"{tmp_path}/home/big.bin"]
     assert run("-p", "mid") == 0 and capsys.readouterr().out.split()[0].endswith("mid.txt")
     assert run("-p", "> needle") == 0 and capsys.readouterr().out.strip().endswith("mid.txt:1:some Needle here")
+    assert run("-p", "ext:txt", "mid") == 0 and capsys.readouterr().out.split() == [f"{tmp_path}/home/mid.txt"]
+    assert run("--pick", "mid") == 0 and capsys.readouterr().out.split() == [f"{tmp_path}/home/mid.txt"] and run("--pick", "nosuchname") == 1 and run("-p") == 2
     assert run("-p", "nosuchname") == 1 and run("-p", "> [x") == 2
