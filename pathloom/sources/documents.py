@@ -24,7 +24,7 @@ MAX_FILE, MAX_ENTRIES, MAX_XML, MAX_TEXT, CACHE_ROWS = 20 << 20, 4096, 32 << 20,
 CACHED = "path string, mtime long, size long, text string, error string, cached_at double"
 #: Bytes of a file that a preview reads.
 HEAD_BYTES = 64 << 10
-#: Files whose bytes a task holds at once.
+#: Files whose texts a task hands on together.
 FILES_AT_ONCE = 8
 PART = re.compile(r"word/(?:document|header\d*|footer\d*|footnotes|endnotes)\.xml")
 SHEET = re.compile(r"xl/worksheets/[^/]+\.xml")
@@ -138,22 +138,22 @@ def pdf_text(data: bytes) -> str:
 EXTRACTORS = {"docx": docx_text, "xlsx": xlsx_text, "pdf": pdf_text}
 
 
+def text_or_error(path: str, data: bytes) -> tuple[str | None, str | None]:
+    """(text, error) of one file's bytes: extracted by extension, else UTF-8 or an error."""
+    try:
+        return EXTRACTORS.get(path.rpartition(".")[2].lower(), bytes.decode)(data), None
+    except (ExtractError, UnicodeDecodeError, RecursionError) as e:
+        return None, str(e) or type(e).__name__
+
+
 def extracted(files: DataFrame) -> DataFrame:
-    """(the other columns, text, error) of ``files`` (path, content, ...): extracted by extension, else UTF-8 or an error."""
+    """(the other columns, text, error) of ``files`` (path, content, ...)."""
     rest = [f for f in files.schema if f.name != "content"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts, errors = [], []
-            for path, data in zip(batch.path, batch.content):
-                text, error = None, None
-                try:
-                    text = EXTRACTORS.get(path.rpartition(".")[2].lower(), lambda d: bytes(d).decode())(bytes(data if data is not None else b""))
-                except (ExtractError, UnicodeDecodeError, RecursionError) as e:
-                    error = str(e) or type(e).__name__
-                texts.append(text)
-                errors.append(error)
-            yield batch.drop(columns="content").assign(text=texts, error=errors)
+            found = [text_or_error(path, bytes(data if data is not None else b"")) for path, data in zip(batch.path, batch.content)]
+            yield batch.drop(columns="content").assign(text=[t for t, _ in found], error=[e for _, e in found])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest)
     return files.mapInPandas(run, f"{fields}, text string, error string")
@@ -169,18 +169,18 @@ def read_texts(spark: SparkSession, rows: DataFrame, cache: TextCache | None = N
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for a in range(0, len(batch), FILES_AT_ONCE):
-                part, contents = batch.iloc[a : a + FILES_AT_ONCE], []
-                for path in part.path:
+                part, found = batch.iloc[a : a + FILES_AT_ONCE], []
+                for path in part.path:  # one file's bytes at a time; they don't leave the task
                     try:
                         with open(path, "rb") as f:
-                            contents.append(f.read(MAX_FILE + 1))
+                            found.append((True, *text_or_error(path, f.read(MAX_FILE + 1))))
                     except OSError:
-                        contents.append(None)
-                yield part.assign(content=contents)[["path", "mtime", "size", "content"]]
+                        found.append((False, None, None))
+                there, texts, errors = zip(*found)
+                yield part[["path", "mtime", "size"]].assign(text=texts, error=errors)[list(there)]
 
     def opened(files: DataFrame) -> DataFrame:
-        held = files.mapInPandas(run, "path string, mtime long, size long, content binary")
-        return extracted(held.where("content is not null"))
+        return files.mapInPandas(run, "path string, mtime long, size long, text string, error string")
 
     rows = rows.select("path", "mtime", "size")
     if cache is None:

@@ -168,7 +168,7 @@ def test_opens_appended_during_a_compaction_are_not_lost(spark, tmp_path, monkey
     assert "/merged-already" not in {r.path for r in log.load().collect()}
 
 
-def test_a_second_query_extracts_nothing(spark, tmp_path, monkeypatch):
+def test_a_second_query_extracts_nothing(spark, tmp_path):
     from test_sources import package
 
     body = lambda text: package(word__document=f'<w:d xmlns:w="u"><w:t>{text}</w:t></w:d>')
@@ -176,28 +176,19 @@ def test_a_second_query_extracts_nothing(spark, tmp_path, monkeypatch):
         (tmp_path / name).write_bytes(data)
     rows = lambda *names, mtime=1: spark.createDataFrame([(str(tmp_path / n), mtime, 5) for n in names], "path string, mtime long, size long")
     cache = TextCache(spark, f"file://{tmp_path}/cache")
-    calls = spark.sparkContext.accumulator(0)
-    extracted = documents.extracted
-
-    def counting(files):
-        @F.udf("binary")
-        def seen(path, content):
-            if path.endswith("docx"):
-                calls.add(1)
-            return content
-
-        return extracted(files.withColumn("content", seen.asNondeterministic()("path", "content")))
-
-    monkeypatch.setattr(documents, "extracted", counting)
     read = lambda df: {os.path.basename(r.path): (r.text, r.error is not None) for r in read_texts(spark, df, cache).collect()}
     want = {"a.docx": ("salt", False), "b.docx": (None, True), "c.txt": ("plain", False)}
-    assert read(rows("a.docx", "b.docx", "c.txt")) == want and calls.value == 2
-    (tmp_path / "a.docx").unlink()
-    assert read(rows("a.docx", "b.docx", "c.txt")) == want and calls.value == 2  # not even opened
-    assert read(rows("d.docx", "b.docx")) == {"d.docx": ("pepper", False), "b.docx": (None, True)} and calls.value == 3
-    assert read(rows("d.docx", mtime=2)) == {"d.docx": ("pepper", False)} and calls.value == 4  # changed: extracted again
-    assert cache.store.load().count() == 4
+    assert read(rows("a.docx", "b.docx", "c.txt")) == want and cache.store.load().count() == 2
+    for name in ("a.docx", "b.docx"):  # what was extracted, errors too, is not even opened again
+        (tmp_path / name).unlink()
+    version = cache.store.current()["version"]
+    assert read(rows("a.docx", "b.docx", "c.txt")) == want and cache.store.current()["version"] == version
+    assert read(rows("d.docx", "b.docx")) == {"d.docx": ("pepper", False), "b.docx": (None, True)}
+    (tmp_path / "d.docx").write_bytes(body("chives"))
+    assert read(rows("d.docx")) == {"d.docx": ("pepper", False)} and read(rows("d.docx", mtime=2)) == {"d.docx": ("chives", False)}
+    assert cache.store.load().count() == 4 and read(rows("missing.docx", "c.txt")) == {"c.txt": ("plain", False)}
     small = TextCache(spark, f"file://{tmp_path}/small", most=1)
+    (tmp_path / "b.docx").write_bytes(b"broken")
     read_texts(spark, rows("b.docx"), small), time.sleep(0.01), read_texts(spark, rows("d.docx"), small)
     assert [os.path.basename(r.path) for r in small.store.load().collect()] == ["d.docx"]
 
