@@ -141,13 +141,14 @@ def pdf_bytes(text: str) -> bytes:
 
     lines = text.split("\n")
     chars = sorted(set(text) - {"\n"})
-    code = {c: k + 1 for k, c in enumerate(chars)}
-    cmap = "".join(f"1 beginbfchar <{code[c]:04x}> <{c.encode('utf-16-be').hex()}> endbfchar\n" for c in chars).encode()
+    code = {ord(c): f"{k + 1:04x}" for k, c in enumerate(chars)}
+    pairs = [f"<{code[ord(c)]}> <{c.encode('utf-16-be').hex()}>\n" for c in chars]
+    cmap = "".join(f"{len(part)} beginbfchar\n{''.join(part)}endbfchar\n" for part in (pairs[a : a + 100] for a in range(0, len(pairs), 100))).encode()
     pages = [lines[a : a + 50] for a in range(0, len(lines), 50)]
-    stream = lambda body: b"<< /Filter /FlateDecode /Length %d >>\nstream\n" % len(z := zlib.compress(body)) + z + b"\nendstream"
+    stream = lambda body: b"<< /Filter /FlateDecode /Length %d >>\nstream\n" % len(z := zlib.compress(body, 1)) + z + b"\nendstream"
     objects = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 3: b"<< /Type /Font /ToUnicode 4 0 R >>", 4: stream(cmap)}
     for k, page in enumerate(pages):
-        shown = " ".join(f"1 0 0 1 30 {600 - 11 * j} Tm <{''.join(f'{code[c]:04x}' for c in line)}> Tj" for j, line in enumerate(page))
+        shown = " ".join(f"1 0 0 1 30 {600 - 11 * j} Tm <{line.translate(code)}> Tj" for j, line in enumerate(page))
         objects[10 + 2 * k] = b"<< /Type /Page /Contents %d 0 R >>" % (11 + 2 * k)
         objects[11 + 2 * k] = stream(f"BT /F 9 Tf {shown} ET".encode())
     objects[2] = b"<< /Resources << /Font << /F 3 0 R >> >> /Kids [%s] >>" % b" ".join(b"%d 0 R" % (10 + 2 * k) for k in range(len(pages)))
