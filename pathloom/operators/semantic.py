@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
@@ -87,13 +87,19 @@ def chunked(texts: DataFrame, *, target: int = CHUNK_CHARS, overlap: int = OVERL
     return texts.withColumn("c", F.explode(cut("text"))).select(*rest, "c.chunk_ix", "c.line_start", "c.text")
 
 
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once, however often ``then`` names it, inner functions included."""
+    return F.transform(F.array(value), then)[0]
+
+
 def hash_vector(text: Column, dim: int = HASH_DIM) -> Column:
-    """Unit vector of word counts by hash, natively."""
+    """Unit vector of word counts by hash, natively; a text is split and hashed once."""
     words = F.filter(F.split(ascii_lower(text), r"\s+"), lambda w: w != "")
     slots = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dim)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.size(F.filter(slots, lambda s: s == k)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+    places = F.sequence(F.lit(0).cast("long"), F.lit(dim - 1).cast("long"))
+    counts = _once(slots, lambda s: F.transform(places, lambda k: (F.size(s) - F.size(F.array_remove(s, k))).cast("double")))
+    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x))
+    return _once(counts, lambda c: _once(norm(c), lambda n: F.transform(c, lambda x: F.when(n > 0, x / n).otherwise(0.0))))
 
 
 def quantised(rows: DataFrame, column: str = "vec") -> DataFrame:

@@ -306,3 +306,11 @@ def test_registered_functions(spark):
     register(spark)
     row = spark.sql("SELECT calc_eval('2^3^2') AS a, fuzzy_score('/pier/low-tide.gpx', 'tide') > 0 AS b, match_positions('/pier/low-tide.gpx', 'tide') AS c, size(chunk_text('x')) AS d, extract_text('a.txt', cast('hi' AS binary)) AS e, extract_text('a.pdf', cast('hi' AS binary)) AS f").first()
     assert tuple(row) == ("512", True, [10, 11, 12, 13], 1, "hi", None)
+
+
+def test_hash_vectors_split_a_text_once(spark):
+    column = semantic.hash_vector(F.col("text"))
+    assert str(column).count("split(") == 1
+    rows = spark.createDataFrame([("a b A",), ("",), (None,)], "text string").select(column.alias("v")).collect()
+    assert sorted(x for x in rows[0].v if x) == [pytest.approx(1 / 5**0.5), pytest.approx(2 / 5**0.5)] and len(rows[0].v) == 64
+    assert rows[1].v == rows[2].v == [0.0] * 64
