@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from xml.sax.saxutils import escape
 
 import pandas as pd
@@ -20,7 +20,7 @@ from .operators.predicates import atom_predicate, predicate, quiet
 from .plans.search import Corpus, filter_lines, script_search
 from .request import Filters, parse
 from .schema import FILES_SQL, NOW
-from .sources.documents import extracted
+from .sources.documents import extracted, packed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -324,12 +324,8 @@ def docx_bytes(text: str) -> bytes:
 
 @query("SELECT doc_id, text || chr(10) AS text FROM documents WHERE doc_id % 8 = 7")
 def extract_docx(spark: SparkSession, d: str) -> DataFrame:
-    def package(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.assign(content=b.text.map(docx_bytes))[["doc_id", "path", "content"]]
-
     texts = schema.doc_text(spark, d).where("doc_id % 8 = 7").select("doc_id", "path", "text")  # the adapter's .docx files
-    return extracted(texts.mapInPandas(package, "doc_id long, path string, content binary")).select("doc_id", "text")
+    return extracted(packed(texts, docx_bytes)).select("doc_id", "text")
 
 
 @query(f"{FILES} SELECT regexp_extract(path, '([^/]*/?)$', 1) AS name, path LIKE '%/' AS is_dir FROM index WHERE regexp_extract(path, '^(.*?)[^/]*/?$', 1) = '/home/en/src1/' ORDER BY path LIKE '%/' DESC, name LIMIT 200")

@@ -12,6 +12,8 @@ from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +28,10 @@ CACHED = "path string, mtime long, size long, text string, error string, cached_
 HEAD_BYTES = 64 << 10
 #: Files whose texts a task hands on together.
 FILES_AT_ONCE = 8
+#: Bytes and rows of a batch that are Python objects at once.
+SLICE_BYTES, SLICE_ROWS = 1 << 20, 256
 PART = re.compile(r"word/(?:document|header\d*|footer\d*|footnotes|endnotes)\.xml")
+BREAKS = {"tab": "\t", "br": "\n", "cr": "\n", "p": "\n"}
 SHEET = re.compile(r"xl/worksheets/[^/]+\.xml")
 
 
@@ -34,6 +39,13 @@ class ExtractError(ValueError):
     pass
 
 
+class _Local(dict):
+    """Tags to names without their space."""
+
+    def __missing__(self, tag: str) -> str:
+        return self.setdefault(tag, tag.rpartition("}")[2])
+
+
 class _Parts:
     """The XML parts of a package, opened within the bounds."""
 
@@ -46,13 +58,13 @@ class _Parts:
             raise ExtractError(f"not a package: {e}") from e
         if len(self.zip.infolist()) > MAX_ENTRIES:
             raise ExtractError("too many entries")
-        self.left = MAX_XML
+        self.left, self.local = MAX_XML, _Local()
 
     def names(self) -> list[str]:
         return [i.filename for i in self.zip.infolist()]
 
-    def events(self, name: str) -> Iterator[tuple[str, str, ElementTree.Element]]:
-        """(event, local name, element) of a part."""
+    def ends(self, name: str) -> Iterator[tuple[str, ElementTree.Element]]:
+        """(local name, element) of a part's elements, as they end."""
         try:
             with self.zip.open(name) as f:
                 body = f.read(self.left + 1)
@@ -64,8 +76,8 @@ class _Parts:
         if b"<!DOCTYPE" in body[:4096] or b"<!ENTITY" in body:
             raise ExtractError("entities aren't supported")
         try:
-            for event, e in ElementTree.iterparse(io.BytesIO(body), ("start", "end")):
-                yield event, e.tag.rpartition("}")[2], e
+            for _, e in ElementTree.iterparse(io.BytesIO(body)):
+                yield self.local[e.tag], e
         except ElementTree.ParseError as e:
             raise ExtractError(f"{name}: {e}") from e
 
@@ -80,18 +92,21 @@ def docx_text(data: bytes) -> str:
     parts, out = _Parts(data), []
     for name in parts.names():
         if PART.fullmatch(name):
-            for event, tag, e in parts.events(name):
-                if event == "end":
-                    out.append({"t": e.text or "", "tab": "\t", "br": "\n", "cr": "\n", "p": "\n"}.get(tag, ""))
+            for tag, e in parts.ends(name):
+                if tag == "t":
+                    out.append(e.text or "")
+                elif tag in BREAKS:
+                    out.append(BREAKS[tag])
     return _bounded("".join(out))
 
 
 def _shared_strings(parts: _Parts) -> list[str]:
     out: list[str] = []
     if "xl/sharedStrings.xml" in parts.names():
-        for event, tag, e in parts.events("xl/sharedStrings.xml"):
-            if event == "end" and tag == "si":
-                out.append("".join(x.text or "" for x in e.iter() if x.tag.rpartition("}")[2] == "t"))
+        for tag, e in parts.ends("xl/sharedStrings.xml"):
+            if tag == "si":
+                out.append("".join([x.text or "" for x in e.iter() if parts.local[x.tag] == "t"]))
+                e.clear()
     return out
 
 
@@ -102,11 +117,9 @@ def xlsx_text(data: bytes) -> str:
         if not SHEET.fullmatch(name):
             continue
         cells: list[str] = []
-        for event, tag, e in parts.events(name):
-            if event != "end":
-                continue
+        for tag, e in parts.ends(name):
             if tag == "c":
-                value = "".join(x.text or "" for x in e.iter() if x.tag.rpartition("}")[2] in ("v", "t"))
+                value = "".join([x.text or "" for x in e.iter() if parts.local[x.tag] in ("v", "t")])
                 if e.get("t") == "s":
                     if not value.isdigit() or int(value) >= len(shared):
                         raise ExtractError("no such shared string")
@@ -146,17 +159,45 @@ def text_or_error(path: str, data: bytes) -> tuple[str | None, str | None]:
         return None, str(e) or type(e).__name__
 
 
+def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """``batch`` in pieces of few bytes of ``column``, of one row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    at = 0
+    while at < len(sizes):
+        end, held = at + 1, sizes[at]
+        while end < len(sizes) and end - at < SLICE_ROWS and held + sizes[end] <= SLICE_BYTES:
+            held, end = held + sizes[end], end + 1
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def extracted(files: DataFrame) -> DataFrame:
-    """(the other columns, text, error) of ``files`` (path, content, ...)."""
+    """(the other columns, text, error) of ``files`` (path, content, ...).  A slice's files and texts are in memory, not a batch's."""
     rest = [f for f in files.schema if f.name != "content"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "content"):
+                found = [text_or_error(path, data.as_py() or b"") for path, data in zip(part.column("path").to_pylist(), part.column("content"), strict=True)]
+                columns = [part.column(f.name) for f in rest] + [pa.array(side, pa.string()) for side in zip(*found, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=[*(f.name for f in rest), "text", "error"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest)
+    return files.mapInArrow(run, f"{fields}, text string, error string")
+
+
+def packed(texts: DataFrame, build: Callable[[str], bytes]) -> DataFrame:
+    """(the other columns, content): texts as the files that ``build`` makes of them, slice by slice."""
+    rest = [f for f in texts.schema if f.name != "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [text_or_error(path, bytes(data if data is not None else b"")) for path, data in zip(batch.path, batch.content)]
-            yield batch.drop(columns="content").assign(text=[t for t, _ in found], error=[e for _, e in found])
+            for part in slices(batch, "text"):
+                content = pa.array([build(t.as_py()) for t in part.column("text")], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in rest), content], names=[*(f.name for f in rest), "content"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest)
-    return files.mapInPandas(run, f"{fields}, text string, error string")
+    return texts.mapInArrow(run, f"{fields}, content binary")
 
 
 def read_texts(spark: SparkSession, rows: DataFrame, cache: TextCache | None = None) -> DataFrame:

@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +17,7 @@ from .operators.predicates import atom_predicate, not_excluded, predicate
 from .queries import BEST, BOOSTED_HEAD, EXT, FILES, HEAD, OPENS, _boosts, _grep_sql, _index, chunk_documents, docx_bytes, query
 from .request import Filters, parse
 from .schema import FILES_SQL, NOW
-from .sources.documents import TextCache, extracted, is_extracted
+from .sources.documents import TextCache, extracted, is_extracted, packed
 from .sources.lines import HistoryLog, hits_as_lines
 from .sources.scratch import scratch_path
 from .sources.semantic_store import SemanticStore
@@ -97,12 +95,7 @@ def semantic_store_rows(spark: SparkSession, d: str) -> DataFrame:
 
 def _as_files(texts: DataFrame, build) -> DataFrame:
     """Texts packed as files of a kind, by the adapter."""
-
-    def package(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.assign(content=b.text.map(build))[["doc_id", "path", "mtime", "size", "content"]]
-
-    return texts.select("doc_id", "path", "mtime", "size", "text").mapInPandas(package, "doc_id long, path string, mtime long, size long, content binary")
+    return packed(texts.select("doc_id", "path", "mtime", "size", "text"), build)
 
 
 def xlsx_bytes(text: str) -> bytes:

@@ -5,10 +5,12 @@ import os
 import zipfile
 import zlib
 
+import pyarrow as pa
 import pytest
 from pathloom import config
 from pathloom.cli import main
 from pathloom.operators.changes import folded
+from pathloom.sources import documents
 from pathloom.sources.documents import ExtractError, docx_text, pdf_text, with_cache, xlsx_text
 from pathloom.sources.lines import append_query, from_lines, read_queries
 from pathloom.sources.snapshot import SnapshotStore
@@ -169,3 +171,10 @@ def test_command_line(spark, tmp_path, capsys):
     assert run("-p", "ext:txt", "mid") == 0 and capsys.readouterr().out.split() == [f"{tmp_path}/home/mid.txt"]
     assert run("--pick", "mid") == 0 and capsys.readouterr().out.split() == [f"{tmp_path}/home/mid.txt"] and run("--pick", "nosuchname") == 1 and run("-p") == 2
     assert run("-p", "nosuchname") == 1 and run("-p", "> [x") == 2
+
+
+def test_files_are_extracted_slice_by_slice():
+    rows = [b"x" * 10, None, b"", b"y" * (3 << 20), b"z"] + [b"w"] * 600
+    parts = list(documents.slices(pa.RecordBatch.from_pydict({"content": pa.array(rows, pa.binary())}), "content"))
+    assert [x for p in parts for x in p.column("content").to_pylist()] == rows
+    assert max(p.num_rows for p in parts) <= documents.SLICE_ROWS and [p.num_rows for p in parts[:2]] == [3, 1]
