@@ -128,3 +128,10 @@ def test_odd_files_end():
         pdf_text(b"%PDF-1.4\n1 0 obj " + b"[" * 500)
     assert pdf_text(b"%PDF-1.4\n" + b"9 0 obj << >> endobj\n" * 20_000) == ""
     assert [v for v, _ in pdf.values(b"(a\\(b(c)) /N#61me <4 1> 1.5 -2 true % no\n[1 2 R]")] == [b"a(b(c)", "/Name", b"A", 1.5, -2, "true", [pdf.Ref(1)]]
+
+
+def test_lists_of_codes_read_alike_at_once_and_one_by_one():
+    codes = lambda body: (font := pdf.Font.__new__(pdf.Font), setattr(font, "codes", {}), font._read(body))[0].codes
+    plain = b"2 beginbfchar\n<01> <0041>\n<02> <D83DDE00>\nendbfchar 1 beginbfchar <3> <4> endbfchar"
+    spaced = plain.replace(b"<0041>", b"<00 41>").replace(b"<3>", b"<3 >")
+    assert codes(plain) == codes(spaced) == {b"\x01": "A", b"\x02": "\U0001f600", b"\x30": "@"}
