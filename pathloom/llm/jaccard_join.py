@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import metric_cells, word_hash
 from .components import components
-from .shared import attached, dropped, freed, mapped, small, written
+from .shared import attached, bucketed, dropped, freed, mapped, small, written
 
 SHINGLE, PERCENT = 4, 85
 #: Rarity is told by counts of all shingles in so many slots of their hashes (a table of 4 MB at
@@ -417,7 +417,7 @@ class Sets:
 
     def __init__(self, docs: DataFrame, sets_of: DataFrame, id_col: str, text_col: str, width: int, seed: int):
         self.docs, self.sets_of, self.args = docs, sets_of.select("sid", "more", F.col("rep").alias("doc_id")), (id_col, text_col, width, seed)
-        self.held: list[DataFrame] = []
+        self.held: list[DataFrame] = []  # one table that grows
 
     def of(self, sids: DataFrame) -> DataFrame:
         """(sid, n, body) that holds all of ``sids`` (a column sid), each once."""
@@ -425,12 +425,10 @@ class Sets:
         for table in self.held:
             missing = missing.join(table.select("sid"), "sid", "left_anti")
         wanted = written(missing.join(self.sets_of, "sid"), "wanted")
-        self.held.append(written(fetched_sets(self.docs, wanted, *self.args).dropDuplicates(["sid"]), "sets"))
+        if not self.held or wanted.take(1):
+            self.held = [bucketed(fetched_sets(self.docs, wanted, *self.args), "sets", "sid", *self.held)]
         dropped(wanted)
-        out = self.held[0]
-        for table in self.held[1:]:
-            out = out.unionByName(table)
-        return out
+        return self.held[0]
 
 
 def _open(members: DataFrame, comps: DataFrame | None, turn: int) -> DataFrame:
@@ -506,8 +504,8 @@ def joined(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
     places = written(shared_cells(table, max(8, -(-counted // BUCKET))), "places")
     members = merged_cells(places)
     dropped(places)
-    lists = table.where("near is not null").select("sid", "n", "near").join(members.select("sid").distinct(), "sid", "left_semi")
-    lists = written(rare_lists(lists).dropDuplicates(["sid"]), "lists")
+    lists = rare_lists(table.where("near is not null").select("sid", "n", "near"))
+    lists = bucketed(lists.join(members.select("sid").distinct(), "sid", "left_semi"), "lists", "sid")
     sets = Sets(docs, sets_of, id_col, text_col, width, seed)
     comps = linked_components(members, lists, sets, shipped, percent)
     dropped(lists, *sets.held)

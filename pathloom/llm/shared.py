@@ -46,6 +46,23 @@ def written(df: DataFrame, name: str, *, by: list[str] | None = None) -> DataFra
     return out
 
 
+def bucketed(df: DataFrame, name: str, key: str, onto: DataFrame | None = None) -> DataFrame:
+    """``df`` as a table whose files lie by ``key``, or added to such a table: joins on the key move the other side only.
+
+    Rows are dealt out once, and of rows with one key one is kept.
+    """
+    spark = df.sparkSession
+    path, table = (scratch_path(spark, name), f"{name}_{uuid.uuid4().hex}") if onto is None else (onto._scratch, onto._table)
+    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))) if onto is None else onto._buckets
+    rows = df.repartition(buckets, key).dropDuplicates([key])
+    rows.write.format("parquet").mode("append").option("path", path).bucketBy(buckets, key).saveAsTable(table)
+    if onto is None:
+        owned(spark, path)
+    out = spark.table(table)
+    out._scratch, out._table, out._buckets = path, table, buckets
+    return out
+
+
 def owned(spark: SparkSession, path: str) -> None:
     """Leaves a written folder to the driver's file system, which deletes it when the driver ends: lazy results may read it until then."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -53,8 +70,10 @@ def owned(spark: SparkSession, path: str) -> None:
 
 
 def dropped(*tables: DataFrame) -> None:
-    """Deletes tables of ``written`` that nothing lazy reads any more."""
+    """Deletes tables of ``written`` and ``bucketed`` that nothing lazy reads any more."""
     for table in tables:
+        if hasattr(table, "_table"):
+            table.sparkSession.sql(f"DROP TABLE IF EXISTS {table._table}")
         jvm = table.sparkSession._jvm
         path = jvm.org.apache.hadoop.fs.Path(table._scratch)
         path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

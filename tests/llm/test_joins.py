@@ -11,6 +11,8 @@ from pathloom.llm import jaccard_join, metric_cells, vantage, word_hash
 from pathloom.llm.components import components
 from pathloom.llm.jaccard_join import SLOT_BITS, joined, pivots, shingle_sets
 from pathloom.llm.repeated_spans import without_repeats
+from pathloom.llm.shared import bucketed, dropped
+from pyspark.sql import functions as F
 
 
 @pytest.mark.parametrize("bound", [250_000, 20])
@@ -285,3 +287,15 @@ def test_repeated_spans_of_odd_ids(spark):
     assert without_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+
+
+def test_tables_in_buckets_are_joined_where_they_lie(spark):
+    first = bucketed(spark.range(50).select(F.col("id").alias("sid"), (F.col("id") * 2).alias("n")), "sets", "sid")
+    both = bucketed(spark.range(40, 60).selectExpr("id + 10 AS sid", "id AS n").unionByName(spark.range(60, 62).selectExpr("id AS sid", "id AS n")), "sets", "sid", first)
+    assert both.count() == both.select("sid").distinct().count() == 70
+    pairs = spark.range(200).selectExpr("id % 70 AS sid", "id AS k").hint("merge")
+    found = pairs.join(both, "sid")
+    assert found.count() == 200
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1  # the pairs alone
+    dropped(both)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("sets_")]
