@@ -8,7 +8,7 @@ bitfield of positions from which a try has failed keeps the work linear.
 
 No piece holds the space mark after another character, so a text is cut before each run of
 space marks, and between characters that no piece holds side by side; equal cuts are encoded
-once a worker.
+once a task.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from .shared import mapped
 
 MARK = "▁"
-#: Distinct cuts kept by a worker before its memory is cleared, and the longest that is kept.
-KEPT_CUTS, KEPT_CHARS = 300_000, 64
+#: Distinct cuts kept by a task before its memory is cleared, the longest that is kept, and pairs of pieces kept.
+KEPT_CUTS, KEPT_CHARS, KEPT_PAIRS = 100_000, 64, 1 << 17
 
 
 class PieceBPE:
@@ -56,7 +56,7 @@ class PieceBPE:
         for p in self.whole:
             self.automaton.add_word(p, len(p))
         self.automaton.make_automaton()
-        self.compatible = lru_cache(1 << 19)(self._compatible)
+        self.compatible = lru_cache(KEPT_PAIRS)(self._compatible)
         self.shorter = lru_cache(1 << 16)(self._shorter)
         self.cuts: dict[str, bytes] = {}
         self.shown = [p.replace(MARK, " ") for p in self.pieces]
@@ -154,6 +154,12 @@ class PieceBPE:
         cuts = self.cut.findall((MARK + text).replace(" ", MARK))
         return edge[0] + b"".join([known(c) or make(c) for c in cuts]) + edge[1]
 
+    def forget(self) -> None:
+        """Clears what is kept of texts; the model stays."""
+        self.cuts.clear()
+        self.compatible.cache_clear()
+        self.shorter.cache_clear()
+
     def decode(self, ids: bytes) -> str:
         """The text of ids, as the library gives it: runs of byte pieces as UTF-8, one leading space of the prefix dropped."""
         values = np.frombuffer(ids, dtype="<u4").tolist()
@@ -247,6 +253,7 @@ def encoded(docs: DataFrame, model_file: str, *, id_col: str = "doc_id", text_co
                 columns += [pa.array(ids, pa.binary())] * with_ids + [pa.array([d.decode() for d in decoded] if with_text else [], pa.string())] * with_text
                 names = [*batch.schema.names[:-1], "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids, *["decoded"] * with_text]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        bpe.forget()  # the worker lives on beside other stages' work
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema.fields[:-1])
     return mapped(table, run, f"{kept}, n_tokens long, ids_sha256 string, decoded_sha256 string{extra}")

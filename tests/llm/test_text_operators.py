@@ -10,8 +10,9 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
-from pathloom.llm import quality, secrets
+from pathloom.llm import piece_bpe, quality, secrets
 from pathloom.llm.main_text import blocks, extracted, labelled, log_odds, main_text, min_cut
 from pathloom.llm.piece_bpe import encoded, encoder
 from pathloom.llm.queries import piece_model
@@ -312,3 +313,11 @@ def test_suffix_sort_orders_groups():
             a, b = strings[order[k - 1]], strings[order[k]]
             same = group[order[k]] == group[order[k - 1]]
             assert common[k] == (next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))) if same else -1)
+
+
+def test_encoder_keeps_nothing_of_a_task(spark, monkeypatch):
+    monkeypatch.setattr(piece_bpe, "mapped", lambda table, run, schema: run)
+    run = piece_bpe.encoded(spark.createDataFrame([(1, "a")], "doc_id long, text string"), piece_model())
+    out = list(run(iter([pa.RecordBatch.from_pydict({"doc_id": [1], "__text": ["one two  three, fourteen"]})])))
+    bpe = encoder(piece_model())
+    assert out[0].num_rows == 1 and not bpe.cuts and not bpe.compatible.cache_info().currsize
