@@ -28,7 +28,7 @@ from .shared import mapped
 
 MARK = "▁"
 #: Distinct cuts kept by a task before its memory is cleared, the longest that is kept, and pairs of pieces kept.
-KEPT_CUTS, KEPT_CHARS, KEPT_PAIRS = 100_000, 64, 1 << 17
+KEPT_CUTS, KEPT_CHARS, KEPT_PAIRS = 300_000, 64, 1 << 17
 
 
 class PieceBPE:
