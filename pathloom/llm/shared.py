@@ -13,10 +13,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import word_hash
+
 #: Rows up to which a *counted* table is broadcast; beyond it the shuffle form runs.
 BROADCAST_ROWS = 200_000
 #: A group is hot if it holds more than 1/HOT_SHARE of all rows, so there are fewer than HOT_SHARE.
 HOT_SHARE = 400
+#: Bytes after which an Arrow batch on its way to a Python worker ends; rows are whole, so its last one may exceed them.
+BATCH_BYTES, BATCH_CONF = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -86,7 +90,14 @@ def freed(spark: SparkSession) -> None:
 
 
 def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``df.mapInArrow`` whose workers give their memory back: they live on, idle, beside later stages' workers."""
+    """``df.mapInArrow`` whose workers give their memory back: they live on, idle, beside later stages' workers.
+
+    A batch of long texts would fill tens of MB, several times over, in the worker and outside the
+    JVM's heap, and neither gives all of it back.  So batches are bounded by bytes, in the whole
+    session, unless it sets a bound of its own.
+    """
+    if df.sparkSession.conf.get(BATCH_CONF, None) is None:
+        df.sparkSession.conf.set(BATCH_CONF, BATCH_BYTES)
 
     def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
@@ -96,7 +107,8 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 
 
 def returned() -> None:
-    """Gives memory that Arrow and the C library hold for later back to the system."""
+    """Gives memory that hashing, Arrow and the C library hold for later back to the system."""
+    word_hash.forget()
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):

@@ -26,16 +26,21 @@ LOWER[65:91] += 32
 @lru_cache(2)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
-        ones = np.ones(size, dtype=np.uint64)
-        up, down = ones * BASE, ones * BASE_INVERSE
+        up, down = np.full(size, BASE), np.full(size, BASE_INVERSE)
         up[0] = down[0] = 1
-        return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+        return np.cumprod(up, out=up), np.cumprod(down, out=down)
 
 
 def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers(1 << max(16, (size - 1).bit_length() if size else 0))
 
 
+def forget() -> None:
+    """Clears the powers; those for a long text are many times its size."""
+    _powers.cache_clear()
+    _prime_powers.cache_clear()
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -6,7 +6,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
-from pathloom.llm import quality
+import pyarrow as pa
+from pathloom.llm import quality, shared, word_hash
 from pathloom.llm.queries import piece_model
 
 import corpus_pipeline
@@ -92,3 +93,33 @@ def test_columns_come_out_as_they_went_in(spark, tmp_path):
         assert out.columns == docs.columns and {tuple(r) for r in out.collect()} <= given, name
     assert corpus_pipeline.quality_stage(spark, docs, str(tmp_path)).columns == docs.columns
     assert len(corpus_pipeline.exact_stage(spark, docs, str(tmp_path)).collect()) == 4
+
+
+def test_workers_get_batches_of_bounded_bytes(spark):
+    """The 25 MB of one partition came as one batch before, which the worker and the JVM held several times over."""
+    docs = spark.range(2500, numPartitions=1).selectExpr("id", "repeat('word ', 2000) text").union(spark.range(1).selectExpr("id", "repeat('w', 9000000) text"))
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "size"])
+
+    unset = spark.conf.get(shared.BATCH_CONF, None)
+    spark.conf.unset(shared.BATCH_CONF)
+    try:
+        sizes = [tuple(r) for r in shared.mapped(docs, run, "n long, size long").collect()]
+        assert sum(n for n, _ in sizes) == 2501 and max(n for n, _ in sizes) > 1
+        assert all(size <= shared.BATCH_BYTES + 20_000 or n == 1 for n, size in sizes)
+        spark.conf.set(shared.BATCH_CONF, 1 << 20)  # the session's own bound stays
+        sizes = [tuple(r) for r in shared.mapped(docs, run, "n long, size long").collect()]
+        assert sum(n for n, _ in sizes) == 2501 and all(size <= (1 << 20) + 20_000 or n == 1 for n, size in sizes)
+    finally:
+        spark.conf.unset(shared.BATCH_CONF) if unset is None else spark.conf.set(shared.BATCH_CONF, unset)
+
+
+def test_powers_of_a_long_text_are_not_kept():
+    up, down = word_hash.powers(1 << 17)
+    for k in (0, 1, 2, 1000, (1 << 17) - 1):
+        assert int(up[k]) == pow(int(word_hash.BASE), k, 1 << 64) and int(up[k]) * int(down[k]) % (1 << 64) == 1
+    assert word_hash._powers.cache_info().currsize
+    shared.returned()
+    assert not word_hash._powers.cache_info().currsize
