@@ -16,6 +16,8 @@
    is split into Voronoi cells of sampled members with windows of the triangle inequality,
    down to exact comparisons (``metric_cells``).  An open cell too large for a task is dealt
    in blocks: the members outside its largest component meet each other and that component.
+   Blocks with mostly the same members are made one first (``gathered``), so that a set isn't
+   sent once for each cell that it shares with its near copies.
 """
 
 from __future__ import annotations
@@ -42,6 +44,8 @@ CHUNK, BUCKET = 500_000, 400_000
 STARS = 2
 #: Members and bytes of sets on one side of a block.
 PART, PART_BYTES = 4000, 16 << 20
+#: Times that blocks with members in common are made one.
+MERGES = 2
 #: Bytes of sets of the cells that a task gets, about.
 TASK_BYTES = 24 << 20
 STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
@@ -338,18 +342,23 @@ def plausible(pairs: DataFrame, lists: DataFrame, shipped: Broadcast, percent: i
     return mapped(both, run, "sid long, pivot long")
 
 
-def _blocks(members: DataFrame) -> DataFrame:
-    """(block, sid, comp, n) of open cells (cell, sid, comp, n): a cell that fits a task is one block.
-
-    Of a larger one, the members outside its largest component are dealt into parts that
-    meet each other and the parts of that component; its own parts don't meet.
-    """
+def _sizes(members: DataFrame) -> DataFrame:
+    """(cell, group_size, top, tops, rests, whole, dealt): the parts that ``_blocks`` deals a cell in, and the rows that makes."""
     by_comp = members.groupBy("cell", "comp").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"))
     parts = lambda members, shingles: F.greatest(F.lit(1), F.ceil(members / PART), F.ceil(shingles * 8 / PART_BYTES)).cast("int")
     sizes = by_comp.groupBy("cell").agg(F.max_by(F.struct("comp", "members", "shingles"), F.struct("members", "comp")).alias("top"), F.sum("members").alias("group_size"), F.sum("shingles").alias("shingles"))
     rest = parts(F.col("group_size") - F.col("top.members"), F.col("shingles") - F.col("top.shingles"))
-    sizes = sizes.select("cell", "group_size", F.col("top.comp").alias("top"), parts(F.col("top.members"), F.col("top.shingles")).alias("tops"), rest.alias("rests"), (parts(F.col("group_size"), F.col("shingles")) == 1).alias("whole"))
-    sizes = written(sizes, "cell-sizes")
+    sizes = sizes.select("cell", "group_size", F.col("top.comp").alias("top"), F.col("top.members").alias("inner"), parts(F.col("top.members"), F.col("top.shingles")).alias("tops"), rest.alias("rests"), (parts(F.col("group_size"), F.col("shingles")) == 1).alias("whole"))
+    dealt = F.when(F.col("whole"), F.col("group_size")).otherwise(F.col("inner") * F.col("rests") + (F.col("group_size") - F.col("inner")) * (F.col("rests") + F.col("tops")))
+    return written(sizes.withColumn("dealt", dealt).drop("inner"), "cell-sizes")
+
+
+def _blocks(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(block, sid, comp, n) of open cells (cell, sid, comp, n) that have ``sizes``: a cell that fits a task is one block.
+
+    Of a larger one, the members outside its largest component are dealt into parts that
+    meet each other and the parts of that component; its own parts don't meet.
+    """
     rows = attached(members, sizes, ["cell"], members.count(), how="inner").drop("group_size")
     one = rows.where("whole").select(F.xxhash64("cell").alias("block"), "sid", "comp", "n")
     many = rows.where("not whole").withColumn("is_top", F.col("comp") == F.col("top"))
@@ -412,6 +421,29 @@ def cell_links(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return mapped(_together(rows, total), run, "a long, b long")
 
 
+def gathered(blocks: DataFrame) -> DataFrame:
+    """The rows (block, sid, comp, n) of ``blocks``, fewer where blocks have members in common: what met still does.
+
+    Near copies lie together in many cells.  The member of least hash is most likely the same
+    in blocks that share most of theirs; these become one, which is dealt as an open cell is.
+    Where that makes no fewer rows, blocks stay as they are.
+    """
+    for turn in range(MERGES):
+        total = blocks.count()
+        lead = blocks.groupBy("block").agg(F.xxhash64(F.min_by("sid", F.xxhash64("sid", F.lit(turn))), F.lit(turn)).alias("cell"), F.count(F.lit(1)).alias("group_size"))
+        lead = written(lead, "leads")
+        led = written(attached(blocks, lead, ["block"], total, how="inner").drop("group_size"), "led")
+        members = written(led.select("cell", "sid", "comp", "n").distinct(), "led-members")
+        sizes = _sizes(members)
+        fewer = sizes.join(led.groupBy("cell").agg(F.count(F.lit(1)).alias("rows")), "cell").where("dealt < rows")
+        fewer = written(fewer, "fewer")
+        alone = attached(led, fewer.select("cell", "rows"), ["cell"], total, size="rows").where("rows is null")
+        grown = written(alone.select("block", "sid", "comp", "n").unionByName(_blocks(members, fewer)), "gathered")
+        dropped(blocks, lead, led, members, sizes, fewer)
+        blocks = grown
+    return blocks
+
+
 class Sets:
     """Whole sets of the corpus, fetched when they are first asked for."""
 
@@ -462,10 +494,12 @@ def linked_components(members: DataFrame, lists: DataFrame, sets: Sets, shipped:
             members = written(live.where("sid <> pivot").select("cell", "sid", "n"), "members")
             dropped(pairs)
         else:
-            blocks = written(_blocks(live.select("cell", "sid", "comp", "n")), "blocks")
-            left = written(partnered(blocks, lists, shipped, percent), "partnered")
+            cells = live.select("cell", "sid", "comp", "n")
+            sizes = _sizes(cells)
+            blocks = written(_blocks(cells, sizes), "blocks")
+            left = gathered(written(partnered(blocks, lists, shipped, percent), "partnered"))
             near = written(cell_links(left, sets.of(left.select("sid")), percent), "links")
-            dropped(blocks, left)
+            dropped(sizes, blocks, left)
         dropped(live)
         if near.take(1):
             grown = near if links is None else written(links.unionByName(near), "links")

@@ -11,7 +11,7 @@ from pathloom.llm import jaccard_join, metric_cells, vantage, word_hash
 from pathloom.llm.components import components
 from pathloom.llm.jaccard_join import SLOT_BITS, joined, pivots, shingle_sets
 from pathloom.llm.repeated_spans import without_repeats
-from pathloom.llm.shared import bucketed, dropped
+from pathloom.llm.shared import bucketed, dropped, written
 from pyspark.sql import functions as F
 
 
@@ -112,6 +112,47 @@ def test_join_of_many_copies_about_the_threshold(spark, monkeypatch):
     assert got[-2:] and got == brute_components(rows)
 
 
+def test_near_copies_are_not_sent_once_for_each_cell(spark, monkeypatch):
+    """Whole sets that reach the tasks of the last round: a few times each, however many cells they share."""
+    moved, links = [], jaccard_join.cell_links
+    monkeypatch.setattr(jaccard_join, "cell_links", lambda blocks, *a: moved.append((blocks.count(), blocks.select("sid").distinct().count())) or links(blocks, *a))
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    rows = []
+    for _ in range(3):
+        base = [word() for _ in range(103)]
+        for k in range(60):
+            copy = list(base)
+            for at in r.sample(range(0, 100, 5), (1, 2, 3, 4)[k % 4]):
+                copy[at] = word()
+            rows.append(" ".join(copy))
+    rows = list(enumerate(rows))
+    got = sorted(((g.doc_id, g.n_shingles, g.component_id) for g in joined(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()), key=repr)
+    assert got == brute_components(rows)
+    assert moved[-1][1] > 20 and moved[-1][0] <= 3 * moved[-1][1]
+
+
+@pytest.mark.parametrize("part", [4000, 12])
+def test_gathered_blocks_keep_every_meeting(spark, monkeypatch, part):
+    """All pairs of two components that shared a block share one, also where a company is dealt in parts; blocks with nothing in common stay."""
+    monkeypatch.setattr(jaccard_join, "PART", part)
+    r = random.Random(11)
+    comp = {sid: sid // 3 if sid < 30 else -1 if sid < 60 else sid for sid in range(200)}
+    of = {b: r.sample(range(90), 60) if b < 25 else [100 + 4 * (b - 25) + k for k in range(4)] for b in range(50)}
+    rows = [(b, sid, comp[sid], 50) for b, sids in of.items() for sid in sids]
+    meet = lambda of: {(x, y) for sids in of.values() for x in sids for y in sids if x < y and comp[x] != comp[y]}
+    kind = "block long, sid long, comp long, n long"
+    got = jaccard_join.gathered(written(spark.createDataFrame(rows, kind), "blocks")).collect()
+    after = {}
+    for g in got:
+        assert g.sid not in after.setdefault(g.block, set()) and (g.comp, g.n) == (comp[g.sid], 50)
+        after[g.block].add(g.sid)
+    assert meet(after) >= meet(of) and len(got) < (len(rows) / 2 if part == 4000 else len(rows))
+    assert {frozenset(sids) for b, sids in of.items() if b >= 25} <= {frozenset(s) for s in after.values()}
+    assert max(map(len, after.values())) <= (60 if part == 12 else 90)
+    assert jaccard_join.gathered(written(spark.createDataFrame([], kind), "blocks")).collect() == []
+
+
 def test_voronoi_cells_hold_every_link():
     r = np.random.default_rng(8)
     base = [np.unique(r.integers(0, 4000, 60)) for _ in range(6)]
